@@ -69,28 +69,35 @@ def names(groups: Column) -> Column:
 
 def with_implied_context(groups: Column) -> Column:
     """A rating agency next to an entity, without any rating word, implies one more group."""
-    has_agency = F.exists(groups, lambda g: g["kind"] == "rating_agency")
-    has_entity = F.exists(
-        groups,
-        lambda g: g["kind"].isin("country", "region", "company", "central_bank", "rating_code"),
-    )
-    has_context = F.exists(groups, lambda g: g["name"].isin("credit_rating_theme", "rating_codes"))
-    implied = F.array(F.struct(
-        F.lit(D.IMPLIED_GROUP).alias("name"), F.lit(_KIND[D.IMPLIED_GROUP]).alias("kind")
-    ))
-    return F.when(has_agency & has_entity & ~has_context, F.concat(groups, implied)).otherwise(groups)
+
+    def augment(g: Column) -> Column:
+        has_agency = F.exists(g, lambda x: x["kind"] == "rating_agency")
+        has_entity = F.exists(
+            g, lambda x: x["kind"].isin("country", "region", "company", "central_bank", "rating_code")
+        )
+        has_context = F.exists(g, lambda x: x["name"].isin("credit_rating_theme", "rating_codes"))
+        implied = F.array(F.struct(
+            F.lit(D.IMPLIED_GROUP).alias("name"), F.lit(_KIND[D.IMPLIED_GROUP]).alias("kind")
+        ))
+        return F.when(has_agency & has_entity & ~has_context, F.concat(g, implied)).otherwise(g)
+
+    return let(groups, augment)
 
 
 def required_count(augmented: Column) -> Column:
     """How many of the question's groups a post must keep (takes augmented groups)."""
-    entities = F.size(F.filter(augmented, lambda g: g["kind"].isin(list(D.ENTITY_KINDS))))
-    implied = F.exists(augmented, lambda g: g["name"] == D.IMPLIED_GROUP)
-    return (
-        F.when(F.size(augmented) == 0, 0)
-        .when(implied, 3)
-        .when((F.size(augmented) >= 2) & (entities >= 1), 2)
-        .otherwise(1)
-    )
+
+    def count(g: Column) -> Column:
+        has_entity = F.exists(g, lambda x: x["kind"].isin(list(D.ENTITY_KINDS)))
+        implied = F.exists(g, lambda x: x["name"] == D.IMPLIED_GROUP)
+        return (
+            F.when(F.size(g) == 0, 0)
+            .when(implied, 3)
+            .when((F.size(g) >= 2) & has_entity, 2)
+            .otherwise(1)
+        )
+
+    return let(augmented, count)
 
 
 def match_count(text: Column, question_groups: Column) -> Column:

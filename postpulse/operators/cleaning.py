@@ -14,7 +14,7 @@ from postpulse.operators.joins import keep_first, keep_last
 # Tried in turn after the ISO forms that a cast understands.
 TIMESTAMP_FORMATS = (
     "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy",
-    "EEE MMM dd HH:mm:ss Z yyyy",
+    "MMM dd HH:mm:ss Z yyyy",
 )
 
 
@@ -34,22 +34,27 @@ def with_clean_text(df: DataFrame) -> DataFrame:
 
 def parse_timestamp(column: Column) -> Column:
     """Each value parsed on its own; what cannot be parsed is null."""
-    text = column.cast("string")
+    text = F.regexp_replace(column.cast("string"), "^[A-Za-z]{3} (?=[A-Za-z])", "")  # weekday
     return F.coalesce(
         column.try_cast("timestamp"),
         *[F.try_to_timestamp(text, F.lit(fmt)) for fmt in TIMESTAMP_FORMATS],
     )
 
 
+def timestamp_column(df: DataFrame, name: str) -> Column:
+    """A column of the frame as a timestamp, parsed only where it is text."""
+    if df.schema[name].dataType == T.TimestampType():
+        return F.col(name)
+    return parse_timestamp(F.col(name))
+
+
 def with_created_at(df: DataFrame, run_ts: Column | str) -> DataFrame:
     """``created_at`` as a timestamp; missing and unparseable values take the run time,
     which is an argument so that a rerun gives the same rows."""
     fallback = (F.lit(run_ts) if isinstance(run_ts, str) else run_ts).cast("timestamp")
     if "created_at" not in df.columns:
         return df.withColumn("created_at", fallback)
-    if df.schema["created_at"].dataType == T.TimestampType():
-        return df.withColumn("created_at", F.coalesce("created_at", fallback))
-    return df.withColumn("created_at", F.coalesce(parse_timestamp(F.col("created_at")), fallback))
+    return df.withColumn("created_at", F.coalesce(timestamp_column(df, "created_at"), fallback))
 
 
 def surrogate_id(columns: Sequence[str], prefix: str = "local-") -> Column:

@@ -132,10 +132,6 @@ def parse_labels(responses: DataFrame, column: str = "response") -> DataFrame:
     of a truncated array.  Other columns are carried along; ``label_pos`` is the
     position within the response.
     """
-    raw = F.trim(text_or_empty(F.col(column)))
-    unfenced = F.regexp_replace(F.regexp_replace(raw, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-    block = F.trim(F.regexp_extract(raw, r"(?is)```(?:json)?\s*(.*?)(?:```|$)", 1))
-
     def outer(text: Column, opening: str, closing: str) -> Column:
         start = F.instr(text, opening)
         length = F.length(text) - F.instr(F.reverse(text), closing) + 2 - start
@@ -145,41 +141,47 @@ def parse_labels(responses: DataFrame, column: str = "response") -> DataFrame:
     def items(text: Column) -> Column:
         """Labels of one complete JSON text, or null."""
         # Wrapped in an array so that trailing text makes it invalid.
-        valid = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-        shape = F.schema_of_variant(valid)
-        single = F.from_json(text, _ITEM)
-        wrapped = F.coalesce(*[
-            F.from_json(F.get_json_object(text, f"$.{key}"), T.ArrayType(_ITEM))
-            for key in _WRAPPER_KEYS
-        ])
-        as_object = F.when(F.size(wrapped) > 0, wrapped).when(
-            F.arrays_overlap(F.map_keys(single), F.array(*[F.lit(k) for k in _LABEL_KEYS])),
-            F.array(single),
-        )
+        valid = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+
+        def of_object(single: Column) -> Column:
+            wrapped = F.coalesce(*[
+                F.from_json(F.try_element_at(single, F.lit(key)), T.ArrayType(_ITEM))
+                for key in _WRAPPER_KEYS
+            ])
+            own = F.arrays_overlap(F.map_keys(single), F.array(*[F.lit(k) for k in _LABEL_KEYS]))
+            return let(wrapped, lambda w: F.when(F.size(w) > 0, w).when(own, F.array(single)))
+
         found = F.when(text.startswith("["), F.from_json(text, T.ArrayType(_ITEM))).when(
-            text.startswith("{"), as_object
+            text.startswith("{"), let(F.from_json(text, _ITEM), of_object)
         )
-        return F.when(shape.isNotNull() & (F.size(found) > 0), found)
+        return let(F.when(valid, found), lambda f: F.when(F.size(f) > 0, f))
 
+    # Staged columns: each text is built once, however often the next step reads it.
+    staged = responses.withColumn("_raw", F.trim(text_or_empty(F.col(column)))).withColumns({
+        "_whole": F.regexp_replace(
+            F.regexp_replace("_raw", r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""),
+        "_block": F.trim(F.regexp_extract("_raw", r"(?is)```(?:json)?\s*(.*?)(?:```|$)", 1)),
+    })
     attempts = [
         attempt
-        for source in (unfenced, block)
+        for source in (F.col("_whole"), F.col("_block"))
         for attempt in (source, outer(source, "[", "]"), outer(source, "{", "}"))
     ]
     salvaged = F.filter(
         F.transform(
-            F.regexp_extract_all(raw, F.lit(_LABEL_OBJECT), F.lit(0)),
+            F.regexp_extract_all(F.col("_raw"), F.lit(_LABEL_OBJECT), F.lit(0)),
             lambda text: F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, _ITEM)),
         ),
         lambda item: item.isNotNull(),
     )
-    labels = F.coalesce(*[items(attempt) for attempt in attempts], salvaged)
+    tried = F.filter(F.transform(F.array(*attempts), items), lambda found: found.isNotNull())
+    labels = let(tried, lambda t: F.when(F.size(t) > 0, F.get(t, F.lit(0))).otherwise(salvaged))
 
     def field(name: str) -> Column:
         return F.try_element_at(F.col("_item"), F.lit(name))
 
     flag = F.lower(field("is_noise"))
-    exploded = responses.withColumn("_labels", labels).select(
+    exploded = staged.withColumn("_labels", labels).select(
         *[F.col(c) for c in responses.columns if c != column],
         F.posexplode("_labels").alias("label_pos", "_item"),
     )

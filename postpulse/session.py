@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +23,18 @@ def build_session(app_name: str = "postpulse", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Timestamps are UTC wall-clock everywhere; make the session agree."""
+def prepare(spark: SparkSession) -> SparkSession:
+    """What every query relies on: UTC timestamps, and this package on the executors
+    (needed by the few steps that run Python)."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    context = spark.sparkContext
+    if not any(name.endswith("/postpulse.zip") for name in context.listFiles):
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='postpulse-')}/postpulse", "zip", package.parent, package.name
+        )
+        context.addPyFile(archive)  # Spark copies it to every executor
     return spark
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postpulse.operators.aggregates import gold_daily
-from postpulse.operators.cleaning import parse_timestamp
+from postpulse.operators.cleaning import timestamp_column
 
 SILVER = T.StructType.fromDDL("""
 tweet_id string, text string, clean_text string, author_id string, author_username string,
@@ -56,7 +56,7 @@ def conform_silver(
         elif name == "tweet_id" and name not in df.columns and "doc_id" in df.columns:
             value = F.col("doc_id")
         elif name == "created_at" and name in df.columns:
-            value = parse_timestamp(F.col(name))
+            value = timestamp_column(df, name)
         elif name in df.columns:
             value = F.col(name)
         elif name in ("text", "clean_text"):

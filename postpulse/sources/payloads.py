@@ -22,10 +22,16 @@ COMBINED_PAYLOAD = (
 LIVE_SOURCE = "twitter_live"
 
 
-def read_payloads(spark: SparkSession, path: str, combined: bool = False) -> DataFrame:
-    """One row per payload file, with the lineage its path tells."""
+def read_payloads(
+    spark: SparkSession, path: str, *, combined: bool = False, whole_files: bool = True
+) -> DataFrame:
+    """Captured payloads with the lineage their path tells.
+
+    ``whole_files``: one JSON document per file (what an API client lands); otherwise
+    one document per line (what ``capture_payloads`` writes, and what splits).
+    """
     schema = COMBINED_PAYLOAD if combined else PAYLOAD
-    raw = spark.read.schema(schema).option("multiLine", "true").json(path)
+    raw = spark.read.schema(schema).option("multiLine", str(whole_files).lower()).json(path)
     return with_lineage(raw.withColumn("raw_uri", F.col("_metadata.file_path")), F.col("raw_uri"))
 
 
