@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postpulse.functions import dictionaries as D
 from postpulse.functions.text import (
-    any_of, contains_any, fold, let, squeeze, text_or_empty, tokens, _FOLD_FROM, _FOLD_TO,
+    contains_any, fold, let, remembered, squeeze, string_array, text_or_empty, tokens, _FOLD_FROM, _FOLD_TO,
 )
 
 AnchorRows = Sequence[tuple[str, str, Sequence[str]]]
@@ -27,7 +27,10 @@ def _normalize(column: Column) -> Column:
     return squeeze(base)
 
 
-def anchor_groups(column: Column, *, with_implied: bool = False, groups: AnchorRows | None = None) -> Column:
+@remembered
+def anchor_groups(
+    column: Column, *, with_implied: bool = False, groups: AnchorRows | None = None
+) -> Column:
     """``array<struct(name, kind)>`` in group order.
 
     Cashtags and terms of at most three characters (without blank or slash) are
@@ -50,7 +53,7 @@ def anchor_groups(column: Column, *, with_implied: bool = False, groups: AnchorR
             return F.array_compact(F.array(*[
                 F.when(
                     contains_any(normal, long[name])
-                    | any_of(F.array_contains(hits, t) for t in short[name]),
+                    | F.arrays_overlap(hits, string_array(short[name])),
                     F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind")),
                 )
                 for name, kind, _terms in rows

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postpulse.functions import dictionaries as D
-from postpulse.functions.text import text_or_empty
+from postpulse.functions.text import remembered, text_or_empty
 
 CURATED_TIERS = D.CURATED_TIER_ORDER
 CURATED_HANDLES = tuple(
@@ -14,6 +14,7 @@ CURATED_HANDLES = tuple(
 )
 
 
+@remembered
 def author_tier(username: Column) -> Column:
     """Tier of a handle; the first tier that lists it wins, anything else is 'unknown'."""
     handle = F.ltrim(F.lower(text_or_empty(username)), F.lit("@"))
@@ -26,10 +27,12 @@ def author_tier(username: Column) -> Column:
     )
 
 
+@remembered
 def is_curated(username: Column) -> Column:
     return ~author_tier(username).isin(D.UNKNOWN_TIER, D.WATCHLIST_TIER)
 
 
+@remembered
 def in_curated_universe(username: Column) -> Column:
     """Membership used by the ranking, which drops every '@' in the handle."""
     handle = F.replace(F.lower(text_or_empty(username)), F.lit("@"), F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postpulse.functions import dictionaries as D
-from postpulse.functions.text import contains_any, text_or_empty
+from postpulse.functions.text import contains_any, remembered, text_or_empty
 
 _TEXT_COLUMNS = ("text", "clean_text", "title", "summary")
 
@@ -55,6 +55,7 @@ def apply_overrides(df: DataFrame) -> DataFrame:
     return out.drop(blob, rating, macro, tone)
 
 
+@remembered
 def rewrite_candidate(column: Column) -> Column:
     """A finance hint together with a Spanish hint or any non-ASCII character."""
     lowered = F.lower(text_or_empty(column))

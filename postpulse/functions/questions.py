@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postpulse.functions import anchors
 from postpulse.functions import dictionaries as D
 from postpulse.functions.text import (
-    _FOLD_FROM, _FOLD_TO, contains_any, fold, let, squeeze, string_array, text_or_empty, tokens,
+    _FOLD_FROM, _FOLD_TO, contains_any, fold, let, remembered, squeeze, string_array, text_or_empty, tokens,
 )
 
 _PLAIN = str.maketrans(dict(zip(_FOLD_FROM, _FOLD_TO)))
@@ -18,10 +18,12 @@ _MACRO_MARKERS = [
 ]
 
 
+@remembered
 def language_hint(column: Column) -> Column:
     return F.when(contains_any(fold(text_or_empty(column)), D.SPANISH_MARKERS), "es").otherwise("en")
 
 
+@remembered
 def is_macro(column: Column) -> Column:
     return contains_any(fold(text_or_empty(column)), _MACRO_MARKERS)
 
@@ -47,6 +49,7 @@ def search_terms(column: Column, language: Column | str, limit: int = 10) -> Col
     return F.slice(F.array_distinct(F.concat(F.filter(words, keep), mexico, trump)), 1, limit)
 
 
+@remembered
 def anchor_selection(question: Column) -> Column:
     """Group names of a precise search, in clause order: one place, two named
     entities, one rating code, two themes.  Null unless at least two remain, or
@@ -72,6 +75,7 @@ def anchor_selection(question: Column) -> Column:
     return let(anchors.with_implied_context(anchors.anchor_groups(raw)), select)
 
 
+@remembered
 def refine(question: Column) -> Column:
     """``struct(original, refined, reason)`` of a question made finance-aware."""
     raw = F.trim(text_or_empty(question))
@@ -101,6 +105,7 @@ def refine(question: Column) -> Column:
     )
 
 
+@remembered
 def refine_for_corpus(question: Column) -> Column:
     """Same refinement with the boolean syntax removed from changed questions."""
 

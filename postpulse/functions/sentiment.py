@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postpulse.functions import dictionaries as D
-from postpulse.functions.text import let, round4, text_or_empty, tokens
+from postpulse.functions.text import let, remembered, round4, text_or_empty, tokens
 
 LABELS = ("positive", "neutral", "negative")
 THRESHOLD = 0.25
 _LETTERS = "[a-záéíóúñ]+"
 
 
+@remembered
 def lexicon_sentiment(column: Column) -> Column:
     """``struct(sentiment, sentiment_score, positive_hits, negative_hits)``.
 

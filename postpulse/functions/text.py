@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
-from collections.abc import Callable, Iterable
-from functools import reduce
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,10 @@ NOT_SPACE = r"[^\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
 
 
+_UNIT = "\u001f"
+_PLAIN_COLUMN = re.compile(r"^Column<'[A-Za-z_]\w*'>$")
+
+
 def _fold_table() -> tuple[str, str]:
     """Every character below U+3000 (and full-width forms) whose compatibility
     decomposition without combining marks is one other character, followed by
@@ -38,6 +45,30 @@ def _fold_table() -> tuple[str, str]:
 _FOLD_FROM, _FOLD_TO = _fold_table()
 
 
+_RULES: dict = {}
+
+
+def remembered(rule: Callable[[Column], Column]) -> Callable[..., Column]:
+    """Keep the expression a rule built for a plain column name.
+
+    The dictionaries make these expressions large; building one again for every frame
+    costs more than planning it.  Only calls without options are kept.
+    """
+
+    @wraps(rule)
+    def build(column: Column, **options) -> Column:
+        name = str(column)
+        context = SparkContext._active_spark_context
+        if options or not _PLAIN_COLUMN.match(name):
+            return rule(column, **options)
+        key = (rule, name, id(context))
+        if key not in _RULES:
+            _RULES[key] = rule(column)
+        return _RULES[key]
+
+    return build
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it many times inside one expression."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -57,6 +88,7 @@ def squeeze(column: Column) -> Column:
     return F.trim(F.regexp_replace(column, _LOOSE_SPACE, " "))
 
 
+@remembered
 def clean_text(column: Column) -> Column:
     """Null becomes ''; URLs and mentions become blanks; whitespace is collapsed.
 
@@ -87,6 +119,7 @@ _EMOJI = (
 )
 
 
+@remembered
 def clean_text_legacy(column: Column) -> Column:
     """Older cleaning: emoji, links, mentions and hashtags are deleted, not blanked."""
     no_emoji = F.regexp_replace(text_or_empty(column), _EMOJI, "")
@@ -95,6 +128,7 @@ def clean_text_legacy(column: Column) -> Column:
     )
 
 
+@remembered
 def fold(column: Column) -> Column:
     """Lower case without accents.  One-to-many decompositions (ligatures,
     fractions) keep their character."""
@@ -118,19 +152,32 @@ def needles(terms: Iterable[str]) -> list[str]:
     return [t for t in unique if not any(o != t and o in t for o in unique)]
 
 
-def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+def string_array(values: Iterable[str]) -> Column:
+    """A constant ``array<string>`` (one literal, split while planning)."""
+    items = list(values)
+    if not items:
+        return F.array().cast("array<string>")
+    return F.split(F.lit(_UNIT.join(items)), _UNIT)
 
 
 def contains_any(column: Column, terms: Iterable[str]) -> Column:
-    """Any term is a substring.  A chain of byte searches: measured faster than
-    one alternation regex, and it stops at the first hit."""
-    return any_of(F.contains(column, F.lit(term)) for term in needles(terms))
+    """Any term is a substring.  Byte searches in turn, stopping at the first hit:
+    measured faster than one alternation regex."""
+    terms = needles(terms)
+    if not terms:
+        return F.lit(False)
+    if len(terms) == 1:
+        return F.contains(column, F.lit(terms[0]))
+    return let(
+        column,
+        lambda c: F.exists(string_array(terms), lambda term: F.contains(c, term)),
+    )
 
 
-def string_array(values: Iterable[str]) -> Column:
-    items = [F.lit(v) for v in values]
-    return F.array(*items) if items else F.array().cast("array<string>")
+def constant_map(table: Mapping[str, str | Sequence[str]]) -> Column:
+    """A constant map from string to string, or to array of strings."""
+    kind = "string" if all(isinstance(v, str) for v in table.values()) else "array<string>"
+    return F.from_json(F.lit(json.dumps(table)), f"map<string,{kind}>")
 
 
 def phrase_key(column: Column) -> Column:

@@ -8,12 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postpulse.functions import dictionaries as D
-from postpulse.functions.text import WORD, any_of, contains_any, let, needles, string_array, tokens
+from postpulse.functions.text import (
+    WORD, constant_map, contains_any, let, remembered, string_array, tokens,
+)
 
 UNMAPPED = "UNMAPPED"
 
 
-def extract_tickers(column: Column, aliases: Mapping[str, Sequence[str]] | None = None) -> Column:
+@remembered
+def extract_tickers(column: Column, *, aliases: Mapping[str, Sequence[str]] | None = None) -> Column:
     """Sorted distinct symbols: a known symbol as a whole word (any case), or one
     of its aliases anywhere in the text.
 
@@ -49,6 +52,7 @@ def primary_ticker(tickers: Column) -> Column:
     return F.coalesce(F.get(tickers, F.lit(0)), F.lit(UNMAPPED))
 
 
+@remembered
 def extract_tickers_legacy(column: Column) -> Column:
     """Runs of 2-5 capitals, optional cashtag, text order and repeats kept, minus stop words.
 
@@ -59,7 +63,8 @@ def extract_tickers_legacy(column: Column) -> Column:
     return F.filter(bare, lambda t: ~t.isin(list(D.LEGACY_TICKER_STOP)))
 
 
-def infer_company(column: Column, companies: Sequence[dict] | None = None) -> Column:
+@remembered
+def infer_company(column: Column, *, companies: Sequence[dict] | None = None) -> Column:
     """First catalog company whose name or symbol occurs in the text, else null.
 
     Names of one or two characters must be whole tokens; longer ones may be
@@ -74,11 +79,10 @@ def infer_company(column: Column, companies: Sequence[dict] | None = None) -> Co
                 names = {a.upper().replace("$", " ").strip() for a in company["aliases"]}
                 names.add(company["ticker"].upper())
                 short = sorted(n for n in names if len(n) <= 2)
-                long = needles(sorted(n for n in names if len(n) > 2))
-                test = any_of(
-                    [F.contains(upper, F.lit(n)) for n in long]
-                    + [F.array_contains(words, n) for n in short]
-                )
+                long = sorted(n for n in names if len(n) > 2)
+                test = contains_any(upper, long)
+                if short:
+                    test = test | F.arrays_overlap(words, string_array(short))
                 cases.append(F.when(test, F.lit(company["ticker"])))
             return F.coalesce(*cases)
 
@@ -90,9 +94,4 @@ def infer_company(column: Column, companies: Sequence[dict] | None = None) -> Co
 def company_lookup(ticker: Column, field: str, companies: Sequence[dict] | None = None) -> Column:
     """A catalog field by ticker (null when unknown)."""
     companies = companies or D.COMPANIES
-    pairs: list[Column] = []
-    for company in companies:
-        value = company[field]
-        pairs.append(F.lit(company["ticker"]))
-        pairs.append(F.lit(value) if isinstance(value, str) else string_array(value))
-    return F.try_element_at(F.create_map(*pairs), ticker)
+    return F.try_element_at(constant_map({c["ticker"]: c[field] for c in companies}), ticker)

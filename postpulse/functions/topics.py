@@ -8,10 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postpulse.functions import dictionaries as D
-from postpulse.functions.text import contains_any, fold, let, string_array, text_or_empty, tokens
+from postpulse.functions.text import contains_any, fold, let, remembered, string_array, text_or_empty, tokens
 
 
-def classify_topic(column: Column, keywords: Mapping[str, Sequence[str]] | None = None) -> Column:
+@remembered
+def classify_topic(column: Column, *, keywords: Mapping[str, Sequence[str]] | None = None) -> Column:
     """First topic, in priority order, with any keyword hit.
 
     The token array is cut down to dictionary words once, so the per-topic tests

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postpulse.functions.text import string_array
+
 SENTENCES = (
     "$NVDA earnings beat with record profit and strong growth",
     "Tesla shares drop on weak demand and margin loss",
@@ -39,7 +41,7 @@ SENTENCES = (
 )
 SPANISH_SENTENCES = (2, 3, 4, 21)
 HANDLES = (
-    "Reuters", "Banxico", "PeterLBrandt", "zerohedge", "bespokeinvest", "@GBMplus", "some_user", None,
+    "Reuters", "Banxico", "PeterLBrandt", "zerohedge", "bespokeinvest", "@GBMplus", "some_user", "",
 )
 ROTATION = ("AAPL", "AMZN", "BBVA", "GOOGL", "JPM", "MSFT", "NVDA", "TSLA")
 
@@ -68,7 +70,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(values: tuple, index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+    return F.get(string_array(values), index.cast("int"))
 
 
 def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +95,7 @@ def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod(event, F.lit(41)) != 0, created).alias("created_at"),
         F.when(F.pmod(event, F.lit(37)) == 0, F.lit(None))
         .when(kind.isin(list(SPANISH_SENTENCES)), "es").otherwise("en").alias("lang"),
-        _pick(HANDLES, F.pmod(user, F.lit(8))).alias("author_username"),
+        F.nullif(_pick(HANDLES, F.pmod(user, F.lit(8))), F.lit("")).alias("author_username"),
         user.cast("string").alias("author_id"),
         F.when(F.pmod(event, F.lit(29)) != 0, F.floor(F.greatest(F.col("value"), F.lit(0.0))))
         .alias("like_count"),
