@@ -6,7 +6,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark import SparkContext
 from pyspark.sql import Column
@@ -166,8 +166,9 @@ def contains_any(column: Column, terms: Iterable[str]) -> Column:
     terms = needles(terms)
     if not terms:
         return F.lit(False)
-    if len(terms) == 1:
-        return F.contains(column, F.lit(terms[0]))
+    if len(terms) <= 3:
+        tests = [F.contains(column, F.lit(term)) for term in terms]
+        return reduce(lambda a, b: a | b, tests)
     return let(
         column,
         lambda c: F.exists(string_array(terms), lambda term: F.contains(c, term)),

@@ -52,7 +52,9 @@ def model_probabilities(column: Column, scorer: Scorer, batch_size: int = MODEL_
                 rows.extend(model(texts[start : start + batch_size]).tolist())
             yield pd.Series(rows, index=batch.index)
 
-    return predict(text_or_empty(column))
+    # Marked so that the planner neither repeats a model call nor moves it into the
+    # branches of a union.
+    return predict.asNondeterministic()(text_or_empty(column))
 
 
 def with_model_sentiment(
@@ -175,7 +177,7 @@ def with_rewrites(
                     rows.append((None, type(error).__name__))
             yield pd.DataFrame(rows, columns=["text", "error"])
 
-    done = chosen.withColumn("_rw", rewrite("original_text")).select(
+    done = chosen.withColumn("_rw", rewrite.asNondeterministic()("original_text")).select(
         order, F.col("_rw.text").alias("_rw_text"), F.col("_rw.error").alias("_rw_error")
     )
     ok = F.length("_rw_text") > 0

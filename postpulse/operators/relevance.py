@@ -140,8 +140,10 @@ def parse_labels(responses: DataFrame, column: str = "response") -> DataFrame:
 
     def items(text: Column) -> Column:
         """Labels of one complete JSON text, or null."""
-        # Wrapped in an array so that trailing text makes it invalid.
-        valid = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+        # Wrapped in an array: trailing text makes it invalid, a list of objects gives
+        # it a second element; both are not one complete JSON text.
+        wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+        valid = wrapped.isNotNull() & F.try_variant_get(wrapped, "$[1]", "string").isNull()
 
         def of_object(single: Column) -> Column:
             wrapped = F.coalesce(*[

@@ -106,7 +106,7 @@ def backfilled_silver(
     keyed = rows.withColumn("_id", F.col("tweet_id")).withColumn(
         "tweet_id", F.concat_ws("\u0001", "run_id", "tweet_id")
     )
-    processed = process_posts(keyed, run_ts=run_ts, order="_id").withColumn("tweet_id", F.col("_id"))
+    processed = process_posts(keyed, run_ts=run_ts).withColumn("tweet_id", F.col("_id"))
     return lake.conform_silver(
         processed.drop("_id").withColumn("query_ticker", F.col("run_ticker")),
         source="twitter_live", run_id=F.col("run_id"), ingestion_date=F.col("ingestion_date"),

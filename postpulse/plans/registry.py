@@ -614,9 +614,9 @@ def _(spark, sf):
     rows = R.with_author_reliability(_asked(posts(spark, sf)))
     told = R.label_posts(rows, F.col("query_ticker"), _external_labels(spark, sf), "pos")
     guessed = R.label_posts(rows, F.col("query_ticker"))
-    both = told.select(F.lit("external").alias("by"), *R.LABEL_COLUMNS).unionByName(
-        guessed.select(F.lit("heuristic").alias("by"), *R.LABEL_COLUMNS))
-    return both.groupBy("by", *R.LABEL_COLUMNS).agg(F.count(F.lit(1)).alias("rows"))
+    both = told.select(F.lit("external").alias("labeller"), *R.LABEL_COLUMNS).unionByName(
+        guessed.select(F.lit("heuristic").alias("labeller"), *R.LABEL_COLUMNS))
+    return both.groupBy("labeller", *R.LABEL_COLUMNS).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("E5_engagement_ranking")
@@ -1064,7 +1064,7 @@ def _(spark, sf):
     rows = silver(spark, sf).select("tweet_id", "created_at", "primary_ticker", "sentiment")
     # a later row closes the last day; its own day stays open
     later = rows.orderBy(F.col("created_at").desc(), "tweet_id").limit(1).withColumns({
-        "created_at": F.col("created_at") + F.expr("INTERVAL 30 DAYS"), "tweet_id": F.lit("later"),
+        "created_at": F.col("created_at") + F.expr("INTERVAL 100 DAYS"), "tweet_id": F.lit("later"),
     })
     rows.write.mode("append").parquet(landing)
     stream = spark.readStream.schema(rows.schema).parquet(landing)

@@ -9,7 +9,18 @@ from pyspark.sql import types as T
 from postpulse.operators.aggregates import gold_daily
 from postpulse.operators.cleaning import timestamp_column
 
-SILVER = T.StructType.fromDDL("""
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(),
+    "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+}
+
+
+def _schema(ddl: str) -> T.StructType:
+    pairs = (part.split() for part in ddl.replace("\n", " ").split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+SILVER = _schema("""
 tweet_id string, text string, clean_text string, author_id string, author_username string,
 created_at timestamp, query_ticker string, query_name string, primary_ticker string,
 sentiment string, sentiment_confidence double, positive_prob double, neutral_prob double,
@@ -17,12 +28,12 @@ negative_prob double, sentiment_model string, topic string, is_noise boolean,
 relevance_score double, noise_reason string, live_search_query string, x_query string,
 search_mode string, like_count bigint, retweet_count bigint, reply_count bigint,
 quote_count bigint, run_id string, raw_s3_uri string, source string, ingestion_date string
-""".replace("\n", " "))
-GOLD = T.StructType.fromDDL("""
+""")
+GOLD = _schema("""
 ticker string, created_date string, positive bigint, neutral bigint, negative bigint,
 total bigint, pos_ratio double, neg_ratio double, neu_ratio double, run_id string,
 source string, ingestion_date string
-""".replace("\n", " "))
+""")
 PARTITIONS = ("source", "ingestion_date")
 SOURCES = ("twitter_live", "manual_upload")
 SILVER_PATH = "silver/tweets"

@@ -57,7 +57,10 @@ def relevant_silver(
     """
     known = with_author_reliability(repair_ids(rows))
     labelled = label_posts(known, F.col("query_ticker"), labels)
-    relevant = without_noise(labelled).withColumn("_row", F.col("tweet_id"))
+    # Repeats of an id: the earliest post stays, whatever the order of files and tasks.
+    relevant = without_noise(labelled).withColumn(
+        "_row", F.concat_ws("\u0001", "tweet_id", F.col("created_at").cast("string"), "text")
+    )
     processed = process_with_rewrites(
         relevant.drop(*LABEL_COLUMNS), translator, order="_row", run_ts=run_ts,
         model=model, scorer=scorer,
