@@ -338,9 +338,13 @@ SELECT id, array_to_string(list_transform(groups, lambda g: {_KIND_MAP}[g]), ','
 SQL["E9_required_anchors"] = _with(
     QUESTION_ROWS + "," + anchors("questions", "qa", "question_id", "question") + "," + augmented("qa", "qg", "question_id"),
     "SELECT question_id, array_to_string(groups, ',') AS groups, required::INT AS required FROM qg")
-SQL["E10_anchor_filter"] = _with(POSTS + "," + anchors("posts", "pa", "ord", "text", implied=True), f"""
-SELECT * FROM (SELECT ord, (list_contains(groups, 'mexico')::INT + list_contains(groups, 'moody')::INT
-  + list_contains(groups, '{D.IMPLIED_GROUP}')::INT)::INT AS anchor_match_count FROM pa) WHERE anchor_match_count >= 3""")
+SQL["E10_anchor_filter"] = _with(POSTS + f""",
+ownq AS (SELECT ord, concat_ws(' ', author_username, {rotation('created_at')}, 'Moody') AS question FROM posts),""" + anchors("posts", "pa", "ord", "text", implied=True)
+    + "," + anchors("ownq", "qa", "ord", "question") + "," + augmented("qa", "qg", "ord"), f"""
+SELECT * FROM (SELECT 'fixed' AS asked, ord, (list_contains(groups, 'mexico')::INT + list_contains(groups, 'moody')::INT
+  + list_contains(groups, '{D.IMPLIED_GROUP}')::INT)::INT AS anchor_match_count FROM pa) WHERE anchor_match_count >= 3
+UNION ALL SELECT 'own', ord, n FROM (SELECT ord, len(list_intersect(pa.groups, qg.groups))::INT AS n, required
+  FROM pa JOIN qg USING (ord)) WHERE n >= required""")
 
 
 # A post matches when every clause has a term among its padded tokens.

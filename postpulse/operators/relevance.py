@@ -268,17 +268,33 @@ def anchor_filter(df: DataFrame, question: Column | str) -> DataFrame:
     """Keep posts that preserve enough of the question's anchors.
 
     A question without anchors passes everything through.  The question may be a
-    column; a fixed one is folded to constants by the optimizer.
+    column; for one fixed question only its own groups are looked for in the posts.
     """
-    question = F.lit(question) if isinstance(question, str) else question
+    if isinstance(question, str):
+        return _fixed_anchor_filter(df, question)
     groups = anchors.with_implied_context(anchors.anchor_groups(question))
-    staged = df.withColumn("_groups", groups)
-    counted = staged.withColumn("anchor_match_count", anchors.match_count(F.col("text"), F.col("_groups")))
+    counted = df.withColumn("_groups", groups).withColumn(
+        "anchor_match_count", anchors.match_count(F.col("text"), F.col("_groups"))
+    )
     return counted.filter(
         F.col("anchor_match_count") >= anchors.required_count(F.col("_groups"))
     ).drop("_groups")
 
 
+def _fixed_anchor_filter(df: DataFrame, question: str) -> DataFrame:
+    groups = anchors.with_implied_context(anchors.anchor_groups(F.lit(question)))
+    asked = df.sparkSession.range(1).select(groups.alias("g")).select(
+        anchors.names(F.col("g")).alias("names"), anchors.required_count(F.col("g")).alias("required")
+    ).first()
+    if asked["required"] == 0:
+        return df.withColumn("anchor_match_count", F.lit(0))
+    rows = [g for g in D.ANCHOR_GROUPS if g[0] in asked["names"]]
+    found = anchors.anchor_groups(F.col("text"), with_implied=True, groups=rows)
+    return df.withColumn("anchor_match_count", F.size(found)).filter(
+        F.col("anchor_match_count") >= asked["required"]
+    )
+
+
 def join_back(left: DataFrame, right: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     """Replace ``columns`` of the left side by the right side's, one right row per id."""
     wanted = [c for c in columns if c in right.columns and c != "tweet_id"]

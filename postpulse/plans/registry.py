@@ -18,9 +18,8 @@ from postpulse.operators import (
     aggregates as A, cleaning as C, enrich as E, lake_queries as H, latest as L, relevance as R,
     retrieval as G, saved_search as S,
 )
-from postpulse.operators.joins import spread_join
 from postpulse.plans import jobs
-from postpulse.session import materialize, new_folder, prepare
+from postpulse.session import new_folder, prepare
 from postpulse.sources import lake, payloads, schema, tables
 from postpulse.sources.posts import (
     ROTATION, document_posts, event_posts, posts, questions, table,
@@ -667,7 +666,13 @@ def _(spark, sf):
 
 @query("E10_anchor_filter")
 def _(spark, sf):
-    return R.anchor_filter(posts(spark, sf), "Mexico Moody").select("ord", "anchor_match_count")
+    # one fixed question, and a question per post (its own author's name and text)
+    fixed = R.anchor_filter(posts(spark, sf), "Mexico Moody").select(
+        F.lit("fixed").alias("asked"), "ord", "anchor_match_count")
+    asked = F.concat_ws(" ", "author_username", "query_ticker", F.lit("Moody"))
+    varying = R.anchor_filter(_asked(posts(spark, sf)), asked).select(
+        F.lit("own").alias("asked"), "ord", "anchor_match_count")
+    return fixed.unionByName(varying)
 
 
 def _match_table(spark: SparkSession, sf_dir: str, searches: DataFrame) -> DataFrame:
@@ -908,14 +913,6 @@ def _(spark, sf):
     return _hits(spark, sf).select("question_id", "rank", "score")
 
 
-def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = _corpus(spark, sf_dir)
-    asked = questions(spark, sf_dir).filter(F.col("question") != "").select(
-        F.lit(0).alias("question_id"), "question").orderBy("question").limit(1)
-    hits = G.search_index(G.build_index(corpus), asked, k=10)
-    return G.with_evidence(hits, corpus)
-
-
 @query("G3_answer_facts")
 def _(spark, sf):
     return G.answer_facts(G.with_evidence(_hits(spark, sf), _corpus(spark, sf)))

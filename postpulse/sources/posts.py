@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postpulse.functions.text import string_array
+from postpulse.sources.tables import spread_small
+
+# tables whose rows are expensive to work on
+_TEXT_TABLES = ("documents", "events", "conversations")
 
 SENTENCES = (
     "$NVDA earnings beat with record profit and strong growth",
@@ -66,7 +70,9 @@ QUESTIONS = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread_small(df, path) if name in _TEXT_TABLES else df
 
 
 def _pick(values: tuple, index: Column) -> Column:
