@@ -15,8 +15,7 @@ from postpulse.operators.enrich import process_posts, process_with_rewrites, rep
 from postpulse.operators.joins import spread_join
 from postpulse.operators.latest import backfill_labels, missing_runs
 from postpulse.operators.relevance import (
-    LABEL_COLUMNS, attach_labels, clamp_results, join_back, merge_candidates, pool_size, ranked,
-    with_heuristic_labels,
+    attach_labels, clamp_results, merge_candidates, pool_size, ranked, with_heuristic_labels,
 )
 from postpulse.operators.saved_search import staged_search
 from postpulse.session import materialize
@@ -128,9 +127,6 @@ def reprocess_table(
     return spark.read.parquet(target)
 
 
-RELEVANCE_COLUMNS = (*LABEL_COLUMNS, "author_reliability_tier", "is_curated_market_author")
-
-
 @dataclass(frozen=True)
 class Preview:
     """``raw``: ranked and labelled candidates; ``relevant``: processed posts per question."""
@@ -152,7 +148,7 @@ def preview(
     order: str = "ord",
 ) -> Preview:
     """Answer a table of questions from the posts: search, merge, rank, label, drop noise,
-    enrich, join the labels back.  After the search every question holds at most a
+    enrich; labels stay on their row.  After the search every question holds at most a
     candidate pool of posts, and that small set is written once because several steps
     read it.
     """
@@ -173,11 +169,8 @@ def preview(
     relevant = without_noise(raw).withColumns({
         "_id": F.col("tweet_id"), "_row": F.concat_ws("\u0001", F.col("question_id").cast("string"), "tweet_id"),
     }).withColumn("tweet_id", F.col("_row"))
-    processed = process_with_rewrites(
-        relevant.drop(*RELEVANCE_COLUMNS), translator, order="_row", run_ts=run_ts
-    )
-    back = join_back(processed, relevant, RELEVANCE_COLUMNS, "_row")
-    out = back.withColumn("tweet_id", F.col("_id")).drop("_id", "_row").withColumn(
+    processed = process_with_rewrites(relevant, translator, order="_row", run_ts=run_ts)
+    out = processed.withColumn("tweet_id", F.col("_id")).drop("_id", "_row").withColumn(
         "search_mode", F.lit(f"questions_{scope}_preview_then_confirm")
     )
     return Preview(raw, out)

@@ -102,11 +102,11 @@ def write_gold(gold: DataFrame, root: str) -> str:
 
 
 def read_silver(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(SILVER).parquet(f"{root}/{SILVER_PATH}")
+    return spark.read.schema(SILVER).parquet(f"{root}/{SILVER_PATH}").select(*SILVER.names)
 
 
 def read_gold(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(GOLD).parquet(f"{root}/{GOLD_PATH}")
+    return spark.read.schema(GOLD).parquet(f"{root}/{GOLD_PATH}").select(*GOLD.names)
 
 
 def write_lake(

@@ -16,9 +16,8 @@ from postpulse.operators.aggregates import gold_daily
 from postpulse.operators.cleaning import repair_ids, without_noise
 from postpulse.operators.enrich import process_with_rewrites
 from postpulse.operators.latest import LATEST_ROWS, latest
-from postpulse.operators.relevance import (
-    LABEL_COLUMNS, join_back, label_posts, with_author_reliability,
-)
+from postpulse.operators.relevance import label_posts, with_author_reliability
+from postpulse.session import materialize
 from postpulse.sources.lake import conform_silver, write_gold, write_silver
 from postpulse.sources.payloads import PAYLOAD, flatten_payload, with_lineage
 
@@ -56,16 +55,17 @@ def relevant_silver(
     Used by the stream for each micro-batch and by the batch form alike.
     """
     known = with_author_reliability(repair_ids(rows))
-    labelled = label_posts(known, F.col("query_ticker"), labels)
+    # Written once: the label rules are large, and a filter on their result would
+    # otherwise be pushed below them, which evaluates (and plans) them twice.
+    labelled = materialize(label_posts(known, F.col("query_ticker"), labels), "labelled")
     # Repeats of an id: the earliest post stays, whatever the order of files and tasks.
+    # The labels stay on their row, so nothing has to be joined back.
     relevant = without_noise(labelled).withColumn(
         "_row", F.concat_ws("\u0001", "tweet_id", F.col("created_at").cast("string"), "text")
     )
-    processed = process_with_rewrites(
-        relevant.drop(*LABEL_COLUMNS), translator, order="_row", run_ts=run_ts,
-        model=model, scorer=scorer,
-    )
-    merged = join_back(processed, relevant, LABEL_COLUMNS, "_row").drop("_row")
+    merged = process_with_rewrites(
+        relevant, translator, order="_row", run_ts=run_ts, model=model, scorer=scorer
+    ).drop("_row")
     return conform_silver(
         merged.withColumns({"x_query": F.col("query"), "search_mode": F.lit(mode)}),
         source=F.col("source"), run_id=F.col("run_id"), ingestion_date=F.col("ingestion_date"),
