@@ -9,7 +9,6 @@ from checks.sql_base import (
 )
 from postpulse.functions import dictionaries as D
 from postpulse.functions.authors import CURATED_HANDLES
-from postpulse.sources import schema
 
 SQL: dict[str, str] = {}
 
@@ -167,13 +166,13 @@ SQL["D1_tickers"] = _with(_CLEANED, f"SELECT ord, array_to_string({tickers('clea
 SQL["D2_primary_ticker"] = _with(_CLEANED, f"SELECT ord, coalesce({tickers('clean_text')}[1], 'UNMAPPED') AS primary_ticker FROM c")
 # Runs of capitals bounded on the right: the last 2 to 5 of a longer run.
 _LEGACY_TICKERS = (
-    f"list_filter(list_transform(regexp_extract_all({{x}}, '(?:\\$?)(?:[A-Z]+)(?:[\\pL\\pN_]?)'), "
+    "list_filter(list_transform(regexp_extract_all({x}, '(?:\\$?)(?:[A-Z]+)(?:[\\pL\\pN_]?)'), "
     "lambda r: CASE WHEN regexp_full_match(r, '\\$?[A-Z]{2,}') THEN "
     "regexp_extract(r, '[A-Z]{2,5}$') ELSE '' END), "
     f"lambda t: t <> '' AND NOT list_contains({lst(D.LEGACY_TICKER_STOP)}, t))"
 )
 SQL["D3_tickers_legacy"] = _with(POSTS, f"""
-SELECT ord, array_to_string({_LEGACY_TICKERS.format(x=clean_legacy('text')) if False else _LEGACY_TICKERS.replace('{x}', clean_legacy('text'))}, ',') AS tickers FROM posts""")
+SELECT ord, array_to_string({_LEGACY_TICKERS.replace('{x}', clean_legacy('text'))}, ',') AS tickers FROM posts""")
 SQL["D4_lexicon_sentiment"] = _with(_CLEANED + "," + lexicon("c", "ord", "clean_text"), "SELECT * FROM lex")
 
 

@@ -296,8 +296,11 @@ def _fixed_anchor_filter(df: DataFrame, question: str) -> DataFrame:
 
 
 def join_back(left: DataFrame, right: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
-    """Replace ``columns`` of the left side by the right side's, one right row per id."""
+    """Replace ``columns`` of the left side by the right side's, one right row per id.
+
+    The left side is processed rows, which have one row per id already, so no key is hot.
+    """
     wanted = [c for c in columns if c in right.columns and c != "tweet_id"]
     picked = keep_first(right, ["tweet_id"], [order]).select("tweet_id", *wanted)
     kept = left.drop(*[c for c in wanted if c in left.columns])
-    return spread_join(kept, picked, ["tweet_id"], "left")
+    return kept.join(picked, "tweet_id", "left")

@@ -154,7 +154,8 @@ def preview(
     """
     pool = pool_size(clamp_results(requested))
     passes = staged_search(posts, questions, max_results=pool, scope=scope, language=language)
-    found = spread_join(passes, posts, ["tweet_id"], spread_by=["question_id"])
+    # The passes (at most a pool per question and pass) are the side that is repeated.
+    found = spread_join(posts, passes, ["tweet_id"], spread_by=["text"])
     candidates = merge_candidates(found, pool, order=["pass_no", order], by=["question_id"])
     top = ranked(candidates, pool, ["question_id"]).join(
         questions.select("question_id", F.col("question").alias("live_search_query")), "question_id"

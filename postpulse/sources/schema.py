@@ -199,9 +199,8 @@ def profile_table(df: DataFrame, order: str | None = None, max_columns: int = 20
     """Row count, column count and, for the first columns, type, score and samples."""
     shown = df.columns[:max_columns]
     candidates = column_candidates(df, order).filter(F.col("column").isin(shown))
-    rows = df.agg(F.count(F.lit(1)).alias("row_count"))
-    return candidates.join(F.broadcast(rows)).select(  # one-row side
-        "row_count", F.lit(len(df.columns)).alias("column_count"),
+    return candidates.select(
+        F.lit(df.count()).alias("row_count"), F.lit(len(df.columns)).alias("column_count"),
         "column", "dtype", "score", "samples",
     )
 
