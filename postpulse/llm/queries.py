@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postpulse.llm.common import table
 from postpulse.llm.exact_dedup import exact_groups
 from postpulse.llm.licenses import scan_licenses
+from postpulse.llm.ngram_join import jaccard_classes
 from postpulse.llm.source_mix import mix
 from postpulse.llm.url_filter import judge_urls, rules_table
 from postpulse.session import prepare
@@ -43,6 +44,11 @@ def _(spark, sf):
     )
 
 
+@query("op4_ngram_jaccard")
+def _(spark, sf):
+    return jaccard_classes(table(spark, sf, "documents"), words=3, percent=90)
+
+
 @query("op7_source_mix")
 def _(spark, sf):
     return mix(table(spark, sf, "documents")).select(
