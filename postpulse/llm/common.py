@@ -46,3 +46,26 @@ def attach(rows: DataFrame, classes: DataFrame, key: str, weight: str) -> DataFr
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+#: Bits of the map that maybe_in sends to all tasks: 1 MB, whatever the number of keys.
+MAP_BITS = 1 << 23
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose key is not in ``keys``, before a shuffle.
+
+    The keys set bits in a map of MAP_BITS bits, of which at most MAP_BITS / 64 words are
+    broadcast.  The map errs by letting rows through, and with very many keys lets all
+    through; the join that follows decides.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
+    words = keys.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_bits")
+    )
+    return (
+        rows.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6))
+        .join(F.broadcast(words), "_word")
+        .where(F.expr("(shiftrightunsigned(_bits, cast(_bit % 64 as int)) & 1) = 1"))
+        .select(*rows.columns)
+    )

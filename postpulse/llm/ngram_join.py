@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postpulse.llm.common import attach, columns_of
+from postpulse.llm.common import attach, columns_of, maybe_in
 from postpulse.llm.components import components
 from postpulse.llm.textbytes import mix, shingle_sets
 from postpulse.session import materialize
@@ -319,9 +319,9 @@ def jaccard_classes(
     clusters = components(found, "jaccard-candidates")
     reps = classes.select(F.col("rep").alias("node"), "size")
     members = clusters.join(reps, "node").select(F.col("node").alias("id"), F.col("root").alias("cluster"), "size")
-    tasks = _tasks(members, percent, cluster_shingles)
+    tasks = materialize(_tasks(members, percent, cluster_shingles), "jaccard-tasks")
     links = (
-        named.join(tasks, "id").mapInArrow(
+        maybe_in(named, tasks, "id").join(tasks, "id").mapInArrow(
             _sets(words), "id bigint, cluster bigint, in_band int, low int, high int, elements binary"
         )
         .groupBy("cluster", "in_band", "low", "high").applyInArrow(_link(percent), "a bigint, b bigint")

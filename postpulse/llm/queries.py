@@ -12,6 +12,7 @@ from postpulse.llm.exact_dedup import exact_groups
 from postpulse.llm.licenses import scan_licenses
 from postpulse.llm.ngram_join import jaccard_classes
 from postpulse.llm.source_mix import mix
+from postpulse.llm.suffix_dedup import remove_repeats
 from postpulse.llm.url_filter import judge_urls, rules_table
 from postpulse.session import prepare
 
@@ -36,6 +37,16 @@ def _(spark, sf):
     return scan_licenses(table(spark, sf, "documents"))
 
 
+@query("op2_suffix_dedup")
+def _(spark, sf):
+    cut = remove_repeats(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op3_url_filter")
 def _(spark, sf):
     return judge_urls(table(spark, sf, "pages"), rules_table(spark, URL_RULES)).select(
