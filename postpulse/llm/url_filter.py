@@ -23,7 +23,7 @@ from postpulse.session import materialize
 #: Sorts below every character that a label or a path can hold.
 SEPARATOR = "\x00"
 #: Keys drawn to choose range borders; only the balance of the ranges depends on them.
-BORDER_SAMPLE = 20_000
+BORDER_SAMPLE = 2_000
 RANGES = 64
 
 RULES = "rule string, host string, path string, verdict string"
