@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import string
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A key is hot when it holds more than one row in so many; there are at most so many hot keys.
 HOT_SHARE = 1000
@@ -44,10 +48,6 @@ def attach(rows: DataFrame, classes: DataFrame, key: str, weight: str) -> DataFr
     return in_hot.unionByName(others.select(*rows.columns, *values))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 #: Bits of the map that maybe_in sends to all tasks: 1 MB, whatever the number of keys.
 MAP_BITS = 1 << 23
 
@@ -69,3 +69,48 @@ def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         .where(F.expr("(shiftrightunsigned(_bits, cast(_bit % 64 as int)) & 1) = 1"))
         .select(*rows.columns)
     )
+
+
+#: Bytes of output that a batch of map_rows gathers before it is handed on.
+OUT_BYTES = 1 << 24
+
+
+def map_rows(
+    df: DataFrame, text_col: str, run: Callable[[pa.Array], Iterator[tuple]], fields: list[tuple[str, str, pa.DataType]],
+) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns computed from one text column, row by row in Arrow batches.
+
+    ``fields``: (name, Spark type, Arrow type).  A name that ``df`` has already gets a number,
+    so no column of ``df`` is lost; the names used are returned.  Batches are cut where their
+    texts exceed OUT_BYTES.
+    """
+    names: list[str] = []
+    taken = {c.lower() for c in df.columns}
+    for name, _, _ in fields:
+        free = next(n for n in (name, *(f"{name}_{i}" for i in range(2, 1 << 30))) if n.lower() not in taken)
+        taken.add(free.lower())
+        names.append(free)
+    at, kinds = df.columns.index(text_col), [k for _, _, k in fields]
+    schema = StructType(list(df.schema.fields))
+    for name, (_, kind, _) in zip(names, fields, strict=True):
+        schema = schema.add(name, kind)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
+            cuts = [0, *(np.flatnonzero(np.diff(sizes // OUT_BYTES)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(low, high - low)
+                rows = list(run(part.column(at)))
+                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                    names=[*(f"c{i}" for i in range(part.num_columns)), *(f"n{i}" for i in range(len(kinds)))],
+                )
+
+    inner = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)] + [
+        StructField(f"n{i}", schema[name].dataType) for i, name in enumerate(names)
+    ])
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return numbered.mapInArrow(whole, inner).toDF(*df.columns, *names), names

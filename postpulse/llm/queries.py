@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postpulse.llm.bpe import encode_and_decode
 from postpulse.llm.common import table
 from postpulse.llm.exact_dedup import exact_groups
 from postpulse.llm.licenses import scan_licenses
@@ -18,6 +20,9 @@ from postpulse.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+#: Where the public vocabularies lie; SPARK_TOKENIZERS names another folder.
+TOKENIZERS = os.environ.get("SPARK_TOKENIZERS", "/opt/tokenizers")
+
 URL_RULES = (
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
     ("allow", "com", "/fr/"), ("block", "com", "/de/"),
@@ -70,3 +75,13 @@ def _(spark, sf):
 @query("op8_exact_dedup")
 def _(spark, sf):
     return exact_groups(table(spark, sf, "documents"))
+
+
+@query("op10_bpe")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    coded, (ids, decoded) = encode_and_decode(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return coded.select(
+        "doc_id", F.expr(f"octet_length({ids}) div 4").cast("bigint").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.encode(decoded, "UTF-8"), 256).alias("decoded_sha256"),
+    )
