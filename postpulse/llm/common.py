@@ -75,25 +75,22 @@ def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 OUT_BYTES = 1 << 24
 
 
-def map_rows(
-    df: DataFrame, text_col: str, run: Callable[[pa.Array], Iterator[tuple]], fields: list[tuple[str, str, pa.DataType]],
+def map_batches(
+    df: DataFrame, text_col: str, run: Callable[[pa.Array], list[pa.Array]], fields: list[tuple[str, str]],
 ) -> tuple[DataFrame, list[str]]:
-    """``df`` with columns computed from one text column, row by row in Arrow batches.
+    """``df`` with columns computed from one text column in Arrow batches.
 
-    ``fields``: (name, Spark type, Arrow type).  A name that ``df`` has already gets a number,
-    so no column of ``df`` is lost; the names used are returned.  Batches are cut where their
+    ``fields``: (name, Spark type).  A name that ``df`` has already gets a number, so no
+    column of ``df`` is lost; the names used are returned.  Batches are cut where their
     texts exceed OUT_BYTES.
     """
     names: list[str] = []
     taken = {c.lower() for c in df.columns}
-    for name, _, _ in fields:
+    for name, _ in fields:
         free = next(n for n in (name, *(f"{name}_{i}" for i in range(2, 1 << 30))) if n.lower() not in taken)
         taken.add(free.lower())
         names.append(free)
-    at, kinds = df.columns.index(text_col), [k for _, _, k in fields]
-    schema = StructType(list(df.schema.fields))
-    for name, (_, kind, _) in zip(names, fields, strict=True):
-        schema = schema.add(name, kind)
+    at, n_new = df.columns.index(text_col), len(fields)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,15 +99,28 @@ def map_rows(
             cuts = [0, *(np.flatnonzero(np.diff(sizes // OUT_BYTES)) + 1).tolist(), batch.num_rows]
             for low, high in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(low, high - low)
-                rows = list(run(part.column(at)))
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                    names=[*(f"c{i}" for i in range(part.num_columns)), *(f"n{i}" for i in range(len(kinds)))],
+                    [*part.columns, *run(part.column(at))],
+                    names=[*(f"c{i}" for i in range(part.num_columns)), *(f"n{i}" for i in range(n_new))],
                 )
 
-    inner = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)] + [
-        StructField(f"n{i}", schema[name].dataType) for i, name in enumerate(names)
-    ])
+    inner = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)])
+    for i, (_, kind) in enumerate(fields):
+        inner = inner.add(f"n{i}", kind)
     numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return numbered.mapInArrow(whole, inner).toDF(*df.columns, *names), names
+
+
+def map_rows(
+    df: DataFrame, text_col: str, run: Callable[[pa.Array], Iterator[tuple]], fields: list[tuple[str, str, pa.DataType]],
+) -> tuple[DataFrame, list[str]]:
+    """map_batches() for a function that yields one tuple per text; fields also name the
+    Arrow types."""
+    kinds = [k for _, _, k in fields]
+
+    def columns(texts: pa.Array) -> list[pa.Array]:
+        rows = list(run(texts))
+        found = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
+        return [pa.array(c, k) for c, k in zip(found, kinds, strict=True)]
+
+    return map_batches(df, text_col, columns, [(name, kind) for name, kind, _ in fields])

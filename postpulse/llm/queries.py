@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from postpulse.llm.bpe import encode_and_decode
 from postpulse.llm.common import table
 from postpulse.llm.exact_dedup import exact_groups
+from postpulse.llm.html_text import extract_text
 from postpulse.llm.licenses import scan_licenses
 from postpulse.llm.ngram_join import jaccard_classes
+from postpulse.llm.quality import judge_quality, train
 from postpulse.llm.source_mix import mix
 from postpulse.llm.suffix_dedup import remove_repeats
+from postpulse.llm.token_counts import count_tokens
 from postpulse.llm.url_filter import judge_urls, rules_table
 from postpulse.session import prepare
 
@@ -65,6 +68,20 @@ def _(spark, sf):
     return jaccard_classes(table(spark, sf, "documents"), words=3, percent=90)
 
 
+@query("op5_token_counts")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    counted, (n_words, n_tokens) = count_tokens(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return counted.select("doc_id", F.col(n_words).alias("n_words"), F.col(n_tokens).alias("n_tokens"))
+
+
+@query("op6_quality_rules")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    judged, names = judge_quality(docs, train(docs, table(spark, sf, "labels")))
+    return judged.select("doc_id", *names)
+
+
 @query("op7_source_mix")
 def _(spark, sf):
     return mix(table(spark, sf, "documents")).select(
@@ -77,6 +94,13 @@ def _(spark, sf):
     return exact_groups(table(spark, sf, "documents"))
 
 
+@query("op9_html_text")
+def _(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    taken, (text,) = extract_text(pages)
+    return taken.select("page_id", "url", F.col(text).alias("text"), F.length(text).cast("bigint").alias("n_chars"))
+
+
 @query("op10_bpe")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
