@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Callable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +88,7 @@ def map_batches(
     names: list[str] = []
     taken = {c.lower() for c in df.columns}
     for name, _ in fields:
-        free = next(n for n in (name, *(f"{name}_{i}" for i in range(2, 1 << 30))) if n.lower() not in taken)
+        free = next(n for n in chain([name], (f"{name}_{i}" for i in count(2))) if n.lower() not in taken)
         taken.add(free.lower())
         names.append(free)
     at, n_new = df.columns.index(text_col), len(fields)
