@@ -239,7 +239,7 @@ def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text") -> tup
     model = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(texts: pa.Array) -> Iterator[tuple]:
-        encoder = _encoder(path, model)
+        encoder = _encoder(path, model.value)
         decoder = Decoder(encoder.tokens)
         for text in texts:
             packed = encoder.encode(text.as_py() or "")
@@ -248,13 +248,13 @@ def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text") -> tup
     return map_rows(docs, text_col, run, [("ids", "binary", pa.binary()), ("decoded", "string", pa.string())])
 
 
-_workers: dict[tuple[str, int], Encoder] = {}
+_workers: dict[tuple[str, int], tuple[dict, Encoder]] = {}
 
 
-def _encoder(path: str, model) -> Encoder:
-    """One encoder for each broadcast model in a Python worker."""
-    key = (path, model.id if hasattr(model, "id") else 0)
+def _encoder(path: str, model: dict) -> Encoder:
+    """One encoder for each model in a Python worker."""
+    key = (path, id(model))
     if key not in _workers:
         _workers.clear()
-        _workers[key] = Encoder(model.value)
-    return _workers[key]
+        _workers[key] = model, Encoder(model)  # the model is kept, so its id stays its own
+    return _workers[key][1]

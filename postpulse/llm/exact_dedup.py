@@ -82,7 +82,10 @@ def exact_groups(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that exact_groups drops; rows with a null id stay when
-    their group has no other id."""
-    verdict = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(verdict.distinct(), docs[id_col].eqNullSafe(F.col("_dropped")), "left_anti")
+    """``docs`` without the rows that exact_groups drops, found again by id and content."""
+    gone = exact_groups(docs, id_col, text_col).where("not kept").select(
+        F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_text")
+    ).distinct()
+    content = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
+    same = docs[id_col].eqNullSafe(gone["_gone_id"]) & (content == gone["_gone_text"])
+    return docs.join(gone, same, "left_anti")

@@ -95,7 +95,16 @@ class Counter:
             return len(words), sum(map(self.known.__getitem__, words))
 
 
-_workers: dict[tuple, Counter] = {}
+_workers: dict[tuple[str, int], Counter] = {}
+
+
+def _counter(path: str, pieces: dict[str, float]) -> Counter:
+    """One counter for each vocabulary in a Python worker."""
+    key = (path, id(pieces))
+    if key not in _workers:
+        _workers.clear()
+        _workers[key] = Counter(pieces)  # which also keeps the vocabulary's id in use
+    return _workers[key]
 
 
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text") -> tuple[DataFrame, list[str]]:
@@ -109,11 +118,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text") -> tuple[Da
     pieces = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(texts: pa.Array) -> Iterator[tuple]:
-        key = (path, pieces.id if hasattr(pieces, "id") else 0)
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = Counter(pieces.value)
-        counter = _workers[key]
+        counter = _counter(path, pieces.value)
         raw = [(t.as_py() or "").encode() for t in texts]
         known = counter.known
         fresh = {w for t in raw for w in t.split() if w not in known}
