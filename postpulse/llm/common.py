@@ -105,9 +105,8 @@ def map_batches(
                     names=[*(f"c{i}" for i in range(part.num_columns)), *(f"n{i}" for i in range(n_new))],
                 )
 
-    inner = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)])
-    for i, (_, kind) in enumerate(fields):
-        inner = inner.add(f"n{i}", kind)
+    added = StructType.fromDDL(", ".join(f"n{i} {kind}" for i, (_, kind) in enumerate(fields)))
+    inner = StructType([*(StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)), *added.fields])
     numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return numbered.mapInArrow(whole, inner).toDF(*df.columns, *names), names
 
