@@ -1,6 +1,7 @@
 """Removal of long byte strings that occur more than once, by suffix arrays over shards.
 
-Every window of ``length`` bytes has an anchor, the k-gram with the smallest hash in it.  Equal
+Every window of ``length`` bytes has an anchor, the k-gram with the smallest hash in it (k-grams
+that anchor a large share of all windows come last, whatever their hash).  Equal
 windows have equal anchors at equal places, so the windows of one anchor can be judged apart
 from all others.  Consecutive windows with one anchor make a *segment*.  Anchors that occur
 once are dropped; equal segments are combined to one row with a weight; the rest is dealt to
@@ -34,6 +35,11 @@ GRAM = 48
 SHARD_BYTES = 1 << 19
 
 _PLACE = 20  # bits of a position; texts are walked in pieces of at most 2**20 bytes
+_LATE = np.uint64(1 << 63)
+#: An anchor with more than one in so many segments is common; at most so many are.
+COMMON_SHARE = 10_000
+#: Bytes of segments that are handed on at once.
+_OUT_BYTES = 1 << 22
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,9 +68,12 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def segments(
+    data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, common: np.ndarray | None = None,
+) -> tuple[np.ndarray, ...]:
     """(value, first window, number of windows, anchor, digest of the segment's bytes) of all
-    segments of values that lie end to end; positions are relative to the value."""
+    segments of values that lie end to end; positions are relative to the value.  Hashes of
+    ``common`` (sorted) are anchors only of windows that have no other."""
     gram = min(GRAM, length // 2)
     width = length - gram + 1
     n = len(data)
@@ -72,8 +81,17 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tup
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     begins = np.arange(n - gram + 1)
     hashes = piece_hashes(data, begins, begins + gram)
-    keys = (hashes >> np.uint64(_PLACE)) << np.uint64(_PLACE)
-    anchor = (_smallest(keys | begins.astype(np.uint64), width) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+    keys = hashes
+    keys = (keys >> np.uint64(1)) & ~np.uint64((1 << _PLACE) - 1) | begins.astype(np.uint64)
+    while True:
+        anchor = (_smallest(keys, width) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+        if common is None or not len(common):
+            break
+        chosen = anchor[np.concatenate([[True], anchor[1:] != anchor[:-1]])]
+        late = chosen[(keys[chosen] < _LATE) & np.isin(hashes[chosen], common)]
+        if not len(late):
+            break
+        keys[late] |= _LATE  # behind all others; what a window picks instead is looked at next
     value = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
     fits = np.arange(len(anchor)) + length <= offsets[value + 1]
     at = np.flatnonzero(fits)
@@ -88,25 +106,29 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tup
     return value[first], first - offsets[value[first]], count, hashes[anchor[first]], digest
 
 
-def _walk(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _walk(data: np.ndarray, offsets: np.ndarray, length: int, common: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
     """segments() over any amount of text, in pieces that overlap by ``length`` - 1 bytes."""
     most = 1 << (_PLACE - 1)
     for first, last, part, at in chunks(data, offsets, most):
         if len(part) <= 1 << _PLACE:
-            value, begin, *rest = segments(part, at, length)
+            value, begin, *rest = segments(part, at, length, common)
             yield value + first, begin, *rest
             continue
         for start in range(0, len(part) - length + 1, most):  # one long value
             piece = part[start : start + most + length - 1]
-            value, begin, *rest = segments(piece, np.array([0, len(piece)]), length)
+            value, begin, *rest = segments(piece, np.array([0, len(piece)]), length, common)
             yield value + first, begin + start, *rest
 
 
-def _anchors(length: int):
+def _anchors(length: int, common: np.ndarray | None = None, narrow: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
-            for value, begin, count, anchor, digest in _walk(*utf8(batch.column(2)), length):
+            for value, begin, count, anchor, digest in _walk(*utf8(batch.column(2)), length, common):
+                if narrow:
+                    found, times = np.unique(anchor.view(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], names=["anchor", "n"])
+                    continue
                 yield pa.RecordBatch.from_arrays([
                     pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), keys.take(pa.array(value)),
                     pa.array(begin, pa.int64()), pa.array(count.astype(np.int32)),
@@ -115,23 +137,43 @@ def _anchors(length: int):
     return run
 
 
+def common_anchors(keyed: DataFrame, length: int) -> np.ndarray:
+    """Anchors of more than one in COMMON_SHARE segments (so at most COMMON_SHARE): phrases that
+    stand in very many texts and would bring all their segments together for nothing."""
+    times = materialize(
+        keyed.mapInArrow(_anchors(length, narrow=True), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"),
+        "repeat-counts",
+    )
+    total = times.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    found = times.where((F.col("n") * COMMON_SHARE > total) & (F.col("n") > 16)).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in found], np.int64).view(np.uint64))
+
+
 def _cut_segments(length: int):
     """Rows of (key, text, list of segments) to one row per segment with its bytes."""
 
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) if out else [[]] * 6
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+            names=["shard", "cut", "anchor", "digest", "n", "bytes"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             out: list[tuple] = []
-            for i, wanted in enumerate(batch.column("wanted").to_pylist()):
-                for w in wanted:
-                    begin = offsets[i] + w["begin"]
-                    out.append((w["shard"], w["cut"], w["anchor"], w["digest"], w["n"], data[begin : begin + w["windows"] + length - 1].tobytes()))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                names=["shard", "cut", "anchor", "digest", "n", "bytes"],
-            )
+            held = 0
+            for i, wanted in enumerate(batch.column("wanted")):
+                for w in wanted.as_py():
+                    begin, size = offsets[i] + w["begin"], w["windows"] + length - 1
+                    out.append((w["shard"], w["cut"], w["anchor"], w["digest"], w["n"], data[begin : begin + size].tobytes()))
+                    held += size
+                    if held > _OUT_BYTES:
+                        yield packed(out)
+                        out, held = [], 0
+            yield packed(out)
 
     return run
 
@@ -193,8 +235,9 @@ def _judge(length: int):
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(key, spans): for each keyed row with repeats, the ranges of its repeating windows."""
+    common = common_anchors(keyed, length)
     anchors = materialize(
-        keyed.mapInArrow(_anchors(length), "anchor bigint, digest bigint, key binary, begin bigint, windows int"),
+        keyed.mapInArrow(_anchors(length, common), "anchor bigint, digest bigint, key binary, begin bigint, windows int"),
         "repeat-anchors",
     )
     often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")

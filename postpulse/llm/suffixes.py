@@ -10,6 +10,9 @@ from __future__ import annotations
 import numpy as np
 
 _BLOCK = 1024
+#: Names (of leftmost-smaller substrings) up to which a recursion ends in rank doubling: blocks
+#: of so few entries cost more than sorting them.
+_SHORT = 1 << 16
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -108,6 +111,23 @@ def _same_pieces(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray, which:
     return same
 
 
+def _doubled(text: np.ndarray) -> np.ndarray:
+    """Suffix array of a short text by doubling ranks, where recursion ends."""
+    n, step = len(text), 1
+    rank = text.astype(np.int64) + 1
+    while True:
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - step)] = rank[step:]
+        key = rank * (rank.max() + 1) + after
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[1], ranked[1:] != ranked[:-1]]))
+        if rank[order[-1]] == n:
+            return order
+        step *= 2
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Begins of the suffixes of ``text`` (non-negative integers) in ascending order."""
     n = len(text)
@@ -131,7 +151,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     else:
         names = np.empty(len(lms), np.int64)
         names[which] = names_sorted
-        order = suffix_array(names.astype(np.uint16) if names_sorted[-1] < 65535 else names)
+        short = len(names) <= _SHORT
+        order = _doubled(names) if short else suffix_array(names.astype(np.uint16) if names_sorted[-1] < 65535 else names)
     return _sorted_by(text, smaller, ends, lms[order])
 
 
