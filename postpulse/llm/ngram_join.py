@@ -299,7 +299,7 @@ def jaccard_classes(
       sequence; no words, empty or null text: the empty set, linked with nothing.
     * Link: 100 * common >= percent * union.  component_id: the smallest id reachable by links.
     * Equal sets are one class from the start, so a text repeated in a third of all rows is
-      compared once.  Rows with one id count as one document, reachable from each other.
+      compared once.  Texts with words that share an id count as one document.
     * A row with a null id has its n_shingles, a null component_id and no links.
     * Empty table: no rows.  Other columns are not looked at.
     """

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from postpulse.llm import suffixes
 from postpulse.llm.components import components
 from postpulse.llm.exact_dedup import drop_copies, exact_groups
 from postpulse.llm.ngram_join import band_of, differing, jaccard_classes, linked, signatures
@@ -72,8 +73,8 @@ def brute_classes(rows, k, percent):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            same = a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j])
-            if rows[i][0] is not None and rows[j][0] is not None and (same or rows[i][0] == rows[j][0]):
+            same = rows[i][0] == rows[j][0] or 100 * len(a & sets[j]) >= percent * len(a | sets[j])
+            if rows[i][0] is not None and rows[j][0] is not None and a and sets[j] and same:
                 parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -142,7 +143,9 @@ def test_components_of_chains_and_stars(spark):
     assert len(found) == 41 + 30
 
 
-def test_suffix_array_and_prefixes_equal_sorting():
+@pytest.mark.parametrize("short", [0, 1 << 16])
+def test_suffix_array_and_prefixes_equal_sorting(monkeypatch, short):
+    monkeypatch.setattr(suffixes, "_SHORT", short)
     rng = random.Random(1)
     for trial in range(150):
         n, k = rng.randrange(1, 90), rng.choice([1, 2, 3, 200])
