@@ -29,7 +29,9 @@ _PATTERN = (
     + _WHITE + r"]+(?![^" + _WHITE + r"])|[" + _WHITE + r"]+"
 )
 #: Encoded pieces of text that a Python worker remembers; then it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: A mark behind letters is a pre-token of its own, of one byte.
+_MARKS = frozenset(",.;:!?")
 #: Characters that are split at once.
 _SLICE = 1 << 16
 
@@ -156,7 +158,7 @@ class Encoder:
                 at += len(self.tokens[token])
             held = held[at:]
 
-    def _pretoken(self, text: str) -> bytes:
+    def _pretoken(self, text: str, keep: bool = True) -> bytes:
         found = self.pieces.get(text)
         if found is None:
             raw = text.encode()
@@ -165,7 +167,7 @@ class Encoder:
             else:
                 ids = list(self.stream(raw[i : i + self.window] for i in range(0, len(raw), self.window)))
             found = np.array(ids, "<u4").tobytes()
-            if len(raw) <= 256:
+            if keep and len(raw) <= 256:
                 if len(self.pieces) >= REMEMBERED:
                     self.pieces.clear()
                 self.pieces[text] = found
@@ -173,10 +175,16 @@ class Encoder:
 
     def _piece(self, text: str) -> bytes:
         """A piece that ends where white space can't reach across."""
-        if len(text) > _SLICE:
+        core = text[1:] if text[0] == " " else text
+        if core.isalpha():  # letters only: one pre-token
+            found = self._pretoken(text, keep=False)
+        elif core and core[-1] in _MARKS and core[:-1].isalpha():
+            found = (self.known.get(text[:-1]) or self._piece(text[:-1])) + self.single[ord(core[-1])].to_bytes(4, "little")
+        elif len(text) > _SLICE:
             matches = regex.finditer(_PATTERN, text)
             return b"".join(self._pretoken(m.group()) for m in matches)
-        found = b"".join(map(self._pretoken, self.find(text)))
+        else:
+            found = b"".join(map(self._pretoken, self.find(text)))
         if len(text) <= 256:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
