@@ -33,11 +33,11 @@ from postpulse.session import materialize
 #: Words of a shingle and percentage of similarity, where the caller states none.
 WORDS, PERCENT = 5, 80
 #: Shingles that one comparing task may hold; larger clusters are compared in parts.
-CLUSTER_SHINGLES = 8_000_000
+CLUSTER_SHINGLES = 4_000_000
 #: Pieces of a part, and how many of them may differ.
 PIECES, DIFFER = 2, 1
-#: Rows that a task combines before it sends signatures.
-COMBINE = 4_000_000
+#: Signatures that a task combines before it sends them.
+COMBINE = 400_000
 
 _EMPTY = np.uint64(0)
 
@@ -116,15 +116,23 @@ def _describe(k: int):
     return run
 
 
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def _star(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(signatures, smallest id of each, and the pairs (smallest, other))."""
-    order = np.lexsort((ids, sig))
+    order = np.argsort(sig)
     sig, ids = sig[order], ids[order]
-    head = np.concatenate([[True], sig[1:] != sig[:-1]])
-    smallest = np.repeat(ids[head], np.diff(np.concatenate([np.flatnonzero(head), [len(sig)]])))
+    at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    least = np.minimum.reduceat(ids, at)
+    smallest = np.repeat(least, np.diff(np.append(at, len(sig))))
     other = smallest != ids
-    pairs = np.unique(np.stack([smallest[other], ids[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
-    return sig[head], ids[head], pairs[0], pairs[1]
+    return sig[at], least, *_distinct_pairs(smallest[other], ids[other])
 
 
 def _sign(k: int, percent: int):
@@ -173,8 +181,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig_before, smallest_before = sig[-1], smallest[-1]
         own = np.repeat(smallest, np.diff(np.concatenate([at, [len(sig)]])))
         other = own != ids
-        pairs = np.unique(np.stack([own[other], ids[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        a, b = _distinct_pairs(own[other], ids[other])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _sets(k: int):
