@@ -132,7 +132,7 @@ SQL["C4_parse_timestamp"] = f"""
 SELECT event_id, CASE event_id % 6 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('day', ts)
   WHEN 2 THEN date_trunc('second', ts) WHEN 4 THEN date_trunc('second', ts) ELSE {RUN_TS} END AS created_at FROM events"""
 SQL["C5_defaults"] = f"""
-SELECT 'local-' || sha256(text || chr(1) || lang) AS tweet_id, 'unknown' AS author, 'manual_or_sample' AS source,
+SELECT 'local-' || sha256(text || chr(1) || lang) || CASE WHEN row_number() OVER (PARTITION BY text, lang) > 1 THEN '-' || row_number() OVER (PARTITION BY text, lang) ELSE '' END AS tweet_id, 'unknown' AS author, 'manual_or_sample' AS source,
   {RUN_TS} AS created_at FROM documents"""
 SQL["C6_dedupe_first"] = _with(POSTS, "SELECT tweet_id, min(ord) AS ord FROM posts GROUP BY tweet_id")
 _CORPORA = POSTS + """,
@@ -149,8 +149,11 @@ SQL["C9_conform_silver"] = _with(SILVER, """
 SELECT tweet_id, text, created_at, query_ticker, primary_ticker, sentiment, sentiment_confidence, topic, is_noise,
   like_count, run_id, source, ingestion_date, NULL::VARCHAR AS x_query, author_id FROM silver""")
 SQL["C10_repair_ids"] = _with(POSTS, """
-SELECT ord, CASE ord % 3 WHEN 0 THEN tweet_id WHEN 1 THEN 'i' || ord ELSE 'doc' || ord END AS tweet_id FROM posts""")
-SQL["C11_surrogate_ids"] = "SELECT doc_id, 'local-' || sha256(text || chr(1) || lang) AS tweet_id FROM documents"
+SELECT run_id, CASE ord % 4 WHEN 0 THEN tweet_id WHEN 1 THEN 'i' || ord WHEN 2 THEN 'doc' || ord
+  ELSE run_id || '_' || h || CASE WHEN row_number() OVER (PARTITION BY h, ord % 4) > 1 THEN '-' || row_number() OVER (PARTITION BY h, ord % 4) ELSE '' END END AS tweet_id
+FROM (SELECT *, sha256(concat_ws(chr(1), chr(0), chr(0), chr(0), coalesce(run_id, chr(0)), coalesce(text, chr(0)), coalesce(lang, chr(0)))) AS h FROM posts)""")
+SQL["C11_surrogate_ids"] = """
+SELECT lang, 'local-' || sha256(text || chr(1) || lang) || CASE WHEN row_number() OVER (PARTITION BY text, lang) > 1 THEN '-' || row_number() OVER (PARTITION BY text, lang) ELSE '' END AS tweet_id FROM documents"""
 SQL["C12_by_ticker"] = _with(PROCESSED, "SELECT tweet_id, primary_ticker, sentiment FROM processed WHERE primary_ticker = 'TSLA'")
 _SEARCHABLE = "lower(text || ' ' || primary_ticker || ' ' || topic)"
 SQL["C13_by_keywords"] = _with(PROCESSED, f"""
@@ -205,7 +208,7 @@ _CANDIDATE = (
 )
 SQL["D10_rewrite_candidates"] = _with(POSTS, f"SELECT ord, {_CANDIDATE} AS candidate FROM posts")
 SQL["D11_rewrites"] = _with(POSTS + f""",
-chosen AS (SELECT ord, contains(text, 'Baa3') AS fails FROM posts WHERE {_CANDIDATE} ORDER BY ord LIMIT 25)""", """
+chosen AS (SELECT ord, contains(text, 'Baa3') AS fails FROM posts WHERE {_CANDIDATE})""", """
 SELECT ord, (length(CASE WHEN fails = false THEN trim('[en] ' || text) ELSE text END))::INT AS chars,
   CASE WHEN fails THEN 'failed' WHEN fails = false THEN 'tagging-translator' ELSE 'none' END AS translation_model,
   CASE WHEN fails THEN 'ValueError' WHEN fails = false THEN 'non_english_financial_text' ELSE 'not_translated' END AS translation_reason
@@ -566,9 +569,10 @@ SELECT day, count(*) AS posts, count(*) FILTER (WHERE sentiment = 'positive') AS
   string_agg('- ' || text[:220], chr(10) ORDER BY rn) FILTER (WHERE rn <= 3) AS evidence FROM d GROUP BY day""")
 SQL["F20_topic_shift"] = _with(PROCESSED + """,
 src AS (SELECT * REPLACE (CASE WHEN ord % 4 <> 0 THEN topic END AS topic) FROM processed),""" + overridden("processed", "o") + """,
-b AS (SELECT topic, count(*) AS before FROM src GROUP BY 1 ORDER BY 2 DESC, 1 NULLS LAST LIMIT 10),
-a AS (SELECT topic, count(*) AS after FROM o GROUP BY 1 ORDER BY 2 DESC, 1 NULLS LAST LIMIT 15)""", """
-SELECT coalesce(b.topic, a.topic) AS topic, before, after FROM b FULL JOIN a ON b.topic IS NOT DISTINCT FROM a.topic""")
+b AS (SELECT topic, count(*) AS before, row_number() OVER (ORDER BY count(*) DESC, topic NULLS LAST) AS nb FROM src GROUP BY 1),
+a AS (SELECT topic, count(*) AS after, row_number() OVER (ORDER BY count(*) DESC, topic NULLS LAST) AS na FROM o GROUP BY 1)""", """
+SELECT coalesce(b.topic, a.topic) AS topic, before, after FROM b FULL JOIN a ON b.topic IS NOT DISTINCT FROM a.topic
+WHERE nb <= 10 OR na <= 15""")
 
 
 # ---- retrieval ----
@@ -652,7 +656,7 @@ known AS (SELECT *, {tier('author_username')} AS tier, {tier('author_username')}
   {clean('text')} AS clean_text FROM landed),""" + heuristic("known", "lab", "query_ticker") + """,
 day_of_chunk AS (""" + _CHUNK_DAY + """),
 rel AS MATERIALIZED (SELECT lab.*, chunk_date FROM lab JOIN day_of_chunk ON chunk = ord // 20 WHERE NOT is_noise AND clean_text <> ''
-  QUALIFY row_number() OVER (PARTITION BY tweet_id
+  QUALIFY row_number() OVER (PARTITION BY ord // 20, tweet_id
     ORDER BY concat_ws(chr(1), tweet_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ'), text)) = 1),""" + lexicon("rel", "ord", "clean_text") + f""",
 e AS (SELECT rel.*, sentiment, coalesce({tickers('clean_text')}[1], 'UNMAPPED') AS primary_ticker, {topic('clean_text', fold('clean_text'))} AS topic
   FROM rel JOIN lex USING (ord)),""" + overridden("e", "o"), """
@@ -674,8 +678,8 @@ snap AS MATERIALIZED (SELECT tweet_id, ord, created_at FROM (
 SQL["L4_latest"] = _with(_SNAP, "SELECT * FROM snap ORDER BY created_at DESC NULLS LAST, ord LIMIT 1000")
 SQL["L5_latest_tail"] = _with(_SNAP, "SELECT * FROM snap ORDER BY created_at DESC NULLS FIRST, ord DESC LIMIT 500")
 SQL["L7_upload"] = _with(POSTS + f""",
-up AS MATERIALIZED (SELECT 'local-' || sha256(text) AS tweet_id, min(text) AS text, min({clean('text')}) AS clean_text
-  FROM documents WHERE {clean('text')} <> '' GROUP BY 1),
+up AS MATERIALIZED (SELECT 'local-' || row_number() OVER () AS tweet_id, text, {clean('text')} AS clean_text
+  FROM documents WHERE {clean('text')} <> ''),
 up_f AS (SELECT *, {fold('clean_text')} AS folded FROM up),""" + lexicon("up", "tweet_id", "clean_text") + f""",
 up_s AS (SELECT u.*, sentiment, {topic('clean_text', 'folded')} AS topic FROM up_f u JOIN lex USING (tweet_id)),""" + overridden("up_s", "up_o") + ",", "")
 SQL["L8_daily_stream"] = _with(SILVER, f"""

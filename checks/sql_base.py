@@ -63,7 +63,7 @@ posts AS MATERIALIZED (
   SELECT event_id * 2 AS ord,
     (CASE WHEN event_id % 50 = 49 THEN event_id - 1 ELSE event_id END)::VARCHAR AS tweet_id,
     {_PICK_TEXT}
-      || CASE WHEN (event_id // 24) % 3 = 0 THEN chr(10) || event_type || chr(10) || props ELSE '' END
+      || chr(10) || event_type || chr(10) || props
       || CASE WHEN (event_id // 24) % 5 = 0 THEN ' https://ex.example/p' || event_id ELSE '' END
       || CASE WHEN (event_id // 24) % 7 = 0 THEN ' @user' || user_id ELSE '' END AS text,
     CASE WHEN event_id % 41 <> 0 THEN ts END AS created_at,
@@ -89,7 +89,7 @@ QUESTION_ROWS = f"""
 questions AS MATERIALIZED (
   SELECT conv_id * 1000 + turn AS question_id,
     {lst(QUESTIONS)}[((conv_id * 7 + turn) % {len(QUESTIONS)} + 1)::INT]
-      || CASE WHEN conv_id % 3 = 0 THEN ' ' || text ELSE '' END AS question
+      || ' ' || text AS question
   FROM conversations WHERE role = 'user'
 )"""
 

@@ -267,15 +267,14 @@ def summary_facts(df: DataFrame, order: Sequence[Column], by: str, cut: int = 22
 
 
 def topic_shift(before: DataFrame, after: DataFrame, k_before: int = 10, k_after: int = 15) -> DataFrame:
-    """Most frequent topics before and after a reprocess, nulls counted."""
+    """Most frequent topics before or after a reprocess with both counts, nulls counted."""
 
-    def top(df: DataFrame, k: int, name: str) -> DataFrame:
-        counted = df.groupBy("topic").agg(F.count(F.lit(1)).alias(name))
-        return top_k(counted, k, [F.col(name).desc(), F.col("topic").asc_nulls_last()])
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        counts = df.groupBy("topic").agg(F.count(F.lit(1)).alias(name))
+        order = Window.orderBy(F.col(name).desc(), F.col("topic").asc_nulls_last())  # over topics, not rows
+        return counts.withColumn(f"_{name}", F.row_number().over(order))
 
-    left = top(before, k_before, "before").alias("b")
-    right = top(after, k_after, "after").alias("a")
+    left, right = counted(before, "before").alias("b"), counted(after, "after").alias("a")
     same = F.col("b.topic").eqNullSafe(F.col("a.topic"))
-    return left.join(right, same, "full").select(
-        F.coalesce("b.topic", "a.topic").alias("topic"), "before", "after"
-    )
+    both = left.join(right, same, "full").where((F.col("_before") <= k_before) | (F.col("_after") <= k_after))
+    return both.select(F.coalesce("b.topic", "a.topic").alias("topic"), "before", "after")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from postpulse.functions.text import clean_text, contains_any, text_or_empty
 from postpulse.operators.joins import keep_first, keep_last
@@ -57,16 +58,43 @@ def with_created_at(df: DataFrame, run_ts: Column | str) -> DataFrame:
     return df.withColumn("created_at", F.coalesce(timestamp_column(df, "created_at"), fallback))
 
 
-def surrogate_id(columns: Sequence[str], prefix: str = "local-") -> Column:
-    """Content hash: the same row gets the same id wherever it is computed."""
+def content_hash(columns: Sequence[str]) -> Column:
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]
-    return F.concat(F.lit(prefix), F.sha2(F.concat_ws("\u0001", *parts), 256))
+    return F.sha2(F.concat_ws("\u0001", *parts), 256)
+
+
+_NUMBER_SALTS = 64
+
+
+def with_surrogate_ids(df: DataFrame, name: str, columns: Sequence[str], prefix: str | Column = "local-") -> DataFrame:
+    """``name``: a content hash, and from the second of equal rows on their number, so that
+    every row has an id of its own and the set of ids is the same wherever it is computed.
+
+    Equal rows are numbered in two levels, within a salt (of the input partition) and over the
+    salts, so a text repeated very often is not one task.
+    """
+    keyed = df.withColumns({
+        "_hash": content_hash(columns), "_part": F.pmod(F.spark_partition_id(), F.lit(_NUMBER_SALTS)),
+    })
+    over = Window.partitionBy("_hash").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = keyed.groupBy("_hash", "_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_hash", "_part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before")
+    )
+    within = F.row_number().over(Window.partitionBy("_hash", "_part").orderBy(F.lit(0)))
+    number = F.col("_before") + within
+    start = F.lit(prefix) if isinstance(prefix, str) else prefix
+    suffix = F.when(F.col("_number") == 1, F.lit("")).otherwise(F.concat(F.lit("-"), F.col("_number")))
+    return (
+        keyed.join(before, ["_hash", "_part"]).withColumn("_number", number)
+        .withColumn(name, F.concat(start, F.col("_hash"), suffix))
+        .drop("_hash", "_part", "_before", "_number")
+    )
 
 
 def with_defaults(df: DataFrame, run_ts: Column | str) -> DataFrame:
     """Ids, time, author and source for frames that lack them."""
     if "tweet_id" not in df.columns:
-        df = df.withColumn("tweet_id", surrogate_id(df.columns))
+        df = with_surrogate_ids(df, "tweet_id", df.columns)
     if "author" not in df.columns:
         df = df.withColumn("author", F.lit("unknown"))
     if "source" not in df.columns:
@@ -75,13 +103,17 @@ def with_defaults(df: DataFrame, run_ts: Column | str) -> DataFrame:
 
 
 def repair_ids(df: DataFrame, run_id: Column | None = None) -> DataFrame:
-    """``tweet_id`` from ``tweet_id``, else ``id``, else ``doc_id``, else a hash below the run."""
+    """``tweet_id`` from ``tweet_id``, else ``id``, else ``doc_id``, else a numbered hash below the run."""
     known = [F.col(c).cast("string") for c in ("tweet_id", "id", "doc_id") if c in df.columns]
     run = run_id if run_id is not None else (
         F.col("run_id") if "run_id" in df.columns else F.lit("run")
     )
-    generated = F.concat(run, F.lit("_"), surrogate_id(df.columns, prefix=""))
-    return df.withColumn("tweet_id", F.coalesce(*known, generated))
+    named = df.withColumn("_known", F.coalesce(*known) if known else F.lit(None).cast("string"))
+    have = named.where(F.col("_known").isNotNull()).withColumn("tweet_id", F.col("_known")).drop("_known")
+    lack = with_surrogate_ids(
+        named.where(F.col("_known").isNull()).drop("_known"), "tweet_id", df.columns, F.concat(run, F.lit("_"))
+    )
+    return have.unionByName(lack)
 
 
 def _identity(columns: Sequence[str], candidates: Sequence[str]) -> list[str]:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from postpulse.functions.models import Scorer, Translator
 from postpulse.functions.overrides import apply_overrides, rewrite_candidate
@@ -130,23 +131,20 @@ def process_posts(
     return unique if scored_first else with_sentiment(unique, model, scorer)
 
 
-REWRITE_CAP = 25
-_MAX_REWRITE_CAP = 10_000
-
-
 def with_rewrites(
     df: DataFrame,
     translator: Translator | None,
     *,
     order: str,
-    cap: int = REWRITE_CAP,
+    cap: int | None = None,
+    by: Sequence[str] = (),
     disabled: bool = False,
 ) -> DataFrame:
-    """Rewrite the first ``cap`` candidate texts, with an audit trail per row.
+    """Rewrite candidate texts in place, with an audit trail per row.
 
-    Adds original_text, model_input_text, translation_model and translation_reason.
-    ``order`` must identify a row; the rewrites are joined back by it (at most
-    ``cap`` rows, hence the broadcast).
+    Adds original_text, model_input_text, translation_model and translation_reason.  All
+    candidates are rewritten; a caller who pays per text can set ``cap``, the number of
+    candidates rewritten of each ``by`` group (a run, a question), the first in ``order``.
     """
     base = df.withColumn("original_text", text_or_empty(F.col("text")))
     if disabled or translator is None:
@@ -155,15 +153,13 @@ def with_rewrites(
             "translation_model": F.lit("none"),
             "translation_reason": F.lit("disabled" if disabled else "not_translated"),
         })
-    if not 0 < cap <= _MAX_REWRITE_CAP:
-        raise ValueError(f"cap must be between 1 and {_MAX_REWRITE_CAP}")
-
-    chosen = (
-        base.filter(rewrite_candidate(F.col("original_text")))
-        .orderBy(F.col(order).asc_nulls_last())
-        .limit(cap)
-        .select(F.col(order), F.col("original_text"))
-    )
+    candidate = F.coalesce(rewrite_candidate(F.col("original_text")), F.lit(False))
+    chosen, rest = base.filter(candidate), base.filter(~candidate)
+    if cap is not None:
+        group = Window.partitionBy(*([F.col(c) for c in by] or [F.lit(0)]))
+        chosen = chosen.withColumn("_rw_rank", F.row_number().over(group.orderBy(F.col(order).asc_nulls_last())))
+        rest = rest.unionByName(chosen.filter(F.col("_rw_rank") > cap).drop("_rw_rank"))
+        chosen = chosen.filter(F.col("_rw_rank") <= cap).drop("_rw_rank")
 
     @F.pandas_udf("struct<text:string,error:string>")
     def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -172,17 +168,20 @@ def with_rewrites(
             rows = []
             for text in batch:
                 try:
-                    rows.append(((call(text) or "").strip(), None))
+                    rows.append((None if text is None else (call(text) or "").strip(), None))
                 except Exception as error:  # the row passes through, the reason is kept
                     rows.append((None, type(error).__name__))
             yield pd.DataFrame(rows, columns=["text", "error"])
 
     done = chosen.withColumn("_rw", rewrite.asNondeterministic()("original_text")).select(
-        order, F.col("_rw.text").alias("_rw_text"), F.col("_rw.error").alias("_rw_error")
+        *base.columns, F.col("_rw.text").alias("_rw_text"), F.col("_rw.error").alias("_rw_error")
     )
+    passed = rest.withColumns({
+        "_rw_text": F.lit(None).cast("string"), "_rw_error": F.lit(None).cast("string"),
+    })
     ok = F.length("_rw_text") > 0
     failed = F.col("_rw_error").isNotNull()
-    return base.join(F.broadcast(done), order, "left").withColumns({
+    return done.unionByName(passed).withColumns({
         "model_input_text": F.when(ok, F.col("_rw_text")).otherwise(F.col("original_text")),
         "translation_model": F.when(failed, "failed").when(ok, translator.name).otherwise("none"),
         "translation_reason": F.when(failed, F.col("_rw_error"))
@@ -197,7 +196,8 @@ def process_with_rewrites(
     *,
     order: str,
     run_ts: Column | str = "1970-01-01 00:00:00",
-    cap: int = REWRITE_CAP,
+    cap: int | None = None,
+    by: Sequence[str] = (),
     disabled: bool = False,
     model: str = "lexicon",
     scorer: Scorer | None = None,
@@ -206,7 +206,7 @@ def process_with_rewrites(
 
     Every row carries its own original, so dropped or deduplicated rows cannot shift it.
     """
-    rewritten = with_rewrites(df, translator, order=order, cap=cap, disabled=disabled)
+    rewritten = with_rewrites(df, translator, order=order, cap=cap, by=by, disabled=disabled)
     processed = process_posts(
         rewritten.withColumn("text", F.col("model_input_text")),
         run_ts=run_ts, order=order, model=model, scorer=scorer,

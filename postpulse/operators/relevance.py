@@ -264,6 +264,12 @@ def merge_candidates(
     ).drop("_eng")
 
 
+def evaluated_once(df: DataFrame, name: str, rule: Column) -> DataFrame:
+    """``rule`` as a column that a filter on it does not evaluate (and plan) a second time: a
+    filter is pushed through a projection, but not through a generator."""
+    return df.withColumn(name, F.explode(F.array(rule)))
+
+
 def anchor_filter(df: DataFrame, question: Column | str) -> DataFrame:
     """Keep posts that preserve enough of the question's anchors.
 
@@ -273,12 +279,14 @@ def anchor_filter(df: DataFrame, question: Column | str) -> DataFrame:
     if isinstance(question, str):
         return _fixed_anchor_filter(df, question)
     groups = anchors.with_implied_context(anchors.anchor_groups(question))
-    counted = df.withColumn("_groups", groups).withColumn(
-        "anchor_match_count", anchors.match_count(F.col("text"), F.col("_groups"))
-    )
-    return counted.filter(
-        F.col("anchor_match_count") >= anchors.required_count(F.col("_groups"))
-    ).drop("_groups")
+    asked = evaluated_once(df, "_groups", groups)
+    counted = evaluated_once(asked, "_anchors", F.struct(
+        anchors.match_count(F.col("text"), F.col("_groups")).alias("found"),
+        anchors.required_count(F.col("_groups")).alias("required"),
+    ))
+    return counted.filter(F.col("_anchors.found") >= F.col("_anchors.required")).withColumn(
+        "anchor_match_count", F.col("_anchors.found")
+    ).drop("_groups", "_anchors")
 
 
 def _fixed_anchor_filter(df: DataFrame, question: str) -> DataFrame:
@@ -290,7 +298,7 @@ def _fixed_anchor_filter(df: DataFrame, question: str) -> DataFrame:
         return df.withColumn("anchor_match_count", F.lit(0))
     rows = [g for g in D.ANCHOR_GROUPS if g[0] in asked["names"]]
     found = anchors.anchor_groups(F.col("text"), with_implied=True, groups=rows)
-    return df.withColumn("anchor_match_count", F.size(found)).filter(
+    return evaluated_once(df, "anchor_match_count", F.size(found)).filter(
         F.col("anchor_match_count") >= asked["required"]
     )
 

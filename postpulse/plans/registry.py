@@ -226,17 +226,14 @@ def _(spark, sf):
 
 # ---- schema inference -----------------------------------------------------
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [
-        schema.column_candidates(table(spark, sf_dir, name), order).withColumn("source_table", F.lit(name))
-        for name, order in (("documents", "doc_id"), ("events", "event_id"), ("pages", "page_id"))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 @query("B1_name_score")
 def _(spark, sf):
-    return _candidates(spark, sf).select("source_table", "column", "name_score")
+    # a rule on names: the schemas are read, the rows are not
+    rows = [
+        (name, column, schema.name_score(column))
+        for name in ("documents", "events", "pages") for column in table(spark, sf, name).columns
+    ]
+    return spark.createDataFrame(rows, "source_table string, column string, name_score double")
 
 
 @query("B2_content_score")
@@ -366,16 +363,18 @@ def _(spark, sf):
 @query("C10_repair_ids")
 def _(spark, sf):
     df = posts(spark, sf).select(
-        F.when(F.pmod("ord", F.lit(3)) == 0, F.col("tweet_id")).alias("tweet_id"),
-        F.when(F.pmod("ord", F.lit(3)) == 1, F.concat(F.lit("i"), "ord")).alias("id"),
-        F.concat(F.lit("doc"), "ord").alias("doc_id"), "ord",
+        F.when(F.pmod("ord", F.lit(4)) == 0, F.col("tweet_id")).alias("tweet_id"),
+        F.when(F.pmod("ord", F.lit(4)) == 1, F.concat(F.lit("i"), "ord")).alias("id"),
+        F.when(F.pmod("ord", F.lit(4)) == 2, F.concat(F.lit("doc"), "ord")).alias("doc_id"),
+        "run_id", "text", "lang",
     )
-    return C.repair_ids(df).select("ord", "tweet_id")
+    return C.repair_ids(df).select("run_id", "tweet_id")
 
 
 @query("C11_surrogate_ids")
 def _(spark, sf):
-    return _documents(spark, sf).select("doc_id", C.surrogate_id(["text", "lang"]).alias("tweet_id"))
+    docs = _documents(spark, sf).select("lang", "text")
+    return C.with_surrogate_ids(docs, "tweet_id", ["text", "lang"]).select("lang", "tweet_id")
 
 
 @query("C12_by_ticker")

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postpulse.functions.text import string_array
-from postpulse.sources.tables import spread_small
 
+#: Session setting of a caller who wants a table dealt over so many partitions (one large row
+#: group in one file can't be split); unset, a table is read as it lies.
+PARTITIONS = "spark.postpulse.inputPartitions"
 # tables whose rows are expensive to work on
 _TEXT_TABLES = ("documents", "events", "conversations")
 
@@ -50,9 +52,9 @@ HANDLES = (
 ROTATION = ("AAPL", "AMZN", "BBVA", "GOOGL", "JPM", "MSFT", "NVDA", "TSLA")
 
 QUESTIONS = (
-    "Nvidia earnings and AI chips",
+    "AI chips and the earnings of Nvidia",
     "¿Qué se dice de Google? ¿Va mal?",
-    "¿se prevé que suba la tasa de interés en México?",
+    "¿creen que la tasa de interés en México va a subir?",
     "Mexico Moody",
     "Google antitrust DOJ",
     "Banxico tasa inflación",
@@ -70,9 +72,9 @@ QUESTIONS = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    return spread_small(df, path) if name in _TEXT_TABLES else df
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    wanted = spark.conf.get(PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted and name in _TEXT_TABLES else df
 
 
 def _pick(values: tuple, index: Column) -> Column:
@@ -94,7 +96,7 @@ def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (event - F.when(F.pmod(event, F.lit(50)) == 49, 1).otherwise(0)).cast("string").alias("tweet_id"),
         F.concat(
             _pick(SENTENCES, kind),
-            suffix(3, F.concat(F.lit("\n"), F.col("event_type"), F.lit("\n"), F.col("props"))),
+            F.concat(F.lit("\n"), F.col("event_type"), F.lit("\n"), F.col("props")),
             suffix(5, F.concat(F.lit(" https://ex.example/p"), event)),
             suffix(7, F.concat(F.lit(" @user"), user)),
         ).alias("text"),
@@ -143,9 +145,8 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn asks one of the sample questions; every third adds its own words."""
+    """Every user turn asks one of the sample questions and adds its own words."""
     c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     number = F.col("conv_id") * 1000 + F.col("turn")
     base = _pick(QUESTIONS, F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(QUESTIONS))))
-    own = F.when(F.pmod(F.col("conv_id"), F.lit(3)) == 0, F.concat(F.lit(" "), F.col("text"))).otherwise(F.lit(""))
-    return c.select(number.alias("question_id"), F.concat(base, own).alias("question"))
+    return c.select(number.alias("question_id"), F.concat(base, F.lit(" "), F.col("text")).alias("question"))

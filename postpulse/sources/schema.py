@@ -55,25 +55,23 @@ def role_column(columns: Sequence[str], names: Sequence[str]) -> str | None:
 
 
 def _first_values(df: DataFrame, order: str | None) -> DataFrame:
-    """``(ordinal, column, pos, value)``: the first non-null values of every column.
+    """``(ordinal, column, pos, value)``: PROFILE_ROWS non-null values of every column.
 
-    One bounded top-n per column; with an order it is exact on any number of
-    partitions, without one it is the scan order of the file.
+    One scan: columns become rows and a rank per column is cut, which Spark does before the
+    shuffle too.  The first values are those of the smallest ``order``, or of the smallest
+    hashes of whole rows, so the choice never depends on the order of files or tasks.
     """
-    spark = df.sparkSession
-    parts = None
-    for ordinal, name in enumerate(df.columns):
-        column = F.col(f"`{name}`")
-        picked = df.filter(column.isNotNull())
-        sort = F.col(f"`{order}`") if order else F.monotonically_increasing_id()
-        picked = picked.select(sort.alias("_o"), column.cast("string").alias("value"))
-        picked = picked.orderBy("_o").limit(PROFILE_ROWS) if order else picked.limit(PROFILE_ROWS)
-        part = picked.select(F.lit(ordinal).alias("ordinal"), F.lit(name).alias("column"), "_o", "value")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return spark.createDataFrame([], "ordinal int, column string, pos int, value string")
-    pos = F.row_number().over(Window.partitionBy("ordinal").orderBy("_o"))
-    return parts.withColumn("pos", pos).drop("_o")
+    if not df.columns:
+        return df.sparkSession.createDataFrame([], "ordinal int, column string, pos int, value string")
+    columns = [F.col(f"`{name}`") for name in df.columns]
+    place = F.col(f"`{order}`") if order else F.xxhash64(*[c.cast("string") for c in columns])
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("column"), c.cast("string").alias("value"))
+        for i, (name, c) in enumerate(zip(df.columns, columns, strict=True))
+    ])
+    values = df.select(place.alias("_o"), F.explode(entries).alias("_e")).select("_o", "_e.*").filter(F.col("value").isNotNull())
+    pos = F.row_number().over(Window.partitionBy("ordinal").orderBy("_o", "value"))
+    return values.withColumn("pos", pos).filter(F.col("pos") <= PROFILE_ROWS).drop("_o")
 
 
 def content_profile(df: DataFrame, order: str | None = None) -> DataFrame:

@@ -15,23 +15,6 @@ def _format(path: str) -> str:
     raise ValueError(f"unsupported file format: {path}")
 
 
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def spread_small(df: DataFrame, path: str) -> DataFrame:
-    """Spread an input over all cores when it is small and packed in fewer files than
-    there are cores (one row group cannot be split).  Larger inputs are left alone:
-    their files already feed every core, and a shuffle of the texts would cost more.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    total = sizes.agg(F.sum("length").alias("n")).first()["n"] or 0
-    return df.repartition(cores) if total <= SMALL_INPUT_BYTES else df
-
-
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """``.parquet`` or ``.csv`` (any case) from any file system Spark knows.
 

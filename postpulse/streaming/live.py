@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,14 +57,16 @@ def relevant_silver(
     # Written once: the label rules are large, and a filter on their result would
     # otherwise be pushed below them, which evaluates (and plans) them twice.
     labelled = materialize(label_posts(known, F.col("query_ticker"), labels), "labelled")
-    # Repeats of an id: the earliest post stays, whatever the order of files and tasks.
-    # The labels stay on their row, so nothing has to be joined back.
-    relevant = without_noise(labelled).withColumn(
-        "_row", F.concat_ws("\u0001", "tweet_id", F.col("created_at").cast("string"), "text")
-    )
+    # Runs stay apart however files fall into batches: a post that two runs captured is in
+    # both.  Repeats of an id within a run: the earliest post stays, whatever the order of
+    # files and tasks.  The labels stay on their row, so nothing has to be joined back.
+    relevant = without_noise(labelled).withColumns({
+        "_row": F.concat_ws("\u0001", "tweet_id", F.col("created_at").cast("string"), "text"),
+        "_id": F.col("tweet_id"), "tweet_id": F.concat_ws("\u0001", "run_id", "tweet_id"),
+    })
     merged = process_with_rewrites(
         relevant, translator, order="_row", run_ts=run_ts, model=model, scorer=scorer
-    ).drop("_row")
+    ).withColumns({"tweet_id": F.col("_id"), "doc_id": F.col("_id")}).drop("_row", "_id")
     return conform_silver(
         merged.withColumns({"x_query": F.col("query"), "search_mode": F.lit(mode)}),
         source=F.col("source"), run_id=F.col("run_id"), ingestion_date=F.col("ingestion_date"),
@@ -73,19 +74,41 @@ def relevant_silver(
     )
 
 
-def read_latest(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """The newest snapshot version (each holds at most the snapshot size)."""
-    versions = spark.read.schema(
-        T.StructType([*schema.fields, T.StructField("version", T.LongType())])
-    ).parquet(f"{root}/{LATEST_PATH}")
-    newest = versions.agg(F.max("version").alias("version"))
-    return versions.join(F.broadcast(newest), "version").drop("version")  # one-row side
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the snapshots that were written to the end, ascending."""
+    folder, files = _file_system(spark, f"{root}/{LATEST_PATH}")
+    if not files.exists(folder):
+        return []
+    paths = [s.getPath() for s in files.listStatus(folder)]
+    whole = [p for p in paths if p.getName().startswith("version=")
+             and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().partition("=")[2]) for p in whole)
 
 
-def write_latest(snapshot: DataFrame, root: str, version: int) -> str:
-    """A snapshot goes to a path of its own: readers never see a half-written one."""
-    path = f"{root}/{LATEST_PATH}/version={version}"
+def read_latest(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The newest snapshot; no other version is read.  Without one: no rows."""
+    stored = _versions(spark, root)
+    if not stored:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/{LATEST_PATH}/version={stored[-1]}")
+
+
+def write_latest(snapshot: DataFrame, root: str) -> str:
+    """A snapshot goes to a path of its own, above all stored versions whatever checkpoint the
+    stream has, so readers never see a half-written one.  The version before stays for readers
+    that have begun; older ones go."""
+    spark = snapshot.sparkSession
+    stored = _versions(spark, root)
+    path = f"{root}/{LATEST_PATH}/version={stored[-1] + 1 if stored else 0}"
     snapshot.write.mode("overwrite").parquet(path)
+    for old in stored[:-1]:
+        place, files = _file_system(spark, f"{root}/{LATEST_PATH}/version={old}")
+        files.delete(place, True)
     return path
 
 
@@ -96,8 +119,8 @@ def lake_writer(
     latest_rows: int = LATEST_ROWS,
     **enrichment,
 ) -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` sink.  Replaying a batch rewrites the same runs and the same
-    snapshot version, so a restart after a failure leaves no duplicates."""
+    """The ``foreachBatch`` sink.  Replaying a batch rewrites the same runs and upserts the same
+    posts into the snapshot, so a restart after a failure leaves no duplicates."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -108,25 +131,14 @@ def lake_writer(
                 return  # nothing relevant: the landed payload is all there is
             write_silver(silver, root)
             write_gold(gold_daily(silver), root)
-            before = _snapshot_before(spark, root, batch_id, silver.schema)
-            write_latest(latest(before, silver, order="tweet_id", n=latest_rows), root, batch_id)
+            before = read_latest(spark, root, silver.schema)
+            write_latest(latest(before, silver, order="tweet_id", n=latest_rows), root)
         finally:
             silver.unpersist()
 
     return write
 
 
-def _snapshot_before(spark: SparkSession, root: str, batch_id: int, schema: T.StructType) -> DataFrame | None:
-    typed = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
-    try:
-        stored = spark.read.schema(typed).parquet(f"{root}/{LATEST_PATH}")
-    except AnalysisException:  # no snapshot yet
-        return None
-    older = stored.filter(F.col("version") < batch_id)
-    newest = older.agg(F.max("version").alias("version"))
-    return older.join(F.broadcast(newest), "version").drop("version")  # one-row side
-
-
 def run_live_ingestion(
     spark: SparkSession,
     landing: str,

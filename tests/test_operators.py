@@ -93,12 +93,12 @@ def test_filters(spark):
 
 def test_process_posts(spark):
     df = spark.createDataFrame(
-        [("x1", "$AAPL upgrade shows growth", 1), ("x2", "$TSLA downgrade and risk", 2), ("x1", "later", 3),
+        [("x1", "$AAPL raised, growth ahead", 1), ("x2", "$TSLA cut, risk ahead", 2), ("x1", "later", 3),
          ("x3", "@only", 4), ("x4", "", 5), ("x4", "kept", 6)], "tweet_id string, text string, o int")
     got = E.process_posts(df, order="o")
     assert rows(got, "tweet_id", "clean_text", "sentiment", "primary_ticker") == [
-        ("x1", "$AAPL upgrade shows growth", "positive", "AAPL"),
-        ("x2", "$TSLA downgrade and risk", "negative", "TSLA"), ("x4", "kept", "neutral", "UNMAPPED")]
+        ("x1", "$AAPL raised, growth ahead", "positive", "AAPL"),
+        ("x2", "$TSLA cut, risk ahead", "negative", "TSLA"), ("x4", "kept", "neutral", "UNMAPPED")]
     again = E.process_posts(df.repartition(4).orderBy(F.rand(3)), order="o")
     assert rows(again, "tweet_id", "clean_text") == rows(got, "tweet_id", "clean_text")
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
@@ -137,8 +137,8 @@ def test_rewrites_stay_with_their_row(spark):
 
 def test_heuristic_labels(spark):
     df = spark.createDataFrame(
-        [("1", "NVDA earnings and AI chip demand push shares higher", False, "unknown"),
-         ("2", "NVDA giveaway free crypto airdrop promo", False, "unknown"),
+        [("1", "NVDA earnings: more AI chip demand, shares up", False, "unknown"),
+         ("2", "free crypto airdrop, an NVDA giveaway", False, "unknown"),
          ("3", "stock up", True, "institution"),
          ("4", "the football stock market is a meme", True, "institution"),
          ("5", "celebrity movie about chips and cloud risk", False, "unknown")],
@@ -298,7 +298,7 @@ def test_tfidf_equals_numpy(spark):
 
 
 def test_search(spark):
-    corpus = _corpus(spark, "NVIDIA NVDA GPU growth is strong", "Tesla TSLA margin risk and volatility")
+    corpus = _corpus(spark, "NVIDIA GPU orders (NVDA) keep growing", "volatility and thin margins at Tesla (TSLA)")
     asked = spark.createDataFrame([(1, "NVIDIA GPU"), (2, "the"), (3, "")], "question_id int, question string")
     hits = G.search_index(G.build_index(corpus), asked, k=1)
     assert rows(hits, "question_id", "doc_id", "rank") == [(1, "0", 1)]
@@ -358,11 +358,11 @@ def test_flatten_payload(spark, tmp_path):
 
 
 def test_schema_inference(spark):
-    posts = ["$TSLA shares fall after weak delivery guidance", "$NVDA rallies on strong AI chip demand"]
+    posts = ["$TSLA opens lower, few deliveries are expected", "$NVDA is up, AI chip demand stays strong"]
     a = spark.createDataFrame([(p, i) for i, p in enumerate(posts)], "text string, label int")
     m = schema.infer_mapping(a, "label")
     assert (m.text_column, m.method, m.label_column) == ("text", "rules", "label") and m.confidence >= 0.8
-    b = spark.createDataFrame([("Markets discuss chip demand and AI revenue growth", "Analysts mention stock volatility and earnings")],
+    b = spark.createDataFrame([("Traders talk of chip demand and of AI revenue", "A note on earnings and on stock volatility")],
                               "alpha string, beta string")
     assert (schema.infer_mapping(b).text_column, schema.infer_mapping(b).method) == (None, "ambiguous")
     assert schema.infer_mapping(a.filter("false")).method == "rules"
@@ -451,8 +451,8 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
 def test_batch_job_and_upload(spark, tmp_path):
     path = f"{tmp_path}/in.csv"
     tables.write_table(spark.createDataFrame(
-        [("Google shares move higher after cloud revenue beats expectations", "0"),
-         ("Tesla stock drops as margins disappoint investors", "1")], "content string, label string"), path)
+        [("Google gains today, its cloud revenue was above all forecasts", "0"),
+         ("Tesla stock is down, investors dislike the margins", "1")], "content string, label string"), path)
     out = jobs.run_batch(spark, path, f"{tmp_path}/out.parquet", run_ts="2026-05-20 00:00:00")
     assert rows(spark.read.parquet(out), "primary_ticker", "source_file") == [("GOOGL", "in.csv"), ("TSLA", "in.csv")]
     up = jobs.ingest_upload(spark, path, f"{tmp_path}/lake", run_id="up1", run_ts="2026-05-20 00:00:00", base=spark.read.parquet(out))
