@@ -25,6 +25,8 @@ HEADLINE = (
     "E13_broad_search", "F1_gold_daily", "F3_by_mentioned_ticker", "F5_trend_hourly",
     "F7_topic_risk", "G1_tfidf_index", "G2_search", "G5_vector_search", "H2_gold_window",
     "L1_live_ingestion", "L4_latest",
+    "E14_staged_search", "E15_preview", "F19_summary_facts", "G3_answer_facts", "L6_confirm_preview",
+    "L7_upload", "L8_daily_stream",
 )
 
 

@@ -14,10 +14,11 @@ def daily_counts(silver: DataFrame, lateness: str = "2 days") -> DataFrame:
 
     Repeats of an id within the watermark are counted once; rows later than the
     watermark are dropped; a day is emitted (append mode) when the watermark passes it.
+    As in the batch form, a bucket whose labels are all null has no row.
     """
     unique = silver.withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(["tweet_id"])
     return (
-        unique.groupBy(
+        unique.filter(F.col("sentiment").isNotNull()).groupBy(
             F.window("created_at", "1 day").alias("w"),
             F.coalesce("primary_ticker", F.lit(UNMAPPED)).alias("ticker"),
         )
