@@ -42,7 +42,7 @@ def query(name: str):
 
 @query("op1_license_scan")
 def _(spark, sf):
-    return scan_licenses(table(spark, sf, "documents"))
+    return scan_licenses(table(spark, sf, "documents")).select("doc_id", "license", "dice", "n_matches")
 
 
 @query("op2_suffix_dedup")

@@ -37,7 +37,7 @@ hits AS (SELECT * FROM scored WHERE dice >= {THRESHOLD}),
 best AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, template) AS k,
     count(*) OVER (PARTITION BY doc_id) AS n_matches FROM hits)
-SELECT d.doc_id, licence AS license, dice, template, coalesce(n_matches, 0)::BIGINT AS n_matches
+SELECT d.doc_id, licence AS license, dice, coalesce(n_matches, 0)::BIGINT AS n_matches
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN best b ON b.doc_id IS NOT DISTINCT FROM d.doc_id AND k = 1
 """
 
