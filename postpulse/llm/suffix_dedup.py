@@ -32,7 +32,7 @@ LENGTH = 400
 #: Bytes of the k-grams that anchors are chosen from (or half of ``length``, if less).
 GRAM = 48
 #: Bytes of a shard; an anchor with more bytes than that in different segments is cut.
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 20
 
 _PLACE = 20  # bits of a position; texts are walked in pieces of at most 2**20 bytes
 _LATE = np.uint64(1 << 63)
@@ -81,17 +81,13 @@ def segments(
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     begins = np.arange(n - gram + 1)
     hashes = piece_hashes(data, begins, begins + gram)
-    keys = hashes
-    keys = (keys >> np.uint64(1)) & ~np.uint64((1 << _PLACE) - 1) | begins.astype(np.uint64)
-    while True:
-        anchor = (_smallest(keys, width) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-        if common is None or not len(common):
-            break
-        chosen = anchor[np.concatenate([[True], anchor[1:] != anchor[:-1]])]
-        late = chosen[(keys[chosen] < _LATE) & np.isin(hashes[chosen], common)]
-        if not len(late):
-            break
-        keys[late] |= _LATE  # behind all others; what a window picks instead is looked at next
+    keys = (hashes >> np.uint64(1)) & ~np.uint64((1 << _PLACE) - 1) | begins.astype(np.uint64)
+    if common is not None and len(common):
+        known = np.zeros(1 << _PLACE, bool)  # by the upper bits, so that few hashes are looked up
+        known[common >> np.uint64(64 - _PLACE)] = True
+        late = np.flatnonzero(known[hashes >> np.uint64(64 - _PLACE)])
+        keys[late[np.isin(hashes[late], common)]] |= _LATE  # behind all others
+    anchor = (_smallest(keys, width) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
     value = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
     fits = np.arange(len(anchor)) + length <= offsets[value + 1]
     at = np.flatnonzero(fits)

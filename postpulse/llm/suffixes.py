@@ -12,7 +12,7 @@ import numpy as np
 _BLOCK = 1024
 #: Names (of leftmost-smaller substrings) up to which a recursion ends in rank doubling: blocks
 #: of so few entries cost more than sorting them.
-_SHORT = 1 << 16
+_SHORT = 1 << 17
 
 
 def _types(text: np.ndarray) -> np.ndarray:
