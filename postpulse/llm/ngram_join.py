@@ -185,19 +185,6 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [own.tobytes() for own in shingle_sets(batch.column(batch.schema.get_field_index("text")), k)]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(packed, pa.binary())],
-                names=[*names, "elements"],
-            )
-
-    return run
-
-
 #: Fields of the two sketches; a set that differs in d elements differs in at most d fields.
 _FINE, _COARSE = 256, 64
 
@@ -247,10 +234,10 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return back
 
 
-def _link(percent: int):
+def _link(k: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy()
-        sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in group.column("elements")]
+        sets = [own for part in group.column("text").chunks for own in shingle_sets(part, k)]
         number = linked(sets, percent)
         smallest = np.full(number.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(smallest, number, ids)
@@ -264,21 +251,22 @@ def _link(percent: int):
 def _tasks(members: DataFrame, percent: int, limit: int) -> DataFrame:
     """``members`` (id, cluster, size) with the tasks in which each is compared.
 
-    A cluster of at most ``limit`` shingles is one task.  A larger one is cut by size band and
-    by a hash of the id; there is a task for each two parts of a band and the next, so two sets
-    that can be linked meet in one.
+    A cluster of at most ``limit`` shingles is one task.  A larger one is cut by size: linked sets
+    are in one band or in neighbouring ones, so there is a task for each band and the next, and
+    a set is in two.  If these still hold more than ``limit``, their sets are cut by a hash of the
+    id into parts, and there is a task for each two parts.
     """
-    ratio = math.log(100 / percent)
     totals = members.groupBy("cluster").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n"))
-    split = F.ceil(2 * F.col("total") / F.lit(limit)).cast("int")
-    known = members.join(totals.where("n > 1"), "cluster").withColumn("parts", F.when(F.col("total") <= limit, 1).otherwise(split))
+    ratio = math.log(100 / percent) * (1 + 1e-6)  # so that rounding never puts a link two bands apart
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(ratio)).cast("int")
-    known = known.withColumn("band", F.when(F.col("parts") == 1, 0).otherwise(band)).withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    known = members.join(totals.where("n > 1"), "cluster").withColumn(
+        "in_band", F.explode(F.when(F.col("total") <= limit, F.array(F.lit(0))).otherwise(F.array(band - 1, band)))
     )
-    bands = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array(F.col("band") - 2, F.col("band") - 1, F.col("band")))
+    held = known.groupBy("cluster", "in_band").agg(F.sum("size").alias("held"))
+    split = F.when(F.col("held") <= limit, 1).otherwise(F.ceil(2 * F.col("held") / F.lit(limit)))
     return (
-        known.withColumn("in_band", F.explode(bands))
+        known.join(held.select("cluster", "in_band", split.cast("int").alias("parts")), ["cluster", "in_band"])
+        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
             "id", "cluster", "in_band",
@@ -329,10 +317,8 @@ def jaccard_classes(
     members = clusters.join(reps, "node").select(F.col("node").alias("id"), F.col("root").alias("cluster"), "size")
     tasks = materialize(_tasks(members, percent, cluster_shingles), "jaccard-tasks")
     links = (
-        maybe_in(named, tasks, "id").join(tasks, "id").mapInArrow(
-            _sets(words), "id bigint, cluster bigint, in_band int, low int, high int, elements binary"
-        )
-        .groupBy("cluster", "in_band", "low", "high").applyInArrow(_link(percent), "a bigint, b bigint")
+        maybe_in(named, tasks, "id").join(tasks, "id")
+        .groupBy("cluster", "in_band", "low", "high").applyInArrow(_link(words, percent), "a bigint, b bigint")
     )
     roots = components(links.unionByName(_repeated_ids(told, classes)), "jaccard-links")
     answers = materialize(
