@@ -12,7 +12,7 @@ import numpy as np
 _BLOCK = 1024
 #: Names (of leftmost-smaller substrings) up to which a recursion ends in rank doubling: blocks
 #: of so few entries cost more than sorting them.
-_SHORT = 1 << 17
+_SHORT = 1 << 18
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -112,19 +112,30 @@ def _same_pieces(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray, which:
 
 
 def _doubled(text: np.ndarray) -> np.ndarray:
-    """Suffix array of a short text by doubling ranks, where recursion ends."""
-    n, step = len(text), 1
-    rank = text.astype(np.int64) + 1
+    """Suffix array of a short text by doubling ranks, where recursion ends.  A rank is the
+    first slot of its group; only suffixes whose group has others are sorted again."""
+    n, wide = len(text), int(text.max()) + 2
+    width = max(1, min(4, int(62 / np.log2(wide))))  # characters that fit one key
+    key = np.zeros(n, np.int64)
+    for step in range(width):
+        key *= wide
+        key[: max(0, n - step)] += text[step:].astype(np.int64) + 1
+    order = np.argsort(key, kind="stable")
+    rank, slots, members, step = np.empty(n, np.int64), np.arange(n), order, width
+    ranked = key[order]
     while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - step)] = rank[step:]
-        key = rank * (rank.max() + 1) + after
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], ranked[1:] != ranked[:-1]]))
-        if rank[order[-1]] == n:
+        head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        first = slots[np.maximum.accumulate(np.where(head, np.arange(len(slots)), 0))]
+        rank[members] = first
+        alone = head & np.concatenate([head[1:], [True]])
+        slots, members = slots[~alone], members[~alone]
+        if not len(slots):
             return order
+        after = members + step
+        key = rank[members] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        sort = np.argsort(key, kind="stable")
+        members, ranked = members[sort], key[sort]
+        order[slots] = members
         step *= 2
 
 
