@@ -34,8 +34,9 @@ from postpulse.session import materialize
 WORDS, PERCENT = 5, 80
 #: Shingles that one comparing task may hold; larger clusters are compared in parts.
 CLUSTER_SHINGLES = 4_000_000
-#: Pieces of a part, and how many of them may differ.
-PIECES, DIFFER = 2, 1
+#: Pieces of a part that may differ, and elements that a signature should cover on average:
+#: signatures of fewer elements bring together sets that only share a passage.
+DIFFER, COVERED = 1, 6.5
 #: Signatures that a task combines before it sends them.
 COMBINE = 400_000
 
@@ -56,6 +57,15 @@ def band_of(size: int, percent: int) -> tuple[int, int]:
     return band, top
 
 
+def pieces_for(percent: int, differ: int = DIFFER) -> int:
+    """Pieces of a part: the fewest, up to four, that let a signature cover COVERED elements."""
+    if percent >= 100:
+        return differ + 1
+    per_difference = (100 + percent) / (2 * (100 - percent))
+    few = range(differ + 1, 4)
+    return next((n for n in few if (differ + 1) * (n - differ) / n * per_difference >= COVERED), 4)
+
+
 def _digests(own: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
     """(sum of mixed elements, number of elements) of each piece of the domain."""
     spread = mix(own ^ np.uint64(0x5851F42D4C957F2D))
@@ -67,7 +77,7 @@ def _digests(own: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
     return sums[ends[1:]] - sums[ends[:-1]], counts
 
 
-def signatures(own: np.ndarray, percent: int, pieces: int = PIECES, differ: int = DIFFER) -> np.ndarray:
+def signatures(own: np.ndarray, percent: int, pieces: int | None = None, differ: int = DIFFER) -> np.ndarray:
     """Signatures of a set for its own band and the next.
 
     A subset without elements says nothing, so it is left out, unless the set has so many of
@@ -76,13 +86,14 @@ def signatures(own: np.ndarray, percent: int, pieces: int = PIECES, differ: int
     if more than ``spare`` parts have one.
     """
     band, top = band_of(len(own), percent)
+    pieces = pieces or pieces_for(percent, differ)
     out = []
     for number, most in ((band, top), (band + 1, (top + 1) * 100 // percent)):
         if number > band and (len(own) * 100) // percent <= top:
             continue  # no linked set is as large as the next band
         k = differing(most, percent)
         need = k // (differ + 1) + 1 if k else 1
-        spare = need // 16
+        spare = 1 + need // 8 if k else 0
         parts = need + spare
         n2, k2 = (pieces, differ) if k else (1, 0)
         sums, counts = _digests(own, parts * n2)
