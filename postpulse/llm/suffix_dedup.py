@@ -42,19 +42,19 @@ COMMON_SHARE = 10_000
 _OUT_BYTES = 1 << 22
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(ids: pa.Array, texts: pa.Array) -> pa.Array:
     """A key for each row from its id and its whole text: equal rows have equal keys."""
+    data, offsets = utf8(texts)
+    keys = [hashlib.blake2b(b"%d|" % i if i is not None else b"|", digest_size=16) for i in ids.to_pylist()]
+    for i, key in enumerate(keys):
+        key.update(data[offsets[i] : offsets[i + 1]])
+    return pa.array([k.digest() for k in keys], pa.binary())
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        keys = [
-            hashlib.blake2b(b"%d|" % i if i is not None else b"|", digest_size=16) for i in ids.to_pylist()
-        ]
-        data, offsets = utf8(texts)
-        for i, key in enumerate(keys):
-            key.update(data[offsets[i] : offsets[i + 1]])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k.digest() for k in keys], pa.binary()), ids, texts], names=["key", "id", "text"]
-        )
+        yield pa.RecordBatch.from_arrays([_keys(ids, texts), ids, texts], names=["key", "id", "text"])
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -119,8 +119,9 @@ def _walk(data: np.ndarray, offsets: np.ndarray, length: int, common: np.ndarray
 def _anchors(length: int, common: np.ndarray | None = None, narrow: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0)
-            for value, begin, count, anchor, digest in _walk(*utf8(batch.column(2)), length, common):
+            # the key is made here too: one Python worker for each task instead of two
+            keys = None if narrow else _keys(batch.column(0), batch.column(1))
+            for value, begin, count, anchor, digest in _walk(*utf8(batch.column(1)), length, common):
                 if narrow:
                     found, times = np.unique(anchor.view(np.int64), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], names=["anchor", "n"])
@@ -133,11 +134,11 @@ def _anchors(length: int, common: np.ndarray | None = None, narrow: bool = False
     return run
 
 
-def common_anchors(keyed: DataFrame, length: int) -> np.ndarray:
+def common_anchors(rows: DataFrame, length: int) -> np.ndarray:
     """Anchors of more than one in COMMON_SHARE segments (so at most COMMON_SHARE): phrases that
     stand in very many texts and would bring all their segments together for nothing."""
     times = materialize(
-        keyed.mapInArrow(_anchors(length, narrow=True), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"),
+        rows.mapInArrow(_anchors(length, narrow=True), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"),
         "repeat-counts",
     )
     total = times.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
@@ -229,11 +230,12 @@ def _judge(length: int):
     return run
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(key, spans): for each keyed row with repeats, the ranges of its repeating windows."""
-    common = common_anchors(keyed, length)
+def repeated_spans(rows: DataFrame, keyed: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(key, spans): for each row (id, text) with repeats, the ranges of its repeating windows.
+    ``keyed`` has the same rows with their keys."""
+    common = common_anchors(rows, length)
     anchors = materialize(
-        keyed.mapInArrow(_anchors(length, common), "anchor bigint, digest bigint, key binary, begin bigint, windows int"),
+        rows.mapInArrow(_anchors(length, common), "anchor bigint, digest bigint, key binary, begin bigint, windows int"),
         "repeat-anchors",
     )
     often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
@@ -318,7 +320,7 @@ def remove_repeats(
     """
     rows = columns_of(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("bigint"))
     keyed = rows.mapInArrow(_keyed, "key binary, id bigint, text string")
-    spans = repeated_spans(keyed, length, shard_bytes)
+    spans = repeated_spans(rows, keyed, length, shard_bytes)
     return keyed.join(spans, "key", "left").select("id", "text", "spans").mapInArrow(
         _remove, "doc_id bigint, n_bytes bigint, spans array<struct<begin: bigint, end: bigint>>, kept binary"
     )
