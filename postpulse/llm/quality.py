@@ -1,7 +1,7 @@
 """Quality rules: counts of a text, and a hashed n-gram logistic regression over them.
 
 The model is trained here on a bounded sample of labelled rows.  Its features are the shares of
-hashed word 1- and 2-grams and byte 3-, 4- and 5-grams; its score is a sum of mean weights, so
+hashed word 1- and 2-grams and character 3-, 4- and 5-grams; its score is a sum of mean weights, so
 scoring is a gather over numpy arrays of a batch.  Platt's sigmoid, fitted on a held-out part and
 weighted to the labels' own proportions, turns the score into a probability.
 """
@@ -29,7 +29,7 @@ WINDOW = 8
 
 _BITS = 11
 _BINS = 1 << _BITS
-_KINDS = 5  # word 1- and 2-grams, byte 3-, 4- and 5-grams
+_KINDS = 5  # word 1- and 2-grams, character 3-, 4- and 5-grams
 _ROUNDS, _RATE, _SCALE = 100, 0.5, 20.0
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -99,6 +99,21 @@ def base_failed(found: dict[str, np.ndarray]) -> np.ndarray:
     return (found["n_words"] < FEWEST_WORDS) | (100 * found["n_repeat_words"] > MOST_REPEATED * found["n_words"])
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the UTF-8 bytes of each character as one number, index of the first of each value and the total)."""
+    follows = (data & 0xC0) == 0x80
+    if not follows.any():
+        return data.astype(np.uint64), offsets
+    follows[offsets[:-1][offsets[:-1] < len(data)]] = False
+    begins = np.flatnonzero(~follows)
+    sizes = np.diff(np.append(begins, len(data)))
+    letters = data[begins].astype(np.uint64)
+    for step in range(1, 4):
+        longer = np.flatnonzero(sizes > step)
+        letters[longer] = (letters[longer] << np.uint64(8)) | data[begins[longer] + step]
+    return letters, np.searchsorted(begins, offsets)
+
+
 def _grams(data: np.ndarray, offsets: np.ndarray, cut: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each kind of n-gram: bins, and the first and past-last gram of each value."""
     begins, ends, first = cut
@@ -107,14 +122,14 @@ def _grams(data: np.ndarray, offsets: np.ndarray, cut: tuple) -> Iterator[tuple[
     yield (hashes >> shift).astype(np.int32), first[:-1], first[1:]
     pairs = mix(hashes[:-1] * np.uint64(0x9FB21C651E98DF25) + hashes[1:]) if len(hashes) > 1 else np.zeros(0, np.uint64)
     yield (pairs >> shift).astype(np.int32), first[:-1], np.maximum(first[1:] - 1, first[:-1])
-    wide = data.astype(np.uint64)
-    packed = wide
+    letters, at = characters(data, offsets)
+    value = letters
     for n in range(2, 6):
-        packed = (packed[:-1] << np.uint64(8)) | wide[n - 1 :] if len(packed) else packed
+        value = value[:-1] * np.uint64(0x9FB21C651E98DF25) + letters[n - 1 :] if len(value) else value
         if n > 2:
-            bins = ((packed * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32)
-            last = np.maximum(np.minimum(offsets[1:] - n + 1, len(bins)), offsets[:-1])
-            yield bins, np.minimum(offsets[:-1], len(bins)), np.minimum(last, len(bins))
+            bins = ((value * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32)
+            last = np.maximum(np.minimum(at[1:] - n + 1, len(bins)), at[:-1])
+            yield bins, np.minimum(at[:-1], len(bins)), np.minimum(last, len(bins))
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ from postpulse.llm import html_text, quality, token_counts
 from postpulse.llm.bpe import Decoder, Encoder, encode_and_decode, load, sufficient_lookahead
 from postpulse.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses, template_words
 from postpulse.llm.queries import TOKENIZERS
-from postpulse.llm.textbytes import chunks, utf8
+from postpulse.llm.textbytes import chunks, utf8, words
 
 BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -140,6 +140,37 @@ def test_quality_model_on_held_out_rows(spark):
     assert sum(bad) / len(bad) < 0.2
 
 
+def test_quality_grams_are_of_characters():
+    for text in ["", "日", "日本", "日本語", "日本語é", "aé日😀ba", "plain words", "é" * 9]:
+        data, offsets = utf8(pa.array(["x日", text, "é"]))
+        n = [int(high[1] - low[1]) for _, low, high in quality._grams(data, offsets, words(data, offsets))]
+        assert n[2:] == [max(0, len(text) - k + 1) for k in (3, 4, 5)]
+        bins, shares = quality.features(text.encode())
+        for kind, k in ((2, 3), (3, 4), (4, 5)):
+            own = shares[bins // quality._BINS == kind]
+            times = Bag(text[i : i + k] for i in range(len(text) - k + 1))
+            assert sorted(own) == pytest.approx(sorted(v / times.total() for v in times.values()))
+        alone = [b[low[1] : high[1]].tolist() for b, low, high in quality._grams(data, offsets, words(data, offsets))]
+        raw, ends = utf8(pa.array([text]))
+        assert alone == [b[low[0] : high[0]].tolist() for b, low, high in quality._grams(raw, ends, words(raw, ends))]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_quality_model_keeps_good_rows_that_pass_the_base_rules(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    model = quality.train(docs, labels.where("doc_id % 3 <> 0"))
+    judged, _ = quality.judge_quality(docs, model)
+    rows = judged.join(labels.where("doc_id % 3 = 0"), "doc_id").groupBy("quality").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("failed"), F.count_if("kept").alias("kept")
+    ).collect()
+    print(sf, rows)
+    good, bad = sorted(rows, key=lambda r: -r["quality"])
+    assert good["kept"] > 0.9 * good["n"]
+    assert good["n"] - good["failed"] - good["kept"] <= 0.01 * good["n"]
+    assert bad["kept"] < 0.1 * bad["n"]
+
+
 def test_quality_without_a_model_with_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "a"), (None, "word " * 3, "b"), (2, " ".join(map(str, range(40))), None)], DOCS + ", kept string")
     judged, names = quality.judge_quality(df, None)
