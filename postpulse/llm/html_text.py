@@ -32,6 +32,9 @@ _CLOSED_BY = {  # an open element that the begin of one of these ends
     "dd": frozenset({"dt", "dd"}), "option": frozenset({"option", "optgroup"}), "tr": frozenset({"tr"}),
     "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}),
 }
+#: What can stand in head; any other begin ends an open head.
+_IN_HEAD = frozenset("head title base basefont bgsound link meta noframes noscript script style template".split())
+_OWN_CONTENT = frozenset("title noscript noframes template".split())  # of these in head: nothing inside ends head
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in class, id and role that mark page furniture, and readers' comments.
 _FURNITURE_WORDS = frozenset(
@@ -96,7 +99,15 @@ class _Page:
             self.blocks.append(Block(text, n, min(linked, n), top.main, top.furniture, top.comment, top.heading))
         self.parts = []
 
+    def leave_head(self) -> None:
+        """Ends an open head: its end tag may be left out."""
+        head = next((i for i, o in enumerate(self.stack) if o.name == "head"), 0)
+        if head and not any(o.name in _OWN_CONTENT for o in self.stack[head:]):
+            del self.stack[head:]
+
     def begin(self, name: str, rest: str) -> None:
+        if name not in _IN_HEAD and name != "html":
+            self.leave_head()
         while len(self.stack) > 1 and name in _CLOSED_BY.get(self.stack[-1].name, ()):
             self.flush()
             self.stack.pop()
@@ -139,12 +150,16 @@ def blocks(page: str) -> list[Block]:
     Broken and cut pages are read as far as they go."""
     state, at = _Page(), 0
     for token in _TOKEN.finditer(page):
+        if state.stack[-1].name == "head" and page[at : token.start()].strip():
+            state.leave_head()
         if token.start() > at and not state.stack[-1].hidden:
             state.parts.append((page[at : token.start()], state.stack[-1].link))
         at = token.end()
         name = token["name"]
         if name:
             (state.end if token["close"] else lambda n, r=token["rest"]: state.begin(n, r))(name.lower())
+    if state.stack[-1].name == "head" and page[at:].strip():
+        state.leave_head()
     if not state.stack[-1].hidden:
         state.parts.append((page[at:], state.stack[-1].link))
     state.flush()

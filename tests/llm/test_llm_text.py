@@ -207,6 +207,27 @@ def test_broken_pages_do_not_crash(page):
     html_text.main_text(page, html_text.grow(*html_text.labelled_rows()))
 
 
+ARTICLE = "A paragraph with a fair number of words that belongs to the main text of this page and is kept."
+
+
+@pytest.mark.parametrize("begin", [
+    "<html><head><title>x</title><body><article><p>", "<head><title>x</title><meta charset=utf-8><article><p>",
+    "<HEAD><title>a <b>x</b></title><link rel=x><noscript><img src=x></noscript><script>1</script><BODY class=y><article><p>",
+    "<html><head><style>p {}</style></head><body><article><p>", "<head><template><p>no</p></template><main><p>",
+    "<head><head><title>x</title><main><p>", "<head><title>x</title><html lang=en><body><main><p>",
+])
+def test_head_without_its_end_tag(begin):
+    found = html_text.blocks(begin + ARTICLE)
+    assert [(b.text, b.in_main) for b in found] == [(ARTICLE, True)]
+    assert html_text.main_text(begin + ARTICLE, html_text.grow(*html_text.labelled_rows())) == ARTICLE
+
+
+def test_text_ends_head():
+    assert [b.text for b in html_text.blocks(f"<head><title>x</title>\n{ARTICLE}<p>More")] == [ARTICLE, "More"]
+    assert [b.text for b in html_text.blocks(f"<head><title>x</title> {ARTICLE}")] == [ARTICLE]
+    assert html_text.blocks("<head><title>x <i>y</i></title> <meta name=a>\n</head>") == []
+
+
 def test_pages_equal_their_articles(spark, data_dir):
     import html
 
