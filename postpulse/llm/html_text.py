@@ -45,6 +45,23 @@ _FURNITURE_WORDS = frozenset(
 )
 _COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond responses thread".split())
 
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
+    r"|<(?P<raw>script|style)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|$)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)(?:>|$|(?=<))",
+    re.DOTALL | re.IGNORECASE,
+)
+_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_MAY_HIDE = re.compile(r"hidden|display|visibility", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer "
+    "footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination "
+    "popup promo promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget "
+    "alert banners complementary contentinfo search login byline".split()
+)
+_COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond responses thread".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<(?P<raw>script|style)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|$)"
@@ -75,6 +92,7 @@ class Block:
 class _Open:
     name: str
     hidden: bool = False
+    unseen: bool = False  # by visibility, which an element inside can turn back
     main: bool = False
     furniture: bool = False
     comment: bool = False
@@ -82,11 +100,34 @@ class _Open:
     heading: bool = False
 
 
+def hiding(rest: str) -> tuple[bool, bool | None]:
+    """(hidden with all that is inside, invisible or None if its visibility is not set), from
+    the names and values of a begin tag's attributes; the first of one name counts."""
+    if not _MAY_HIDE.search(rest):
+        return False, None
+    named: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(rest):
+        named.setdefault(name.lower(), html.unescape("".join(values)).strip().lower())
+    style: dict[str, tuple[bool, str]] = {}
+    for entry in re.sub(r"/\*.*?\*/", "", named.get("style", ""), flags=re.DOTALL).split(";"):
+        name, _, value = entry.partition(":")
+        value, important, _ = value.partition("!")
+        if bool(important) >= style.get(name.strip(), (False, ""))[0]:
+            style[name.strip()] = bool(important), value.strip()
+    hidden = named.get("hidden", "false") != "false" or named.get("aria-hidden") == "true"
+    visibility = style.get("visibility", (False, ""))[1]
+    return (
+        hidden or style.get("display", (False, ""))[1] == "none",
+        visibility in ("hidden", "collapse") if visibility in ("hidden", "collapse", "visible", "initial") else None,
+    )
+
+
 @dataclass
 class _Page:
     stack: list[_Open] = field(default_factory=lambda: [_Open("")])
     blocks: list[Block] = field(default_factory=list)
     parts: list[tuple[str, bool]] = field(default_factory=list)
+    head: bool = False  # whether a head may be open
 
     def flush(self) -> None:
         if not self.parts:
@@ -99,14 +140,22 @@ class _Page:
             self.blocks.append(Block(text, n, min(linked, n), top.main, top.furniture, top.comment, top.heading))
         self.parts = []
 
+    def add(self, text: str) -> None:
+        top = self.stack[-1]
+        if not (top.hidden or top.unseen):
+            self.parts.append((text, top.link))
+
     def leave_head(self) -> None:
         """Ends an open head: its end tag may be left out."""
-        head = next((i for i, o in enumerate(self.stack) if o.name == "head"), 0)
-        if head and not any(o.name in _OWN_CONTENT for o in self.stack[head:]):
+        head = next((i for i, o in enumerate(self.stack) if o.name == "head"), len(self.stack))
+        if not any(o.name in _OWN_CONTENT for o in self.stack[head:]):
             del self.stack[head:]
+            self.head = False
 
     def begin(self, name: str, rest: str) -> None:
-        if name not in _IN_HEAD and name != "html":
+        if name == "head":
+            self.head = True
+        elif self.head and name not in _IN_HEAD and name != "html":
             self.leave_head()
         while len(self.stack) > 1 and name in _CLOSED_BY.get(self.stack[-1].name, ()):
             self.flush()
@@ -126,10 +175,12 @@ class _Page:
         if "=" in rest:
             for found in _NAMED.findall(rest):
                 named |= set(_WORDS.findall("".join(found).lower()))
+        hidden, unseen = hiding(rest)
         main = top.main or name in _MAIN or "main" in named and name == "div"
         self.stack.append(_Open(
             name,
-            hidden=top.hidden or name in _HIDDEN or bool(rest and _HIDING.search(rest)),
+            hidden=top.hidden or name in _HIDDEN or hidden,
+            unseen=top.unseen if unseen is None else unseen,
             main=main,
             furniture=top.furniture or name in _FURNITURE or bool(named & _FURNITURE_WORDS) or name == "header" and not main,
             comment=top.comment or bool(named & _COMMENT_WORDS),
@@ -152,16 +203,15 @@ def blocks(page: str) -> list[Block]:
     for token in _TOKEN.finditer(page):
         if state.stack[-1].name == "head" and page[at : token.start()].strip():
             state.leave_head()
-        if token.start() > at and not state.stack[-1].hidden:
-            state.parts.append((page[at : token.start()], state.stack[-1].link))
+        if token.start() > at:
+            state.add(page[at : token.start()])
         at = token.end()
         name = token["name"]
         if name:
             (state.end if token["close"] else lambda n, r=token["rest"]: state.begin(n, r))(name.lower())
     if state.stack[-1].name == "head" and page[at:].strip():
         state.leave_head()
-    if not state.stack[-1].hidden:
-        state.parts.append((page[at:], state.stack[-1].link))
+    state.add(page[at:])
     state.flush()
     return state.blocks
 

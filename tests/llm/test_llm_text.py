@@ -228,6 +228,30 @@ def test_text_ends_head():
     assert html_text.blocks("<head><title>x <i>y</i></title> <meta name=a>\n</head>") == []
 
 
+@pytest.mark.parametrize("rest", [
+    'style="overflow:hidden"', 'class="content overflow-hidden"', "class=hidden", 'title="hidden gems"', 'href="/hidden-gems"',
+    "href=/a/hidden", "data-hidden=true", 'data-x="a hidden b"', 'aria-hidden="false"', 'title="aria-hidden=true"',
+    'title="display:none"', 'style="display:none;display:block"', 'style="display:block!important;display:none"',
+    'style="backface-visibility:hidden"', 'style="/* display:none */ color:red"', 'style="a:display:none"', 'hidden="false"',
+])
+def test_only_hiding_attributes_hide(rest):
+    assert [b.text for b in html_text.blocks(f"<body><article {rest}><p>One <a {rest}>two</a> three")] == ["One two three"]
+
+
+@pytest.mark.parametrize("rest", [
+    "hidden", "HIDDEN", 'hidden=""', "class='x' hidden", "hidden class=x", "hidden=until-found", 'aria-hidden="true"', "aria-hidden=true",
+    'style="display:none"', "style='color:red; Display : NONE !important;'", "style=display:none", 'style="visibility:hidden"',
+    'style="display:none" style="display:block"', 'title="a > b" hidden', 'style="display&#58;none"',
+])
+def test_hiding_attributes_hide(rest):
+    assert [b.text for b in html_text.blocks(f"<body><div {rest}>no <b>no</b></div><p>One <i {rest}>two</i> three")] == ["One three"]
+
+
+def test_visible_inside_invisible():
+    page = '<div style="visibility:hidden">no<p style="visibility:visible">yes</p>no</div><div hidden><p style="visibility:visible">no</div>'
+    assert [b.text for b in html_text.blocks(page)] == ["yes"]
+
+
 def test_pages_equal_their_articles(spark, data_dir):
     import html
 
