@@ -3,6 +3,10 @@
 A document is cut into units: its lines, its paragraphs and its whole text.  A unit with n
 bigrams can only reach Dice t with templates of n t/(2-t) to n (2-t)/t bigrams, so most units
 are dropped, and most templates pruned, by size before a bigram is made.
+
+Notices inside longer units, and complete licence texts, are compared by windows of a template's
+size that begin where one of its anchors says.  A text within reach of a template has one of any
+``(1 - t/(2-t)) n + 1`` of its bigrams; so many rare ones are its anchors.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +53,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: Complete texts, one file each; what a licence says before its first sentence of terms may differ.
+COMPLETE: tuple[tuple[str, str], ...] = tuple(
+    (p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+)
+
+# Words that are in most texts; an anchor has as few of them as can be.
+_COMMON = frozenset("a all an and any are as at be by can for from has have in is it its may not of on or other such that the this to was which will with you your".split())
+
 _NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
@@ -74,6 +87,54 @@ def _templates(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> Dat
     )
 
 
+def template_anchors(templates: Sequence[tuple[str, str]], threshold: float) -> list[tuple[str, int, int, int, str]]:
+    """(bigram, number of the template, position in it, bigrams of the template, rarer word)."""
+    rows = []
+    for number, (_, text) in enumerate(templates):
+        words = template_words(text)
+        pairs = list(zip(words, words[1:], strict=False))
+        rarity = lambda p: (sum(w in _COMMON for w in p), -max(map(len, p)), p)
+        missing = int((1 - threshold / (2 - threshold)) * len(pairs) + 1e-9)
+        chosen = set(sorted(set(pairs), key=rarity)[: missing + 1])
+        rows += [
+            (f"{a} {b}", number, at, len(pairs), max((a, b), key=lambda w: (w not in _COMMON, len(w), w)))
+            for at, (a, b) in enumerate(pairs) if (a, b) in chosen
+        ]
+    return rows
+
+
+def _bigrams(words: Column, size: Column) -> Column:
+    return F.zip_with(
+        F.slice(words, F.lit(1), size.cast("int")), F.slice(words, F.lit(2), size.cast("int")), lambda a, b: F.concat_ws(" ", a, b)
+    )
+
+
+def windows(narrow: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+    """(id, row, unit, template, size, words): runs of words of each text that begin where an
+    anchor of the template says and have its size, or less where the text is shorter."""
+    anchors = template_anchors(templates, threshold)
+    known = F.broadcast(narrow.sparkSession.createDataFrame(
+        [a[:4] for a in anchors], "bigram string, template int, offset int, t_size int"
+    ))
+    rarer = F.array(*[F.lit(w) for w in sorted({a[4] for a in anchors})])
+    plain = F.regexp_replace(ascii_lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    texts = (
+        narrow.select("id", F.monotonically_increasing_id().alias("row"), F.split(F.trim(plain), " ").alias("all"))
+        .where(F.arrays_overlap("all", rarer))
+        .withColumn("n", F.size("all") - 1)
+    )
+    found = texts.select("id", "row", "all", "n", F.posexplode(_bigrams(F.col("all"), F.col("n"))).alias("at", "bigram"))
+    size = F.least("n", "t_size")
+    return (
+        found.join(known, "bigram")
+        .where(F.col("n") >= F.col("t_size") * threshold / (2 - threshold))
+        .withColumn("unit", F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("n") - F.col("t_size"))))
+        .groupBy("id", "row", "template", "unit")
+        .agg(F.first(F.slice("all", F.col("unit") + 1, size + 1)).alias("words"))
+        .withColumn("size", (F.size("words") - 1).cast("bigint"))
+    )
+
+
 def units(text: Column) -> Column:
     """The distinct lines, paragraphs (split at blank lines) and the whole of a text, with
     words lower-cased (A-Z), everything but letters and digits as one space."""
@@ -87,6 +148,7 @@ def units(text: Column) -> Column:
 def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
+    complete: Sequence[tuple[str, str]] = (), inside: bool = False,
 ) -> DataFrame:
     """One row per distinct id: doc_id, license, dice, template, n_matches.
 
@@ -95,6 +157,9 @@ def scan_licenses(
     * license: of the best match from ``threshold`` on; ties go to the template listed first.
       n_matches: matching (unit, template) pairs.  Nothing found, a null or an empty text:
       license, dice and template are null and n_matches is 0.
+    * ``inside``: notices inside longer units count, too, and the ``complete`` texts.  A complete
+      text is numbered after the templates and wins against notices, which it may quote; a
+      template that no unit of a document reaches counts once in n_matches if a window does.
     * Rows with one id count as one document; null ids are one document, too.  Units are told
       apart by row, so repeated rows do not add up within a unit.
     * Empty table: no rows.  Other columns are not looked at.
@@ -111,27 +176,39 @@ def scan_licenses(
         .withColumn("size", (F.size("words") - 1).cast("bigint"))
         .where((F.col("size") >= least) & (F.col("size") <= most))
     )
-    bigrams = pieces.select("id", "row", "unit", "size", F.explode(F.zip_with(
-        F.slice("words", F.lit(1), F.col("size").cast("int")), F.slice("words", F.lit(2), F.col("size").cast("int")),
-        lambda a, b: F.concat_ws(" ", a, b),
-    )).alias("bigram"))
-    shared = (
+    bigrams = pieces.select("id", "row", "unit", "size", F.explode(_bigrams(F.col("words"), F.col("size"))).alias("bigram"))
+
+    def reached(compared: DataFrame) -> DataFrame:
+        return (
+            compared.groupBy("id", "row", "unit", "template", "bigram", "licence", "size", "t_size", "times")
+            .agg(F.count(F.lit(1)).alias("found"))
+            .groupBy("id", "row", "unit", "template", "licence", "size", "t_size")
+            .agg(F.sum(F.least("found", "times")).alias("common"))
+            .withColumn("dice", 2 * F.col("common") / (F.col("size") + F.col("t_size")))
+            .where(F.col("dice") >= threshold)
+            .select("id", "template", "licence", "dice")
+        )
+
+    shared = reached(
         bigrams.join(known, "bigram")
         .where((F.col("size") >= F.col("t_size") * keep) & (F.col("size") <= F.col("t_size") * stretch))
-        .groupBy("id", "row", "unit", "template", "bigram", "licence", "size", "t_size", "times")
-        .agg(F.count(F.lit(1)).alias("found"))
-        .groupBy("id", "row", "unit", "template", "licence", "size", "t_size")
-        .agg(F.sum(F.least("found", "times")).alias("common"))
-        .withColumn("dice", 2 * F.col("common") / (F.col("size") + F.col("t_size")))
-        .where(F.col("dice") >= threshold)
-        .select("id", "template", "licence", "dice")
-    )
+    ).withColumn("units", F.lit(1).cast("bigint"))
+    if inside:
+        every = [*templates, *complete]
+        placed = windows(narrow, every, threshold)
+        cut = placed.select("id", "row", "template", "unit", "size", F.explode(_bigrams(F.col("words"), F.col("size"))).alias("bigram"))
+        within = reached(cut.join(F.broadcast(_templates(spark, every)), ["template", "bigram"]))
+        shared = shared.unionByName(within.withColumn("units", F.lit(0).cast("bigint")))
     none = narrow.select(
         "id", F.lit(None).cast("int").alias("template"), F.lit(None).cast("string").alias("licence"),
-        F.lit(None).cast("double").alias("dice"),
+        F.lit(None).cast("double").alias("dice"), F.lit(0).cast("bigint").alias("units"),
+    )
+    best = F.when(F.col("dice").isNotNull(), F.struct(F.col("template") < len(templates), -F.col("dice"), "template"))
+    by_template = shared.unionByName(none).groupBy("id", "template", "licence").agg(
+        F.max("dice").alias("dice"), F.sum("units").alias("units")
     )
-    best = F.when(F.col("dice").isNotNull(), F.struct(-F.col("dice"), "template"))
-    return shared.unionByName(none).groupBy("id").agg(
-        F.min_by("licence", best).alias("license"), F.max("dice").alias("dice"),
-        F.min_by("template", best).alias("template"), F.count("template").alias("n_matches"),
+    return by_template.groupBy("id").agg(
+        F.min_by("licence", best).alias("license"), F.min_by("dice", best).alias("dice"),
+        F.min_by("template", best).alias("template"),
+        F.sum(F.when(F.col("template").isNotNull(), F.greatest("units", F.lit(1))).otherwise(0)).cast("bigint").alias("n_matches"),
     ).withColumnRenamed("id", "doc_id")

@@ -12,7 +12,7 @@ from postpulse.llm.bpe import encode_and_decode
 from postpulse.llm.common import table
 from postpulse.llm.exact_dedup import exact_groups
 from postpulse.llm.html_text import extract_text
-from postpulse.llm.licenses import scan_licenses
+from postpulse.llm.licenses import COMPLETE, scan_licenses
 from postpulse.llm.ngram_join import jaccard_classes
 from postpulse.llm.quality import judge_quality, train
 from postpulse.llm.source_mix import mix
@@ -42,7 +42,7 @@ def query(name: str):
 
 @query("op1_license_scan")
 def _(spark, sf):
-    return scan_licenses(table(spark, sf, "documents")).select("doc_id", "license", "dice", "n_matches")
+    return scan_licenses(table(spark, sf, "documents"), complete=COMPLETE, inside=True).select("doc_id", "license", "dice", "n_matches")
 
 
 @query("op2_suffix_dedup")

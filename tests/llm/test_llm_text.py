@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from postpulse.llm import html_text, quality, token_counts
 from postpulse.llm.bpe import Decoder, Encoder, encode_and_decode, load, sufficient_lookahead
-from postpulse.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses, template_words
+from postpulse.llm.licenses import COMPLETE, TEMPLATES, THRESHOLD, scan_licenses, template_words
 from postpulse.llm.queries import TOKENIZERS
 from postpulse.llm.textbytes import chunks, utf8, words
 
@@ -62,6 +62,21 @@ def test_license_scan_of_repeated_ids_nulls_and_no_rows(spark):
     assert scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_license_notices_inside_longer_lines_and_complete_texts(spark):
+    prose, texts = "some words of the text that stand around it " * 8, dict(COMPLETE)
+    owned = lambda name: "Copyright 2020, Some Body. All rights reserved.\n\n" + texts[name].replace("COPYRIGHT HOLDERS", "AUTHORS")
+    rows = [
+        ("CC-BY-4.0", f"{prose}\nContent licensed under CC BY 4.0 unless noted"), ("MIT", f"{prose}. Released under the MIT License. {prose}"),
+        ("MIT", f"{prose}\nReleased under\nthe MIT License. {prose}"), ("GPL-3.0", f"{prose} {TEMPLATES[15][1]} {prose}"),
+        ("BSD-3-Clause", owned("BSD-3-Clause")), ("BSD-2-Clause", owned("BSD-2-Clause")), ("BSD-3-Clause", prose + owned("BSD-3-Clause") + prose),
+        *((name, text) for name, text in COMPLETE), (None, prose), (None, "the license"), (None, ""), (None, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], DOCS)
+    found = {r["doc_id"]: r for r in scan_licenses(df, complete=COMPLETE, inside=True).collect()}
+    assert [found[i]["license"] for i in range(len(rows))] == [name for name, _ in rows]
+    assert [found[i]["dice"] for i in range(4)] == [1.0] * 4 and found[1]["n_matches"] == 1
+
+
 # ---- token counts -----------------------------------------------------------
 
 def brute_tokens(word, counter):
