@@ -486,6 +486,17 @@ enriched AS (SELECT k.*, sentiment, {topic('clean_text', 'f')} AS topic FROM (SE
 
 SQL["E15_preview"] = _with(_previewed(15), """
 SELECT question_id, tweet_id, sentiment, topic, is_noise, relevance_score, noise_reason, tier AS author_reliability_tier FROM relevant""")
+_TOLD = """called AS (SELECT *, question_id % 3 = 0
+    OR NOT bool_or((question_id + length(tweet_id)) % 5 <> 0) OVER (PARTITION BY question_id) AS failed FROM lab),
+told AS (SELECT * REPLACE (
+    CASE WHEN failed THEN is_noise WHEN (question_id + length(tweet_id)) % 5 = 0 THEN true ELSE (question_id + length(tweet_id)) % 2 = 0 END AS is_noise,
+    CASE WHEN failed THEN relevance_score WHEN (question_id + length(tweet_id)) % 5 = 0 THEN 0.0 ELSE 0.5 END AS relevance_score,
+    CASE WHEN failed THEN noise_reason WHEN (question_id + length(tweet_id)) % 5 = 0 THEN 'unlabeled' ELSE 'call ' || question_id END AS noise_reason)
+  FROM called),
+kept AS MATERIALIZED ("""
+SQL["E15_preview_labelled"] = _with(_previewed(15).replace("kept AS MATERIALIZED (", _TOLD, 1).replace(
+    "FROM lab\n  WHERE NOT is_noise", "FROM told\n  WHERE NOT is_noise", 1), """
+SELECT question_id, tweet_id, sentiment, topic, is_noise, relevance_score, noise_reason, tier AS author_reliability_tier FROM relevant""")
 SQL["L6_confirm_preview"] = _with(_previewed(10), """
 SELECT 'questions_broad_all_x_preview_then_confirm' AS search_mode, is_noise, topic, count(*) AS posts FROM relevant GROUP BY ALL""")
 SQL["E16_join_back"] = _with(PROCESSED + f""",

@@ -104,16 +104,44 @@ def attach_labels(df: DataFrame, labels: DataFrame, order: str) -> DataFrame:
     }).drop("_key", "_hit", *[f"_l_{c}" for c in LABEL_COLUMNS])
 
 
+def attach_call_labels(
+    df: DataFrame, labels: DataFrame, question: Column | str, call: str, order: str
+) -> DataFrame:
+    """Labels of several calls, looked up by (call, id); the later duplicate label wins.
+
+    A call without a usable label (``is_noise`` is null in all of its rows, or it has no rows)
+    failed: its posts get the heuristic.  In a call that gave labels, a post without one is
+    noise with score 0 and reason 'unlabeled'.
+    """
+    usable = labels.filter(F.col("is_noise").isNotNull()).withColumn("_id", text_or_empty(F.col("tweet_id")))
+    latest = keep_last(usable, [call, "_id"], [order]).select(
+        F.col(call).alias("_call"), F.col("_id"), F.struct(*LABEL_COLUMNS).alias("_told")
+    )
+    answered = usable.select(F.col(call).alias("_call")).distinct().withColumn("_answered", F.lit(True))
+    keyed = df.withColumns({"_call": F.col(call), "_id": text_or_empty(F.col("tweet_id"))})
+    joined = with_heuristic_labels(spread_join(keyed, latest, ["_call", "_id"], "left"), question)
+    joined = spread_join(joined, answered, ["_call"], "left")
+    told, unlabeled = F.col("_told").isNotNull(), (F.lit(True), F.lit(0.0), F.lit("unlabeled"))
+    return joined.withColumns({
+        c: F.when(told, F.col("_told")[c]).when(F.col("_answered"), none).otherwise(F.col(c))
+        for c, none in zip(LABEL_COLUMNS, unlabeled, strict=True)
+    }).drop("_call", "_id", "_told", "_answered")
+
+
 def label_posts(
-    df: DataFrame, question: Column | str, labels: DataFrame | None = None, order: str | None = None
+    df: DataFrame, question: Column | str, labels: DataFrame | None = None, order: str | None = None,
+    call: str | None = None,
 ) -> DataFrame:
     """External labels when there are any for the run, else the heuristic.
 
     ``labels`` is what an external labeller returned (possibly nothing); it is used
-    as a whole or not at all, like one call that either succeeds or fails.
+    as a whole or not at all, like one call that either succeeds or fails.  With ``call``, a
+    column of both tables, each call is used or not on its own.
     """
     if labels is None:
         return with_heuristic_labels(df, question)
+    if call is not None:
+        return attach_call_labels(df, labels, question, call, order or "tweet_id")
     return attach_labels(df, labels, order or "tweet_id")
 
 

@@ -15,7 +15,7 @@ from postpulse.operators.enrich import process_posts, process_with_rewrites, rep
 from postpulse.operators.joins import spread_join
 from postpulse.operators.latest import backfill_labels, missing_runs
 from postpulse.operators.relevance import (
-    attach_labels, clamp_results, merge_candidates, pool_size, ranked, with_heuristic_labels,
+    clamp_results, label_posts, merge_candidates, pool_size, ranked,
 )
 from postpulse.operators.saved_search import staged_search
 from postpulse.session import materialize
@@ -146,11 +146,15 @@ def preview(
     translator: Translator | None = None,
     labels: DataFrame | None = None,
     order: str = "ord",
+    label_order: str = "label_pos",
 ) -> Preview:
     """Answer a table of questions from the posts: search, merge, rank, label, drop noise,
     enrich; labels stay on their row.  After the search every question holds at most a
     candidate pool of posts, and that small set is written once because several steps
     read it.
+
+    ``labels`` are keyed by ``question_id`` (one labeller call each) and ``tweet_id``; of equal
+    keys the largest ``label_order`` wins, and a question without labels gets the heuristic.
     """
     pool = pool_size(clamp_results(requested))
     passes = staged_search(posts, questions, max_results=pool, scope=scope, language=language)
@@ -160,10 +164,7 @@ def preview(
     top = ranked(candidates, pool, ["question_id"]).join(
         questions.select("question_id", F.col("question").alias("live_search_query")), "question_id"
     )
-    if labels is None:
-        labelled = with_heuristic_labels(top, F.col("live_search_query"))
-    else:
-        labelled = attach_labels(top, labels, "tweet_id")
+    labelled = label_posts(top, F.col("live_search_query"), labels, label_order, "question_id")
     raw = materialize(labelled, "preview")
 
     # Posts of different questions stay apart while they are deduplicated by id.

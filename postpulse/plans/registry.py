@@ -724,6 +724,28 @@ def _(spark, sf):
     )
 
 
+def _call_labels(asked: DataFrame) -> DataFrame:
+    """Labels of one call for each question, given twice; every third call failed, and a call
+    leaves out some posts."""
+    given = asked.filter("question_id % 3 <> 0 AND (question_id + length(tweet_id)) % 5 <> 0").select("question_id", "tweet_id")
+    first = given.select("*", F.lit(0).alias("label_pos"), F.lit(True).alias("is_noise"), F.lit(0.1).alias("relevance_score"),
+                         F.lit("first opinion").alias("noise_reason"))
+    again = given.select("*", F.lit(1).alias("label_pos"), F.expr("(question_id + length(tweet_id)) % 2 = 0").alias("is_noise"),
+                         F.lit(0.5).alias("relevance_score"), F.expr("concat('call ', question_id)").alias("noise_reason"))
+    return again.unionByName(first)
+
+
+@query("E15_preview_labelled")
+def _(spark, sf):
+    rows = C.keep_first(posts(spark, sf), ["tweet_id"], ["ord"])
+    asked = jobs.preview(rows, questions(spark, sf), requested=10, run_ts=RUN_TS).raw
+    result = jobs.preview(rows, questions(spark, sf), requested=10, run_ts=RUN_TS, labels=_call_labels(asked))
+    return result.relevant.select(
+        "question_id", "tweet_id", "sentiment", "topic", "is_noise", "relevance_score", "noise_reason",
+        "author_reliability_tier",
+    )
+
+
 @query("E16_join_back")
 def _(spark, sf):
     right = R.with_heuristic_labels(_asked(posts(spark, sf)), F.col("query_ticker"))

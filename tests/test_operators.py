@@ -161,6 +161,20 @@ def test_attach_labels(spark):
         (None, True, 0.0, "unlabeled")]
 
 
+def test_labels_by_call(spark):
+    post = "NVDA stock earnings beat guidance this quarter"
+    df = spark.createDataFrame([(q, t, post) for q in (1, 2, 3) for t in ("a", "b")], "question_id int, tweet_id string, text string")
+    labels = spark.createDataFrame(
+        [(1, "a", 2, True, 0.1, "later"), (1, "a", 1, False, 0.9, "earlier"), (2, "a", 1, False, 0.7, "two"), (2, "b", 1, False, 0.6, "two"),
+         (3, "a", 1, None, None, None)],
+        "question_id int, tweet_id string, o int, is_noise boolean, relevance_score double, noise_reason string")
+    got = R.label_posts(df, "NVDA", labels, "o", "question_id")
+    guess = (False, 0.85, "heuristic_financial_or_macro_relevance")
+    assert rows(got, "question_id", "tweet_id", *R.LABEL_COLUMNS) == [
+        (1, "a", True, 0.1, "later"), (1, "b", True, 0.0, "unlabeled"), (2, "a", False, 0.7, "two"), (2, "b", False, 0.6, "two"),
+        (3, "a", *guess), (3, "b", *guess)]
+
+
 def test_parse_labels(spark):
     a, b = '{"tweet_id": "1", "is_noise": false, "relevance_score": 0.5, "reason": "ok"}', '{"tweet_id": 2}'
     cases = [f"[{a}, {b}]", f"```json\n[{a},{b}]\n```", f"Sure: [{a},{b}] bye", f'{{"labels": [{a},{b}]}}',
