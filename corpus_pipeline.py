@@ -7,7 +7,7 @@ written as Parquet and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postpulse.llm.bpe import encode_and_decode
@@ -15,7 +15,7 @@ from postpulse.llm.exact_dedup import drop_copies
 from postpulse.llm.ngram_join import jaccard_classes
 from postpulse.llm.quality import judge_quality, train
 from postpulse.llm.queries import TOKENIZERS
-from postpulse.llm.source_mix import mix
+from postpulse.llm.source_mix import mix, word_count
 from postpulse.session import materialize, prepare
 
 
@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
-    return drop_copies(docs)
+    """Of equal texts the document with the largest id, and of its rows one."""
+    return drop_copies(docs, one_row=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +42,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole number: texts stay whole.
     (Part of a text is taken only at the two ends of a shard's run.)"""
-    times = mix(docs).where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")
-    )
-    taken = times.where("_times > 0").groupBy("_id").agg(F.max("_times").alias("_times"))
-    copies = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    key = ["_id", "_source", "_size"]
+    alike = Window.partitionBy(*key)
+    times = materialize(mix(docs).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
+        F.coalesce(F.round(F.try_divide("taken", "size")), F.lit(0)).cast("int").alias("_times"),
+    ).withColumns({
+        "_n": F.count(F.lit(1)).over(alike), "_number": F.row_number().over(alike.orderBy(F.desc("_times"))),
+    }).where("_times > 0"), "mix-times")
+    sized = docs.withColumns({"_i": F.col("doc_id"), "_s": F.col("source").cast("string"), "_w": word_count(F.col("text"))})
+    same = F.expr("_i <=> _id and _s <=> _source and _w = _size")
+    copies = sized.join(times.where("_n = 1"), same).select(*docs.columns, "_times")
+    repeated = times.where("_n > 1")
+    if not repeated.isEmpty():  # rows alike in id, source and size: each has its own count
+        order = Window.partitionBy("_i", "_s", "_w").orderBy(F.sha2("text", 256))
+        numbered = sized.join(repeated.select(*key).distinct(), same, "left_semi").withColumn("_row", F.row_number().over(order))
+        own = numbered.join(repeated, same & F.expr("_row = _number")).select(*docs.columns, "_times")
+        copies = copies.unionByName(own)
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

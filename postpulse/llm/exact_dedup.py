@@ -81,11 +81,25 @@ def exact_groups(
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that exact_groups drops, found again by id and content."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_row: bool = False) -> DataFrame:
+    """``docs`` without the rows that exact_groups drops, found again by id and content.  With
+    ``one_row`` also of kept rows with one id (or none) and one content only one stays."""
+    found = exact_groups(docs, id_col, text_col)
+    gone = found.where("not kept").select(
         F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_text")
     ).distinct()
     content = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
     same = docs[id_col].eqNullSafe(gone["_gone_id"]) & (content == gone["_gone_text"])
-    return docs.join(gone, same, "left_anti")
+    left = docs.join(gone, same, "left_anti")
+    if not one_row:
+        return left
+    again = materialize(
+        found.where("kept").groupBy(F.col("doc_id").alias("_again_id"), F.col("text_sha256").alias("_again_text"))
+        .agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "exact-again",
+    )
+    if again.isEmpty():
+        return left
+    keyed = left.withColumns({"_key": F.col(id_col), "_content": F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)})
+    equal = F.expr("_key <=> _again_id and _content = _again_text")
+    one = keyed.join(again, equal, "left_semi").dropDuplicates(["_key", "_content"])
+    return keyed.join(again, equal, "left_anti").unionByName(one).drop("_key", "_content")

@@ -111,3 +111,16 @@ def test_pipeline_equals_its_stages_done_plainly(spark, con, data_dir):
     longest = max(len(t.split()) for t in texts.values())
     for s, target in plain_targets(sizes).items():
         assert abs(words[s] - target) <= longest + 128
+
+
+def test_pipeline_stages_with_repeated_and_null_ids(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(7, "same text", "en", "a", 9)] * 3 + [(None, "null text", "en", "a", 9)] * 2 + [(8, "Same text", "en", "a", 9), (9, "x", "en", "b", 1)]
+    left = corpus_pipeline.exact_dedup(spark, spark.createDataFrame([*rows, (8, "Same text", "en", "a", 9)], schema), "")
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == [(8, "Same text"), (9, "x"), (None, "null text")]
+
+    many = [(5, "", "en", "a", 0)] + [(None if i % 2 else 5, f"{'word ' * 40}{i}", "en", "abc"[i % 3], 0) for i in range(100, 400)]
+    taken = corpus_pipeline.source_mix(spark, spark.createDataFrame(many, schema), "").groupBy("source").count().collect()
+    words = {r["source"]: 41 * r["count"] for r in taken}
+    for source, target in plain_targets(dict.fromkeys("abc", 4100)).items():
+        assert abs(words[source] - target) <= 41 + 128
