@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from postpulse.llm.bpe import encode_and_decode
 from postpulse.llm.common import table
 from postpulse.llm.exact_dedup import exact_groups
+from postpulse.llm.fill_middle import fill_in_middle, restore
 from postpulse.llm.html_text import extract_text
 from postpulse.llm.licenses import COMPLETE, scan_licenses
 from postpulse.llm.ngram_join import jaccard_classes
@@ -109,3 +110,14 @@ def _(spark, sf):
         "doc_id", F.expr(f"octet_length({ids}) div 4").cast("bigint").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.encode(decoded, "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op11_fill_middle")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cut, (n, form, before, middle, output) = fill_in_middle(docs)
+    return cut.select(
+        "doc_id", F.col(n).alias("n"), F.col(form).alias("form"), F.col(before).alias("prefix_chars"),
+        F.col(middle).alias("middle_chars"), F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(restore(F.col(output), F.col(form)), 256).alias("restored_sha256"),
+    )

@@ -115,9 +115,30 @@ FROM rest
 """
 
 
+def _hash_number(i: int) -> str:
+    return f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT"
+
+
+FILL_MIDDLE = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+sized AS (SELECT *, length(t)::BIGINT AS n FROM docs),
+cut AS (
+  SELECT *, {_hash_number(0)} % (n + 1) AS x, {_hash_number(1)} % (n + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_hash_number(2)} % 100 >= 90 THEN 'plain'
+      WHEN {_hash_number(3)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM sized),
+parts AS (
+  SELECT *, least(x, y) AS a, greatest(x, y) AS b, substr(t, 1, least(x, y)) AS prefix,
+    substr(t, least(x, y) + 1, greatest(x, y) - least(x, y)) AS middle, substr(t, greatest(x, y) + 1) AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
 SQL = {
     "op1_license_scan": LICENSES,
     "op3_url_filter": URLS,
     "op7_source_mix": mix_sql(),
     "op8_exact_dedup": EXACT,
+    "op11_fill_middle": FILL_MIDDLE,
 }
