@@ -124,3 +124,16 @@ def map_rows(
         return [pa.array(c, k) for c, k in zip(found, kinds, strict=True)]
 
     return map_batches(df, text_col, columns, [(name, kind) for name, kind, _ in fields])
+
+
+def mark_maybe(rows: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with a column ``name``: false where ``key`` is surely not in ``keys`` (see maybe_in)."""
+    bit = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
+    words = keys.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_bits")
+    )
+    sure = F.expr("(shiftrightunsigned(coalesce(_bits, 0L), cast(_bit % 64 as int)) & 1) = 1")
+    return (
+        rows.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6))
+        .join(F.broadcast(words), "_word", "left").select(*rows.columns, sure.alias(name))
+    )

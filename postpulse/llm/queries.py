@@ -20,7 +20,8 @@ from postpulse.llm.source_mix import mix
 from postpulse.llm.suffix_dedup import remove_repeats
 from postpulse.llm.token_counts import count_tokens
 from postpulse.llm.url_filter import judge_urls, rules_table
-from postpulse.session import prepare
+from postpulse.llm.warc import page_of, read_warc, write_warc
+from postpulse.session import new_folder, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -121,3 +122,15 @@ def _(spark, sf):
         F.col(middle).alias("middle_chars"), F.sha2(output, 256).alias("output_sha256"),
         F.sha2(restore(F.col(output), F.col(form)), 256).alias("restored_sha256"),
     )
+
+
+@query("op12_warc")
+def _(spark, sf):
+    archives = new_folder(spark, "warc-archives")
+    write_warc(table(spark, sf, "pages"), archives)
+    header = F.col("headers")
+    return read_warc(spark, archives).select(
+        page_of(header["warc-record-id"]).cast("bigint").alias("page_id"), "payload_bytes", "payload_digest",
+        header["warc-type"].alias("record_type"), page_of(header["warc-refers-to"]).cast("bigint").alias("refers_to"),
+        "complete",
+    )

@@ -135,10 +135,26 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM parts
 """
 
+def _base32_digit(i: int) -> str:
+    """Digit i of a SHA-1 in base 32; ten hexadecimal digits make eight of them."""
+    forty = f"('0x' || substr(h, {10 * (i // 8) + 1}, 10))::BIGINT"
+    return f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({forty} >> {35 - 5 * (i % 8)}) & 31)::INT + 1, 1)"
+
+
+WARC = f"""
+WITH rows AS (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY p) AS f FROM rows)
+SELECT page_id, strlen(p)::BIGINT AS payload_bytes, {" || ".join(_base32_digit(i) for i in range(32))} AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to, true AS complete
+FROM firsts
+"""
+
 SQL = {
     "op1_license_scan": LICENSES,
     "op3_url_filter": URLS,
     "op7_source_mix": mix_sql(),
     "op8_exact_dedup": EXACT,
     "op11_fill_middle": FILL_MIDDLE,
+    "op12_warc": WARC,
 }
