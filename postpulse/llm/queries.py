@@ -20,6 +20,7 @@ from postpulse.llm.source_mix import mix
 from postpulse.llm.suffix_dedup import remove_repeats
 from postpulse.llm.token_counts import count_tokens
 from postpulse.llm.url_filter import judge_urls, rules_table
+from postpulse.llm.vector_codes import books_sha256, encode_vectors, with_label_error
 from postpulse.llm.warc import page_of, read_warc, write_warc
 from postpulse.session import new_folder, prepare
 
@@ -134,3 +135,11 @@ def _(spark, sf):
         header["warc-type"].alias("record_type"), page_of(header["warc-refers-to"]).cast("bigint").alias("refers_to"),
         "complete",
     )
+
+
+@query("op13_vector_codes")
+def _(spark, sf):
+    coded, books = encode_vectors(table(spark, sf, "embeddings"), keep=("label",))
+    return with_label_error(coded, "label").select(
+        "vec_id", "code", "error", "label_error", F.lit(books_sha256(books)).alias("codebooks_sha256")
+    )

@@ -150,6 +150,40 @@ SELECT page_id, strlen(p)::BIGINT AS payload_bytes, {" || ".join(_base32_digit(i
 FROM firsts
 """
 
+def vector_codes_sql(rounds: int = 4, entries: int = 256, parts: int = 4, scale: int = 1024) -> str:
+    """Each round compares all parts with all entries; distances are whole numbers."""
+
+    def nearest(n: int) -> str:
+        return f"""a{n} AS MATERIALIZED (
+  SELECT r, p, arg_min(entry, [d, entry]) AS entry, min(d) + any_value(xx) AS d FROM (
+    SELECT r, p, entry, list_inner_product(x, x) AS xx, list_inner_product(e, e) - 2 * list_inner_product(x, e) AS d
+    FROM parts JOIN b{n} USING (p)) GROUP BY r, p)"""
+
+    def moved(n: int) -> str:
+        return f"""b{n + 1} AS MATERIALIZED (
+  SELECT p, entry, coalesce(m, e) AS e FROM b{n} LEFT JOIN (
+    SELECT p, entry, list(m ORDER BY i) AS m FROM (
+      SELECT p, entry, i, floor(sum(x[i]) / count(*)) AS m FROM a{n} JOIN parts USING (r, p), range(1, 1 + (SELECT any_value(len(x)) FROM parts)) t(i)
+      GROUP BY p, entry, i) GROUP BY p, entry) USING (p, entry))"""
+
+    steps = ",\n".join(f"{nearest(n)},\n{moved(n)}" for n in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS entry, x AS e FROM parts WHERE r <= {entries}),
+{steps},
+{nearest(rounds)},
+coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+books AS (
+  SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, entry, i)) AS h
+  FROM (SELECT p, entry, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM b{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (r), books
+"""
+
+
 SQL = {
     "op1_license_scan": LICENSES,
     "op3_url_filter": URLS,
@@ -157,4 +191,5 @@ SQL = {
     "op8_exact_dedup": EXACT,
     "op11_fill_middle": FILL_MIDDLE,
     "op12_warc": WARC,
+    "op13_vector_codes": vector_codes_sql(),
 }

@@ -25,7 +25,7 @@ def plain(value):
 @pytest.fixture(scope="module")
 def con(data_dir):
     found = duckdb.connect()
-    for name in ("documents", "pages", "labels"):
+    for name in ("documents", "pages", "labels", "embeddings"):
         found.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{data_dir}/{name}.parquet')")
     return found
 
