@@ -44,6 +44,16 @@ _FURNITURE_WORDS = frozenset(
     "alert banners complementary contentinfo search login byline".split()
 )
 _COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond responses thread".split())
+#: A name with one of these says how a page is laid out or what state it is in: no-sidebar, comments-open.
+_STATES = frozenset(
+    "active closed collapsed disabled enabled expanded fixed has have hide inactive is layout no non not off on open "
+    "opened show static sticky template with without".split()
+)
+#: Headlines and names of authors inside an article are its own.
+_OWN_HEADS = frozenset("header masthead".split())
+_FIRM = frozenset("nav footer aside menu dialog header".split())
+#: A class or id does not make these furniture.
+_NEVER = frozenset("html body main article".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -54,25 +64,19 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _MAY_HIDE = re.compile(r"hidden|display|visibility", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
-_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer "
-    "footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination "
-    "popup promo promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget "
-    "alert banners complementary contentinfo search login byline".split()
-)
-_COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond responses thread".split())
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(?P<raw>script|style)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)(?:>|$|(?=<))",
-    re.DOTALL | re.IGNORECASE,
-)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_HIDING = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 
 
+@dataclass
+class Mark:
+    """An element that by its tag or names holds furniture or comments, and what it holds."""
+
+    comment: bool
+    firm: bool = False  # by its tag, whatever it holds
+    words: int = 0
+    anchored: bool = False  # by a main, an article or a first heading inside
+
+
 @dataclass
 class Block:
     text: str
@@ -82,6 +86,7 @@ class Block:
     furniture: bool
     comment: bool
     heading: bool
+    marks: tuple[Mark, ...] = ()
 
     @property
     def density(self) -> float:
@@ -94,12 +99,24 @@ class _Open:
     hidden: bool = False
     unseen: bool = False  # by visibility, which an element inside can turn back
     main: bool = False
-    furniture: bool = False
-    comment: bool = False
+    marks: tuple[Mark, ...] = ()
     link: bool = False
     heading: bool = False
 
 
+def hints(name: str, rest: str, main: bool) -> tuple[bool, bool]:
+    """(furniture, comments): what the names of an element in class, id and role say of it."""
+    furniture = comment = False
+    if "=" in rest and name not in _NEVER:
+        for found in _NAMED.findall(rest):
+            for token in "".join(found).lower().split():
+                named = set(_WORDS.findall(token))
+                if not named & _STATES:
+                    furniture |= bool(named & (_FURNITURE_WORDS - _OWN_HEADS if main else _FURNITURE_WORDS))
+                    comment |= bool(named & _COMMENT_WORDS)
+    return furniture, comment
+
+
 def hiding(rest: str) -> tuple[bool, bool | None]:
     """(hidden with all that is inside, invisible or None if its visibility is not set), from
     the names and values of a begin tag's attributes; the first of one name counts."""
@@ -128,6 +145,8 @@ class _Page:
     blocks: list[Block] = field(default_factory=list)
     parts: list[tuple[str, bool]] = field(default_factory=list)
     head: bool = False  # whether a head may be open
+    words: int = 0
+    anchored: bool = False
 
     def flush(self) -> None:
         if not self.parts:
@@ -137,7 +156,10 @@ class _Page:
             top = self.stack[-1]
             linked = sum(len(html.unescape(t).split()) for t, link in self.parts if link)
             n = len(text.split())
-            self.blocks.append(Block(text, n, min(linked, n), top.main, top.furniture, top.comment, top.heading))
+            self.words += n
+            for mark in top.marks:
+                mark.words += n
+            self.blocks.append(Block(text, n, min(linked, n), top.main, False, False, top.heading, top.marks))
         self.parts = []
 
     def add(self, text: str) -> None:
@@ -171,23 +193,36 @@ class _Page:
         if name in _VOID or rest.rstrip().endswith("/") and name not in _BLOCKS and name not in ("a", "b", "i", "span"):
             return
         top = self.stack[-1]
-        named = set()
-        if "=" in rest:
-            for found in _NAMED.findall(rest):
-                named |= set(_WORDS.findall("".join(found).lower()))
         hidden, unseen = hiding(rest)
-        main = top.main or name in _MAIN or "main" in named and name == "div"
+        main = top.main or name in _MAIN
+        furniture, comment = hints(name, rest, main)
+        if name == "div" and not furniture and "main" in rest:
+            main |= any("main" in _WORDS.findall("".join(x).lower()) for x in _NAMED.findall(rest))
+        marks = top.marks
+        if furniture or name in _FURNITURE or name == "header" and not main:
+            marks += (Mark(False, name in _FIRM),)
+        if comment:
+            marks += (Mark(True),)
+        if (name in _MAIN or name == "h1") and not any(m.comment for m in marks):
+            self.anchored = True
+            for mark in marks:
+                mark.anchored = True
         self.stack.append(_Open(
-            name,
-            hidden=top.hidden or name in _HIDDEN or hidden,
-            unseen=top.unseen if unseen is None else unseen,
-            main=main,
-            furniture=top.furniture or name in _FURNITURE or bool(named & _FURNITURE_WORDS) or name == "header" and not main,
-            comment=top.comment or bool(named & _COMMENT_WORDS),
-            link=top.link or name == "a",
-            heading=top.heading or name in _HEADINGS,
+            name, hidden=top.hidden or name in _HIDDEN or hidden, unseen=top.unseen if unseen is None else unseen,
+            main=main, marks=marks, link=top.link or name == "a", heading=top.heading or name in _HEADINGS,
         ))
 
+    def judge(self) -> None:
+        """Furniture and comments by the marks that count: an element that is called so, or a form,
+        is the page itself if it holds most of the page's words and the article (a main, an article
+        or a first heading), or nine tenths of the words where a page has no such thing."""
+        for block in self.blocks:
+            for mark in block.marks:
+                page = 2 * mark.words > self.words if mark.anchored else not self.anchored and 10 * mark.words > 9 * self.words
+                if mark.firm or not page:
+                    block.comment |= mark.comment
+                    block.furniture |= not mark.comment
+
     def end(self, name: str) -> None:
         at = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].name == name), 0)
         if name in _BLOCKS:
@@ -213,6 +248,7 @@ def blocks(page: str) -> list[Block]:
         state.leave_head()
     state.add(page[at:])
     state.flush()
+    state.judge()
     return state.blocks
 
 
