@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from postpulse.llm.common import attach, columns_of, maybe_in
 from postpulse.llm.suffixes import common_prefixes, suffix_array
-from postpulse.llm.textbytes import chunks, mix, piece_hashes, utf8
+from postpulse.llm.textbytes import chunks, mix, piece_hashes, rolling_hashes, utf8
 from postpulse.session import materialize
 
 LENGTH = 400
@@ -80,7 +80,7 @@ def segments(
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     begins = np.arange(n - gram + 1)
-    hashes = piece_hashes(data, begins, begins + gram)
+    hashes = rolling_hashes(data, begins, begins + gram)
     keys = (hashes >> np.uint64(1)) & ~np.uint64((1 << _PLACE) - 1) | begins.astype(np.uint64)
     if common is not None and len(common):
         known = np.zeros(1 << _PLACE, bool)  # by the upper bits, so that few hashes are looked up

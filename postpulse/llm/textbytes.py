@@ -1,11 +1,15 @@
 """Words and shingles of Arrow string columns as numpy arrays over their UTF-8 bytes.
 
-Words are runs of anything but ASCII white space (0x20, 0x09-0x0D).  Hashes are 64 bits wide;
-two different shingles of one document collide with a probability of about 1e-13.
+Words are runs of anything but ASCII white space (0x20, 0x09-0x0D).  ``piece_hashes`` are 64 bits
+wide and stand for contents: pieces of up to 8 bytes differ in hash where they differ, longer
+ones are mixed block by block, and those of more than 64 bytes go through BLAKE2b.
+``rolling_hashes`` are a polynomial modulo 2**64, for which colliding texts can be constructed
+(Thue-Morse words); they only choose places and never stand for contents.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,8 +97,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begins, ends, np.searchsorted(begins, offsets)
 
 
-def piece_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of data[b:e] for each pair, from prefix sums of a polynomial modulo 2**64."""
+def rolling_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of data[b:e] for each pair, from prefix sums of a polynomial modulo 2**64: cheap at every byte."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _table(_BASE, n)[:n], out=sums[1:])
@@ -102,6 +106,35 @@ def piece_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.n
     return mix(value + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Bytes of a piece that are mixed in numpy; longer ones are digested one by one.
+_MIXED = 64
+
+
+def piece_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of data[b:e] for each pair."""
+    sizes = ends - begins
+    value = mix(sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the 8 bytes from each place on
+    rows = np.flatnonzero((sizes > 0) & (sizes <= _MIXED))
+    at, left = begins[rows], sizes[rows]
+    while len(rows):
+        block = eights[at]
+        short = left < 8
+        block[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        value[rows] = mix(value[rows] * np.uint64(0x9FB21C651E98DF25) ^ block)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(sizes > _MIXED)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        value[long] = np.frombuffer(b"".join(
+            hashlib.blake2b(view[b:e], digest_size=8).digest()
+            for b, e in zip(begins[long].tolist(), ends[long].tolist(), strict=True)
+        ), "<u8")
+    return value
+
+
 def _joined(hashes: np.ndarray, begins: np.ndarray, k: int) -> np.ndarray:
     value = hashes[begins]
     for step in range(1, k):
