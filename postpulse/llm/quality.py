@@ -212,18 +212,24 @@ def train(
     """A model from at most ``sample`` labelled rows of each class (the smallest hashes of the
     id, so the same rows give the same model); None if a class has no labelled text.
 
-    Only the sampled labels are broadcast and only sparse features of the sampled texts come
-    to the driver: at most 2 x ``sample`` rows of at most 5 x 2**11 bins each.
+    Drawn are labels whose id has a text, and of several texts of one id the one with the
+    smallest SHA-256; an id labelled both ways counts in both classes.  The drawn labels are
+    broadcast, and sparse features of the drawn texts come to the driver: at most 2 x ``sample``
+    rows of at most 5 x 2**11 bins each, however often an id repeats.
     """
-    known = columns_of(labels, id=id_col, label=label_col).where("id is not null and label in (0, 1)")
+    known = columns_of(labels, id=id_col, label=label_col).where("id is not null and label in (0, 1)").distinct()
+    texts = columns_of(docs, id=id_col, text=text_col).where("text is not null and id is not null")
+    known = known.join(texts.select("id").distinct(), "id", "left_semi")
     by_class = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if set(by_class) != {0, 1}:
         return None
     drawn = None
     for label in (0, 1):
-        part = known.where(F.col("label") == label).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
+        part = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample)
         drawn = part if drawn is None else drawn.unionByName(part)
-    texts = columns_of(docs, id=id_col, text=text_col).where("text is not null").join(F.broadcast(drawn), "id")
+    texts = texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(
+        F.min_by("text", F.sha2("text", 256)).alias("text")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
