@@ -294,6 +294,12 @@ _CORPUS_QUESTION = f"CASE WHEN refined = original THEN refined ELSE {squeeze(_NO
 SQL["D19_refine_for_corpus"] = _with(_REFINED, f"SELECT question_id, {_CORPUS_QUESTION} AS refined, reason FROM refined")
 SQL["D20_reprocess"] = _with(PROCESSED + "," + overridden("processed", "o"), """
 SELECT tweet_id, topic, sentiment, '2024-02-01 00:00:00' AS reprocessed_at FROM o""")
+SQL["D20_reprocess_silver"] = _with(PROCESSED + "," + overridden("processed", "o") + """,
+newest AS (SELECT tweet_id FROM o WHERE source = 'twitter_live' ORDER BY created_at DESC NULLS LAST, tweet_id LIMIT 1000)""", """
+SELECT in_table, source, topic, sentiment, reprocessed_at, count(*) AS posts FROM (
+  SELECT 'silver' AS in_table, source, topic, sentiment, '2024-02-01 00:00:00' AS reprocessed_at FROM o WHERE source = 'twitter_live'
+  UNION ALL SELECT 'latest', source, topic, sentiment, '2024-02-01 00:00:00' FROM o JOIN newest USING (tweet_id)
+  UNION ALL SELECT 'silver', source, 'old', sentiment, NULL FROM processed WHERE source <> 'twitter_live') GROUP BY ALL""")
 SQL["D21_process_posts"] = _with(PROCESSED, """
 SELECT tweet_id, doc_id, clean_text, array_to_string(tickers, ',') AS tickers, primary_ticker, sentiment, sentiment_score,
   positive_hits, negative_hits, topic, created_at, source, 'unknown' AS author FROM processed""")
@@ -316,6 +322,10 @@ WITH one AS (SELECT doc_id, 0::INT AS label_pos, 'd' || doc_id AS tweet_id, qual
   FROM labels WHERE doc_id % 7 <> 6)
 SELECT * FROM one UNION ALL
 SELECT doc_id, 1, 'x' || doc_id, true, 0, 'external' FROM labels WHERE doc_id % 7 IN (0, 3, 5)"""
+SQL["E3_parse_later_blocks"] = """
+SELECT doc_id, 0::INT AS label_pos, 'd' || doc_id AS tweet_id, quality = 0 AS is_noise,
+  (quality * 0.5 + 0.25)::DOUBLE AS relevance_score, 'toxic ' || toxic AS noise_reason FROM labels
+UNION ALL SELECT doc_id, 1, 'x' || doc_id, true, 0, 'external' FROM labels"""
 SQL["E4_label_posts"] = _with(_ASKED + "," + _LABELS, f"""
 SELECT labeller, is_noise, relevance_score, noise_reason, count(*) AS rows FROM (
   SELECT 'external' AS labeller, * EXCLUDE (ord) FROM ({_ATTACHED})
@@ -499,6 +509,11 @@ SQL["E15_preview_labelled"] = _with(_previewed(15).replace("kept AS MATERIALIZED
 SELECT question_id, tweet_id, sentiment, topic, is_noise, relevance_score, noise_reason, tier AS author_reliability_tier FROM relevant""")
 SQL["L6_confirm_preview"] = _with(_previewed(10), """
 SELECT 'questions_broad_all_x_preview_then_confirm' AS search_mode, is_noise, topic, count(*) AS posts FROM relevant GROUP BY ALL""")
+SQL["L6_confirm_bronze"] = _with(_previewed(10), """
+SELECT question_id, tweet_id, length(text) AS n_chars, like_count, is_noise, noise_reason, run_id AS captured_by, 'run_confirmed' AS run_id FROM lab""")
+SQL["L6_confirm_latest"] = _with(_previewed(10), """
+SELECT tweet_id, 'run_confirmed' AS run_id FROM (SELECT DISTINCT tweet_id, created_at FROM relevant)
+ORDER BY created_at DESC NULLS LAST, tweet_id LIMIT 1000""")
 SQL["E16_join_back"] = _with(PROCESSED + f""",
 asked AS (SELECT *, false AS curated, 'unknown' AS tier, {rotation('created_at')} AS query_ticker FROM posts),""" + heuristic("asked", "labelled", "query_ticker") + """,
 picked AS (SELECT * FROM labelled QUALIFY row_number() OVER (PARTITION BY tweet_id ORDER BY ord) = 1)""", """
@@ -681,6 +696,10 @@ runs AS MATERIALIZED (SELECT * FROM bronze WHERE clean_text <> '' QUALIFY row_nu
 SQL["L3_backfill"] = _with(_BRONZE + "," + lexicon("runs", "ord", "clean_text"), """
 SELECT run_id, 'bronze_backfill_no_relevance_recheck' AS noise_reason, sentiment, count(*) AS posts, 0.75 * count(*)::DOUBLE AS relevance
 FROM runs JOIN lex USING (ord) GROUP BY ALL""")
+SQL["L3_backfill_latest"] = _with(_BRONZE, f"""
+SELECT tweet_id, run_id, 'bronze_backfill_no_relevance_recheck' AS noise_reason FROM (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY tweet_id ORDER BY run_id DESC) = 1)
+ORDER BY coalesce(created_at, {RUN_TS}) DESC, run_id || chr(1) || tweet_id DESC LIMIT 500""")
 _SNAP = POSTS + """,
 snap AS MATERIALIZED (SELECT tweet_id, ord, created_at FROM (
     SELECT *, 0 AS side FROM posts WHERE source = 'twitter_live'

@@ -155,9 +155,9 @@ REASON_LENGTH = 300
 def parse_labels(responses: DataFrame, column: str = "response") -> DataFrame:
     """One row per label object found in free-text labeller responses.
 
-    Tried in turn: the whole text, a fenced block, the outermost array, the
-    outermost object (bare or wrapping a list), and finally every complete object
-    of a truncated array.  Other columns are carried along; ``label_pos`` is the
+    Tried in turn, of the whole text and then of each fenced block: all of it, its outermost
+    array, its outermost object (bare or wrapping a list); and finally every complete
+    object of a truncated array.  Other columns are carried along; ``label_pos`` is the
     position within the response.
     """
     def outer(text: Column, opening: str, closing: str) -> Column:
@@ -190,13 +190,13 @@ def parse_labels(responses: DataFrame, column: str = "response") -> DataFrame:
     staged = responses.withColumn("_raw", F.trim(text_or_empty(F.col(column)))).withColumns({
         "_whole": F.regexp_replace(
             F.regexp_replace("_raw", r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""),
-        "_block": F.trim(F.regexp_extract("_raw", r"(?is)```(?:json)?\s*(.*?)(?:```|$)", 1)),
+        "_blocks": F.transform(
+            F.regexp_extract_all("_raw", F.lit(r"(?is)```(?:json)?\s*(.*?)(?:```|$)"), F.lit(1)), F.trim),
     })
-    attempts = [
-        attempt
-        for source in (F.col("_whole"), F.col("_block"))
-        for attempt in (source, outer(source, "[", "]"), outer(source, "{", "}"))
-    ]
+    attempts = F.flatten(F.transform(
+        F.concat(F.array("_whole"), F.filter("_blocks", lambda b: b != "")),
+        lambda source: F.array(source, outer(source, "[", "]"), outer(source, "{", "}")),
+    ))
     salvaged = F.filter(
         F.transform(
             F.regexp_extract_all(F.col("_raw"), F.lit(_LABEL_OBJECT), F.lit(0)),
@@ -204,7 +204,7 @@ def parse_labels(responses: DataFrame, column: str = "response") -> DataFrame:
         ),
         lambda item: item.isNotNull(),
     )
-    tried = F.filter(F.transform(F.array(*attempts), items), lambda found: found.isNotNull())
+    tried = F.filter(F.transform(attempts, items), lambda found: found.isNotNull())
     labels = let(tried, lambda t: F.when(F.size(t) > 0, F.get(t, F.lit(0))).otherwise(salvaged))
 
     def field(name: str) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postpulse.functions.models import Scorer, Translator
 from postpulse.functions.overrides import apply_overrides
@@ -13,15 +15,21 @@ from postpulse.operators.aggregates import gold_daily
 from postpulse.operators.cleaning import append_to_base, repair_ids, without_noise
 from postpulse.operators.enrich import process_posts, process_with_rewrites, reprocess
 from postpulse.operators.joins import spread_join
-from postpulse.operators.latest import backfill_labels, missing_runs
+from postpulse.operators.latest import (
+    BACKFILL_ROWS, LATEST_ROWS, backfill_labels, latest, latest_tail, missing_runs,
+)
 from postpulse.operators.relevance import (
     clamp_results, label_posts, merge_candidates, pool_size, ranked,
 )
 from postpulse.operators.saved_search import staged_search
 from postpulse.session import materialize
-from postpulse.sources import lake
+from postpulse.sources import lake, payloads
 from postpulse.sources.schema import infer_mapping, standardize
+from postpulse.sources.staged import exists, rewrite, table_path
 from postpulse.sources.tables import read_table, write_table
+from postpulse.streaming.live import (
+    LATEST_PATH, REWRITTEN_AFTER, last_version, latest_folder, read_latest, write_latest,
+)
 
 
 def run_batch(
@@ -83,19 +91,59 @@ def backfill(
     until: str,
     run_ts: Column | str,
     force: bool = False,
+    latest_rows: int | None = None,
 ) -> DataFrame:
-    """Silver and gold for bronze runs that have none yet.  Bronze rows carry ``run_id``,
-    ``run_ticker``, ``ingestion_date`` and the flattened post columns."""
+    """Silver and gold for bronze runs that have none yet, and with ``latest_rows`` the snapshot.
+    Bronze rows carry ``run_id``, ``run_ticker``, ``ingestion_date`` and the flattened post columns."""
+    spark = bronze.sparkSession
     silver = backfilled_silver(bronze, silver_runs, since=since, until=until, run_ts=run_ts, force=force)
+    if latest_rows:  # read by two sinks, and computed before silver has the runs
+        silver = materialize(silver, "backfilled")
     lake.write_silver(silver, root)
-    written = lake.read_silver(bronze.sparkSession, root).filter(
+    written = lake.read_silver(spark, root).filter(
         F.col("ingestion_date").between(since, until)
     )
     # Gold of the whole date range is recomputed from silver, run by run.
     lake.write_gold(gold_daily(written), root)
+    if latest_rows:
+        stored = read_latest(spark, root, silver.schema)
+        # of a post in several runs the last run's row stays
+        write_latest(latest_tail(stored, silver.withColumn("_at", F.concat_ws("\u0001", "run_id", "tweet_id")), order="_at",
+                                 n=latest_rows).drop("_at"), root)
     return written
 
 
+BRONZE_PATH = "bronze/twitter_live"
+
+
+def backfill_captures(
+    spark: SparkSession,
+    root: str,
+    *,
+    since: str,
+    until: str,
+    run_ts: Column | str,
+    force: bool = False,
+    dry_run: bool = False,
+    latest_rows: int = BACKFILL_ROWS,
+    whole_files: bool = True,
+) -> DataFrame:
+    """The lake's own captures, single and combined, of runs that have no silver yet, to silver,
+    gold and the newest ``latest_rows`` posts.  Returns silver of the date range; a dry run only
+    returns the posts per run it would take: ``(ingestion_date, run_id, posts)``."""
+    captures = payloads.read_captures(spark, f"{root}/{BRONZE_PATH}", whole_files)
+    keep = ("ingestion_date", "run_id", "run_ticker", "raw_uri")
+    bronze = payloads.flatten_captures(captures, keep)
+    has_silver = exists(spark, table_path(spark, root, lake.SILVER_PATH))
+    done = lake.read_silver(spark, root).filter(F.col("source") == payloads.LIVE_SOURCE).select("run_id") if has_silver else \
+        bronze.select("run_id").limit(0)
+    if dry_run:
+        todo = missing_runs(bronze, done, since=since, until=until, force=force)
+        return todo.groupBy("ingestion_date", "run_id").agg(F.count(F.lit(1)).alias("posts"))
+    done = materialize(done.distinct(), "runs-done")
+    return backfill(bronze, done, root, since=since, until=until, run_ts=run_ts, force=force, latest_rows=latest_rows)
+
+
 def backfilled_silver(
     bronze: DataFrame, silver_runs: DataFrame, *, since: str, until: str, run_ts: Column | str,
     force: bool = False,
@@ -127,6 +175,42 @@ def reprocess_table(
     return spark.read.parquet(target)
 
 
+PROCESSED_PATH = "processed/tweets/latest.parquet"
+
+
+def reprocess_lake(
+    spark: SparkSession, root: str, *, stamp: str, dry_run: bool = False, run: str | None = None
+) -> dict[str, DataFrame]:
+    """Topics and overrides of everything stored, recomputed: the processed file, the newest posts
+    and live silver.  All new tables are staged and committed together; other sources' silver goes
+    along unchanged.  Returns each table's rows under its path; a dry run writes nothing."""
+    stamped = T.StructType([T.StructField("reprocessed_at", T.StringType())])
+    tables: dict[str, tuple[DataFrame, Callable[[DataFrame, str], None]]] = {}
+
+    def plain(rows: DataFrame, folder: str) -> None:
+        rows.write.parquet(folder)
+
+    processed = table_path(spark, root, PROCESSED_PATH)
+    if exists(spark, processed):
+        tables[PROCESSED_PATH] = reprocess(spark.read.parquet(processed), stamp), plain
+    newest = latest_folder(spark, root)
+    if newest:
+        tables[LATEST_PATH] = reprocess(spark.read.parquet(newest), stamp), plain
+    if exists(spark, table_path(spark, root, lake.SILVER_PATH)):
+        silver = lake.read_silver(spark, root, stamped)
+        live = F.col("source") == payloads.LIVE_SOURCE
+        rows = reprocess(silver.filter(live), stamp).unionByName(silver.filter(~live))
+        tables[lake.SILVER_PATH] = rows, lake.write_runs
+    if dry_run:
+        return {table: rows for table, (rows, _) in tables.items()}
+    notes = {REWRITTEN_AFTER: str(last_version(spark, root))} if newest else {}
+    moved = rewrite(spark, root, tables, run=run, notes=notes)
+    return {
+        table: lake.read_silver(spark, root, stamped) if table == lake.SILVER_PATH else spark.read.parquet(f"{root}/{folder}")
+        for table, folder in moved.items()
+    }
+
+
 @dataclass(frozen=True)
 class Preview:
     """``raw``: ranked and labelled candidates; ``relevant``: processed posts per question."""
@@ -179,19 +263,28 @@ def preview(
 
 
 def confirm_preview(
-    result: Preview, bronze: DataFrame | None, root: str, *, run_id: str, ingestion_date: str
+    result: Preview, bronze: DataFrame | None, root: str, *, run_id: str, ingestion_date: str, latest_rows: int = LATEST_ROWS
 ) -> dict[str, str | None]:
-    """Store a previewed set: the raw capture always, the rest only if there are rows."""
+    """Store a previewed set: the raw capture with all its columns always; silver, gold and the
+    newest posts only if there are relevant rows.  Columns of the capture that its own run and
+    date would hide are kept as ``post_run_id`` and ``post_ingestion_date``."""
     bronze_path = None
     if bronze is not None:
-        bronze_path = f"{root}/bronze/twitter_live"
-        bronze.withColumns({"ingestion_date": F.lit(ingestion_date), "run_id": F.lit(run_id)}).write.mode(
-            "append"
-        ).partitionBy("ingestion_date").json(bronze_path)
+        bronze_path = f"{root}/{BRONZE_PATH}"
+        own = {c: f"post_{c}" for c in ("run_id", "ingestion_date") if c in bronze.columns}
+        bronze.withColumnsRenamed(own).withColumns(
+            {"ingestion_date": F.lit(ingestion_date), "run_id": F.lit(run_id)}
+        ).write.mode("append").partitionBy("ingestion_date", "run_id").json(bronze_path)
     if result.relevant.isEmpty():
-        return {"bronze": bronze_path, "silver": None, "gold": None}
+        return {"bronze": bronze_path, "silver": None, "gold": None, "latest": None}
     paths = lake.write_lake(
         result.relevant, root, source="twitter_live", run_id=run_id, ingestion_date=ingestion_date,
         raw_uri=bronze_path,
     )
-    return {"bronze": bronze_path, **paths}
+    spark = result.relevant.sparkSession
+    silver = lake.read_silver(spark, root).filter(
+        (F.col("source") == "twitter_live") & (F.col("ingestion_date") == ingestion_date) & (F.col("run_id") == run_id)
+    )
+    before = read_latest(spark, root, silver.schema)
+    newest = write_latest(latest(before, silver, order="tweet_id", n=latest_rows), root)
+    return {"bronze": bronze_path, **paths, "latest": newest}

@@ -18,8 +18,9 @@ from postpulse.operators import (
     aggregates as A, cleaning as C, enrich as E, lake_queries as H, latest as L, relevance as R,
     retrieval as G, saved_search as S,
 )
+from postpulse.operators.joins import spread_join
 from postpulse.plans import jobs
-from postpulse.session import new_folder, prepare
+from postpulse.session import materialize, new_folder, prepare
 from postpulse.sources import lake, payloads, schema, tables
 from postpulse.sources.posts import (
     ROTATION, document_posts, event_posts, posts, questions, table,
@@ -106,9 +107,8 @@ def _(spark, sf):
     )
 
 
-def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """API-shaped captures: ten events each, with the authors they mention."""
-    e = event_posts(spark, sf_dir).withColumn("_n", F.floor(F.col("ord") / 2))
+def _as_payloads(e: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Posts as API answers, one for each group of ``keys``, with the authors they mention."""
     post = F.struct(
         F.col("ord"), F.col("tweet_id").alias("id"), "text",
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("created_at"),
@@ -123,14 +123,20 @@ def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.pmod(F.col("author_id").cast("bigint"), F.lit(2)) == 0).alias("verified"),
         F.struct((F.col("author_id").cast("bigint") * 10).alias("followers_count")).alias("public_metrics"),
     ))
-    rows = e.groupBy(F.floor(F.col("_n") / 10).alias("chunk")).agg(  # ten rows per group
+    rows = e.withColumn("_n", F.floor(F.col("ord") / 2)).groupBy(*[c.alias(k) for k, c in keys.items()]).agg(
         F.array_sort(F.collect_list(post)).alias("data"),
         F.struct(F.collect_list(user).alias("users")).alias("includes"),
-        F.min("ingestion_date").alias("ingestion_date"),
+        F.min("ingestion_date").alias("first_date"),
     )
     return rows.withColumn("data", F.transform("data", lambda p: p.dropFields("ord")))
 
 
+def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API-shaped captures: ten events each, with the authors they mention."""
+    rows = _as_payloads(event_posts(spark, sf_dir), {"chunk": F.floor(F.col("_n") / 10)})
+    return rows.withColumnRenamed("first_date", "ingestion_date")
+
+
 _FLAT = ("tweet_id", "text", "created_at", "author_id", "author_username", "author_name",
          "author_verified", "author_followers", "lang", "possibly_sensitive", "retweet_count",
          "reply_count", "like_count", "quote_count", "source")
@@ -539,10 +545,31 @@ def _(spark, sf):
     )
 
 
+def _reprocessed_lake(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A lake whose topics are out of date: processed file, silver of two sources, newest posts."""
+    root = new_folder(spark, "reprocess")
+    stale = materialize(processed(spark, sf_dir).drop("topic").withColumn("topic", F.lit("old")), "stale")
+    stale.write.parquet(f"{root}/{jobs.PROCESSED_PATH}")
+    kept = lake.conform_silver(stale, source=F.col("source"), run_id=F.col("run_id"), ingestion_date=F.col("ingestion_date"))
+    lake.write_silver(kept, root)
+    live.write_latest(L.latest(None, kept.filter(F.col("source") == "twitter_live"), order="tweet_id"), root)
+    return jobs.reprocess_lake(spark, root, stamp=RUN_TS)
+
+
 @query("D20_reprocess")
 def _(spark, sf):
-    stored = processed(spark, sf).drop("topic").withColumn("topic", F.lit("old"))
-    return E.reprocess(stored, RUN_TS).select("tweet_id", "topic", "sentiment", "reprocessed_at")
+    done = _reprocessed_lake(spark, sf)[jobs.PROCESSED_PATH]
+    return done.select("tweet_id", "topic", "sentiment", "reprocessed_at")
+
+
+@query("D20_reprocess_silver")
+def _(spark, sf):
+    done = _reprocessed_lake(spark, sf)
+    newest = done[live.LATEST_PATH].withColumn("in_table", F.lit("latest"))
+    silver = done[lake.SILVER_PATH].withColumn("in_table", F.lit("silver"))
+    both = newest.select("in_table", "source", "topic", "sentiment", "reprocessed_at").unionByName(
+        silver.select("in_table", "source", "topic", "sentiment", "reprocessed_at"))
+    return both.groupBy("in_table", "source", "topic", "sentiment", "reprocessed_at").agg(F.count(F.lit(1)).alias("posts"))
 
 
 @query("D21_process_posts")
@@ -607,6 +634,20 @@ def _(spark, sf):
     return R.parse_labels(label_responses(spark, sf))
 
 
+@query("E3_parse_later_blocks")
+def _(spark, sf):
+    """The first fenced block is a broken draft without labels, the second has them."""
+    one = F.to_json(F.struct(
+        F.concat(F.lit("d"), "doc_id").alias("tweet_id"), (F.col("quality") == 0).alias("is_noise"),
+        (F.col("quality") * 0.5 + 0.25).alias("relevance_score"), F.concat(F.lit("toxic "), "toxic").alias("reason"),
+    ))
+    two = F.to_json(F.struct(F.concat(F.lit("x"), "doc_id").alias("tweet_id")))
+    response = F.concat(
+        F.lit('A draft:\n```\n[{"note": "draft"}\n```\nand the labels:\n```json\n['), one, F.lit(", "), two, F.lit("]\n```\nDone.")
+    )
+    return R.parse_labels(table(spark, sf, "labels").select("doc_id", response.alias("response")))
+
+
 @query("E4_label_posts")
 def _(spark, sf):
     rows = R.with_author_reliability(_asked(posts(spark, sf)))
@@ -911,11 +952,12 @@ def _(spark, sf):
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return processed(spark, sf_dir)
+    """Written once: the index and the evidence both read it."""
+    needed = processed(spark, sf_dir).select("doc_id", "clean_text", "sentiment", "tickers", "topic")
+    return materialize(needed, "corpus")
 
 
-def _hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    corpus = _corpus(spark, sf_dir)
+def _hits(spark: SparkSession, sf_dir: str, corpus: DataFrame, k: int = 10) -> DataFrame:
     asked = questions(spark, sf_dir).select(
         "question_id", Q.refine_for_corpus(F.col("question"))["refined"].alias("question")
     )
@@ -925,23 +967,28 @@ def _hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
         F.col("question_key").alias("question_id"), "question")
     hits = G.search_index(G.build_index(corpus), unique, k=k)
     back = keyed.select("question_id", "question_key")
-    joined = hits.withColumnRenamed("question_id", "question_key").join(back, "question_key")
-    return joined.drop("question_key")
+    # One question may be asked by very many: they are the salted side.
+    return spread_join(
+        back, hits.withColumnRenamed("question_id", "question_key"), ["question_key"], spread_by=["question_id"]
+    ).drop("question_key")
 
 
 @query("G2_search")
 def _(spark, sf):
-    return _hits(spark, sf).select("question_id", "rank", "score")
+    # nothing else is read of the corpus, so it is not written
+    return _hits(spark, sf, processed(spark, sf)).select("question_id", "rank", "score")
 
 
 @query("G3_answer_facts")
 def _(spark, sf):
-    return G.answer_facts(G.with_evidence(_hits(spark, sf), _corpus(spark, sf)))
+    corpus = _corpus(spark, sf)
+    return G.answer_facts(G.with_evidence(_hits(spark, sf, corpus), corpus))
 
 
 @query("G4_evidence_payload")
 def _(spark, sf):
-    return G.evidence_payload(G.with_evidence(_hits(spark, sf), _corpus(spark, sf)))
+    corpus = _corpus(spark, sf)
+    return G.evidence_payload(G.with_evidence(_hits(spark, sf, corpus), corpus))
 
 
 @query("G5_vector_search")
@@ -1019,23 +1066,38 @@ def _(spark, sf):
     )
 
 
-def _bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_posts(spark, sf_dir)
-    return rows.withColumn("run_ticker", L.ticker_for_window(F.col("created_at"), ROTATION))
+def _backfilled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """A lake with captures of every run, half of them combined, and silver of every third day."""
+    root, rows = new_folder(spark, "backfill"), event_posts(spark, sf_dir)
+    captures = _as_payloads(rows, {"run_id": F.col("run_id"), "ingestion_date": F.col("ingestion_date"), "chunk": F.floor(F.col("_n") / 100)})
+    combined = F.pmod("chunk", F.lit(2)) == 0
+    payloads.capture_payloads(captures.select(
+        "run_id", "ingestion_date", F.when(~combined, F.col("data")).alias("data"),
+        F.when(~combined, F.col("includes")).alias("includes"),
+        F.when(combined, F.lit("asked")).alias("user_query"), F.when(combined, F.array(F.lit("q"))).alias("queries"),
+        F.when(combined, F.array(F.struct("data", "includes"))).alias("responses"),
+    ), f"{root}/{jobs.BRONZE_PATH}")
+    done = rows.filter(F.dayofmonth("ingestion_date") % 3 == 0)
+    lake.write_silver(lake.conform_silver(
+        done, source="twitter_live", run_id=F.col("run_id"), ingestion_date=F.col("ingestion_date")), root)
+    return jobs.backfill_captures(
+        spark, root, since="2024-01-05", until="2024-01-25", run_ts=RUN_TS, whole_files=False), root
 
 
 @query("L3_backfill")
 def _(spark, sf):
-    bronze = _bronze(spark, sf)
-    done = bronze.filter(F.dayofmonth("ingestion_date") % 3 == 0)
-    out = jobs.backfill(
-        bronze, done, new_folder(spark, "backfill"), since="2024-01-05", until="2024-01-25", run_ts=RUN_TS
-    )
-    return out.groupBy("run_id", "noise_reason", "sentiment").agg(
+    out, _ = _backfilled(spark, sf)
+    return out.filter("noise_reason is not null").groupBy("run_id", "noise_reason", "sentiment").agg(
         F.count(F.lit(1)).alias("posts"), F.sum("relevance_score").alias("relevance")
     )
 
 
+@query("L3_backfill_latest")
+def _(spark, sf):
+    out, root = _backfilled(spark, sf)
+    return live.read_latest(spark, root, out.schema).select("tweet_id", "run_id", "noise_reason")
+
+
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = posts(spark, sf_dir)
     old = rows.filter(F.col("source") == "twitter_live")
@@ -1055,17 +1117,33 @@ def _(spark, sf):
     return L.latest_tail(old, new, order="ord").select("tweet_id", "ord", "created_at")
 
 
+def _confirmed(spark: SparkSession, sf_dir: str) -> str:
+    root = new_folder(spark, "confirm")
+    rows = C.keep_first(posts(spark, sf_dir), ["tweet_id"], ["ord"])
+    result = jobs.preview(rows, questions(spark, sf_dir), requested=5, run_ts=RUN_TS)
+    jobs.confirm_preview(result, result.raw, root, run_id="run_confirmed", ingestion_date="2024-02-01")
+    return root
+
+
 @query("L6_confirm_preview")
 def _(spark, sf):
-    root = new_folder(spark, "confirm")
-    rows = C.keep_first(posts(spark, sf), ["tweet_id"], ["ord"])
-    result = jobs.preview(rows, questions(spark, sf), requested=5, run_ts=RUN_TS)
-    jobs.confirm_preview(result, result.raw.select("question_id", "tweet_id"), root,
-                         run_id="run_confirmed", ingestion_date="2024-02-01")
-    stored = lake.read_silver(spark, root)
+    stored = lake.read_silver(spark, _confirmed(spark, sf))
     return stored.groupBy("search_mode", "is_noise", "topic").agg(F.count(F.lit(1)).alias("posts"))
 
 
+@query("L6_confirm_bronze")
+def _(spark, sf):
+    raw = spark.read.json(f"{_confirmed(spark, sf)}/{jobs.BRONZE_PATH}")
+    return raw.select("question_id", "tweet_id", F.length("text").alias("n_chars"), "like_count", "is_noise",
+                      "noise_reason", F.col("post_run_id").alias("captured_by"), "run_id")
+
+
+@query("L6_confirm_latest")
+def _(spark, sf):
+    root = _confirmed(spark, sf)
+    return live.read_latest(spark, root, lake.SILVER).select("tweet_id", "run_id")
+
+
 @query("L7_upload")
 def _(spark, sf):
     root = new_folder(spark, "upload")

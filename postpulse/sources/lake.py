@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from postpulse.operators.aggregates import gold_daily
 from postpulse.operators.cleaning import timestamp_column
+from postpulse.sources.staged import table_path
 
 _TYPES = {
     "string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(),
@@ -80,7 +81,7 @@ def conform_silver(
     return df.select(*columns)
 
 
-def _write_runs(df: DataFrame, path: str) -> None:
+def write_runs(df: DataFrame, path: str) -> None:
     """One folder per (source, ingestion date, run).  Writing a run again replaces that
     run and nothing else; the rebalance gives files of a sensible size and splits a
     run that holds most of the rows."""
@@ -92,21 +93,26 @@ def _write_runs(df: DataFrame, path: str) -> None:
 
 
 def write_silver(silver: DataFrame, root: str) -> str:
-    _write_runs(silver, f"{root}/{SILVER_PATH}")
-    return f"{root}/{SILVER_PATH}"
+    path = table_path(silver.sparkSession, root, SILVER_PATH)
+    write_runs(silver, path)
+    return path
 
 
 def write_gold(gold: DataFrame, root: str) -> str:
-    _write_runs(gold, f"{root}/{GOLD_PATH}")
-    return f"{root}/{GOLD_PATH}"
+    path = table_path(gold.sparkSession, root, GOLD_PATH)
+    write_runs(gold, path)
+    return path
 
 
-def read_silver(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(SILVER).parquet(f"{root}/{SILVER_PATH}").select(*SILVER.names)
+def read_silver(spark: SparkSession, root: str, extra: T.StructType | None = None) -> DataFrame:
+    """Silver where it is now; ``extra`` names columns that a rewrite has added."""
+    fields = SILVER.fields + (extra.fields if extra else [])
+    path = table_path(spark, root, SILVER_PATH)
+    return spark.read.schema(T.StructType(fields)).parquet(path).select(*[f.name for f in fields])
 
 
 def read_gold(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(GOLD).parquet(f"{root}/{GOLD_PATH}").select(*GOLD.names)
+    return spark.read.schema(GOLD).parquet(table_path(spark, root, GOLD_PATH)).select(*GOLD.names)
 
 
 def write_lake(

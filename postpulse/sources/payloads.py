@@ -20,6 +20,8 @@ COMBINED_PAYLOAD = (
     f"user_query string, queries array<string>, responses array<struct<{PAYLOAD}>>, strategy string"
 )
 LIVE_SOURCE = "twitter_live"
+#: Captures of both kinds: a single payload has ``data``, a combined one ``responses``.
+ANY_PAYLOAD = f"{PAYLOAD}, {COMBINED_PAYLOAD}"
 
 
 def read_payloads(
@@ -90,17 +92,42 @@ def flatten_combined(payloads: DataFrame, keep: tuple[str, ...] = (), **constant
     return flatten_payload(pairs, query=F.col("_query"), keep=(*keep, "response_no"), **constants)
 
 
+def read_captures(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Captures of both kinds below ``path`` with their lineage; a file that is no JSON is one
+    row without posts."""
+    raw = spark.read.schema(ANY_PAYLOAD).option("multiLine", str(whole_files).lower()).json(path)
+    return with_lineage(raw.withColumn("raw_uri", F.col("_metadata.file_path")), F.col("raw_uri"))
+
+
+def flatten_captures(captures: DataFrame, keep: tuple[str, ...] = (), **constants: Column) -> DataFrame:
+    """Posts of single and of combined captures in one pass; ``query`` is null for single ones.
+    A response or query without partner is dropped."""
+    no_query = F.lit(None).cast("string").alias("query")
+    pairs = F.transform(F.arrays_zip("responses", "queries"), lambda z: F.struct(
+        z["responses"]["data"].alias("data"), z["responses"]["includes"].alias("includes"), z["queries"].alias("query"),
+    ))
+    answered = F.filter(pairs, lambda p: p["query"].isNotNull())
+    single = F.array(F.struct("data", "includes", no_query))
+    rows = captures.select(
+        *keep, F.posexplode(F.when(F.col("responses").isNotNull(), answered).otherwise(single)).alias("response_no", "_r")
+    ).select(*keep, "response_no", F.col("_r.query").alias("_query"), "_r.data", "_r.includes")
+    return flatten_payload(rows, query=F.col("_query"), keep=(*keep, "response_no"), **constants)
+
+
 def capture_payloads(payloads: DataFrame, path: str) -> str:
-    """Land raw payloads as JSON below ``ingestion_date=``."""
-    payloads.write.mode("append").partitionBy("ingestion_date").json(path)
+    """Land raw payloads as JSON below ``ingestion_date=``; those that name their run also
+    below ``run_id=``."""
+    runs = ["run_id"] if "run_id" in payloads.columns else []
+    payloads.write.mode("append").partitionBy("ingestion_date", *runs).json(path)
     return path
 
 
 def with_lineage(df: DataFrame, uri: Column) -> DataFrame:
-    """``ingestion_date`` (an error when the path has none), ``run_id`` (file stem) and
-    ``run_ticker`` from the path of a capture."""
+    """``ingestion_date`` (an error when the path has none), ``run_id`` (its folder ``run_id=``, else
+    the file stem) and ``run_ticker`` from the path of a capture."""
     day = F.regexp_extract(uri, r"ingestion_date=(\d{4}-\d{2}-\d{2})", 1)
-    run = F.regexp_replace(F.element_at(F.split(uri, "/"), -1), r"(.)\.[^.]*$", "$1")
+    stem = F.regexp_replace(F.element_at(F.split(uri, "/"), -1), r"(.)\.[^.]*$", "$1")
+    run = F.coalesce(F.nullif(F.regexp_extract(uri, "/run_id=([^/]+)/", 1), F.lit("")), stem)
     ticker = F.regexp_extract(F.col("run_id"), "^twitter_live_([a-z0-9]+)_", 1)
     return df.withColumns({
         "ingestion_date": F.when(day != "", day).otherwise(

@@ -18,25 +18,24 @@ from postpulse.operators.latest import LATEST_ROWS, latest
 from postpulse.operators.relevance import label_posts, with_author_reliability
 from postpulse.session import materialize
 from postpulse.sources.lake import conform_silver, write_gold, write_silver
-from postpulse.sources.payloads import PAYLOAD, flatten_payload, with_lineage
+from postpulse.sources.payloads import ANY_PAYLOAD, flatten_captures, with_lineage
+from postpulse.sources.staged import current, files_at
 
 LATEST_PATH = "gold/twitter_live/latest"
 LINEAGE = ("ingestion_date", "run_id", "run_ticker", "raw_uri")
 
 
 def landed_posts(spark: SparkSession, landing: str, whole_files: bool = True, **options: str) -> DataFrame:
-    """Streaming rows of every payload that lands below ``landing``."""
-    reader = spark.readStream.schema(PAYLOAD).option("multiLine", str(whole_files).lower())
+    """Streaming rows of every capture, single or combined, that lands below ``landing``."""
+    reader = spark.readStream.schema(ANY_PAYLOAD).option("multiLine", str(whole_files).lower())
     for key, value in options.items():
         reader = reader.option(key, value)
     payloads = reader.json(landing).withColumn("raw_uri", F.col("_metadata.file_path"))
     ticker = F.col("run_ticker")
-    return flatten_payload(
-        with_lineage(payloads, F.col("raw_uri")),
-        query=ticker, query_ticker=ticker,
+    return flatten_captures(
+        with_lineage(payloads, F.col("raw_uri")), LINEAGE, query_ticker=ticker,
         query_name=F.coalesce(company_lookup(ticker, "name"), ticker),
-        keep=LINEAGE,
-    )
+    ).withColumn("query", F.coalesce("query", ticker)).drop("response_no")
 
 
 def relevant_silver(
@@ -74,14 +73,9 @@ def relevant_silver(
     )
 
 
-def _file_system(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def _versions(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the snapshots that were written to the end, ascending."""
-    folder, files = _file_system(spark, f"{root}/{LATEST_PATH}")
+    folder, files = files_at(spark, f"{root}/{LATEST_PATH}")
     if not files.exists(folder):
         return []
     paths = [s.getPath() for s in files.listStatus(folder)]
@@ -90,12 +84,26 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(p.getName().partition("=")[2]) for p in whole)
 
 
+#: Entry of a manifest: the last version when the snapshot was rewritten.
+REWRITTEN_AFTER = f"{LATEST_PATH}#after"
+
+
+def last_version(spark: SparkSession, root: str) -> int:
+    return max(_versions(spark, root), default=-1)
+
+
+def latest_folder(spark: SparkSession, root: str) -> str | None:
+    """The newest snapshot: the last version, or a rewrite that was committed after it."""
+    last, manifest = last_version(spark, root), current(spark, root)
+    if LATEST_PATH in manifest and int(manifest[REWRITTEN_AFTER]) >= last:
+        return f"{root}/{manifest[LATEST_PATH]}"
+    return f"{root}/{LATEST_PATH}/version={last}" if last >= 0 else None
+
+
 def read_latest(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """The newest snapshot; no other version is read.  Without one: no rows."""
-    stored = _versions(spark, root)
-    if not stored:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{LATEST_PATH}/version={stored[-1]}")
+    newest = latest_folder(spark, root)
+    return spark.read.schema(schema).parquet(newest) if newest else spark.createDataFrame([], schema)
 
 
 def write_latest(snapshot: DataFrame, root: str) -> str:
@@ -107,7 +115,7 @@ def write_latest(snapshot: DataFrame, root: str) -> str:
     path = f"{root}/{LATEST_PATH}/version={stored[-1] + 1 if stored else 0}"
     snapshot.write.mode("overwrite").parquet(path)
     for old in stored[:-1]:
-        place, files = _file_system(spark, f"{root}/{LATEST_PATH}/version={old}")
+        place, files = files_at(spark, f"{root}/{LATEST_PATH}/version={old}")
         files.delete(place, True)
     return path
 
