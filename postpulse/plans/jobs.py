@@ -137,11 +137,12 @@ def backfill_captures(
     has_silver = exists(spark, table_path(spark, root, lake.SILVER_PATH))
     done = lake.read_silver(spark, root).filter(F.col("source") == payloads.LIVE_SOURCE).select("run_id") if has_silver else \
         bronze.select("run_id").limit(0)
+    todo = missing_runs(bronze, done, since=since, until=until, force=force)
     if dry_run:
-        todo = missing_runs(bronze, done, since=since, until=until, force=force)
         return todo.groupBy("ingestion_date", "run_id").agg(F.count(F.lit(1)).alias("posts"))
-    done = materialize(done.distinct(), "runs-done")
-    return backfill(bronze, done, root, since=since, until=until, run_ts=run_ts, force=force, latest_rows=latest_rows)
+    # Written once: the rules above plain columns plan quickly, and silver must not change under its own input.
+    rows = materialize(todo, "backfill-rows")
+    return backfill(rows, done, root, since=since, until=until, run_ts=run_ts, force=True, latest_rows=latest_rows)
 
 
 def backfilled_silver(
