@@ -234,12 +234,12 @@ def _(spark, sf):
 
 @query("B1_name_score")
 def _(spark, sf):
-    # a rule on names: the schemas are read, the rows are not
-    rows = [
-        (name, column, schema.name_score(column))
-        for name in ("documents", "events", "pages") for column in table(spark, sf, name).columns
+    # the score of a name stands beside that of the column's content, from one scan of each table
+    scored = [
+        schema.column_candidates(table(spark, sf, name), order).select(F.lit(name).alias("source_table"), "column", "name_score")
+        for name, order in (("documents", "doc_id"), ("events", "event_id"), ("pages", "page_id"))
     ]
-    return spark.createDataFrame(rows, "source_table string, column string, name_score double")
+    return scored[0].unionByName(scored[1]).unionByName(scored[2])
 
 
 @query("B2_content_score")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from postpulse.functions import dictionaries as D
 from postpulse.functions.text import WORD, contains_any, squeeze, text_or_empty
+from postpulse.session import materialize
 
 PROFILE_ROWS = 200
 JOINED_ROWS = 50
@@ -54,31 +58,65 @@ def role_column(columns: Sequence[str], names: Sequence[str]) -> str | None:
     return next((c for c in columns if normalize_name(c) in names), None)
 
 
-def _first_values(df: DataFrame, order: str | None) -> DataFrame:
-    """``(ordinal, column, pos, value)``: PROFILE_ROWS non-null values of every column.
+def _smallest(rows: pa.Table, k: int) -> pa.Table:
+    """The ``k`` rows with the smallest (order, value)."""
+    at = pc.sort_indices(rows, sort_keys=[("o", "ascending"), ("v", "ascending")], null_placement="at_start")
+    return rows.take(at[:k])
 
-    One scan: columns become rows and a rank per column is cut, which Spark does before the
-    shuffle too.  The first values are those of the smallest ``order``, or of the smallest
-    hashes of whole rows, so the choice never depends on the order of files or tasks.
+
+def column_values(df: DataFrame, order: str | None = None, k: int = PROFILE_ROWS) -> DataFrame:
+    """``(ordinal, pos, value, rows)``: ``k`` non-null values of every column, and under ordinal -1
+    the number of rows; written, as several results read it.
+
+    One scan: each task keeps the ``k`` smallest (order, value) of every column as batches pass,
+    and those few rows are merged, so nothing is exploded or sorted but them.  The first values
+    are those of the smallest ``order``, or of the smallest hashes of whole rows, so the choice
+    never depends on the order of files or tasks.
     """
-    if not df.columns:
-        return df.sparkSession.createDataFrame([], "ordinal int, column string, pos int, value string")
-    columns = [F.col(f"`{name}`") for name in df.columns]
-    place = F.col(f"`{order}`") if order else F.xxhash64(*[c.cast("string") for c in columns])
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("column"), c.cast("string").alias("value"))
-        for i, (name, c) in enumerate(zip(df.columns, columns, strict=True))
+    columns = [F.col(f"`{name}`").cast("string") for name in df.columns]
+    place = F.col(f"`{order}`") if order else F.xxhash64(*columns) if columns else F.lit(0)
+    wide = df.select(place.alias("o"), *[c.alias(f"v{i}") for i, c in enumerate(columns)])
+    schema = T.StructType([
+        T.StructField("ordinal", T.IntegerType()), T.StructField("o", wide.schema["o"].dataType),
+        T.StructField("value", T.StringType()), T.StructField("rows", T.LongType()),
     ])
-    values = df.select(place.alias("_o"), F.explode(entries).alias("_e")).select("_o", "_e.*").filter(F.col("value").isNotNull())
-    pos = F.row_number().over(Window.partitionBy("ordinal").orderBy("_o", "value"))
-    return values.withColumn("pos", pos).filter(F.col("pos") <= PROFILE_ROWS).drop("_o")
-
 
-def content_profile(df: DataFrame, order: str | None = None) -> DataFrame:
-    """Content score and samples per column that has values."""
-    values = _first_values(df, order)
+    names, width = schema.names, len(columns)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Table | None] = [None] * width
+        n, kind = 0, None
+        for batch in batches:
+            n += batch.num_rows
+            kind = batch.schema.field("o").type
+            for i in range(width):
+                new = pa.table({"o": batch.column("o"), "v": batch.column(f"v{i}")}).filter(pc.is_valid(batch.column(f"v{i}")))
+                both = new if kept[i] is None else pa.concat_tables([kept[i], new])
+                kept[i] = _smallest(both, k)
+        if kind is None:
+            return
+        for i, table in enumerate(kept):
+            size = len(table)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([i] * size, pa.int32()), table["o"].combine_chunks(), table["v"].combine_chunks(), pa.nulls(size, pa.int64()),
+            ], names=names)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([-1], pa.int32()), pa.nulls(1, kind), pa.nulls(1, pa.string()), pa.array([n], pa.int64()),
+        ], names=names)
+
+    pos = F.row_number().over(Window.partitionBy("ordinal").orderBy("o", "value"))
+    found = wide.mapInArrow(partial, schema)
+    merged = found.filter("ordinal >= 0").withColumn("pos", pos).filter(F.col("pos") <= k)
+    counted = found.filter("ordinal < 0").groupBy("ordinal").agg(F.sum("rows").alias("rows"))
+    return materialize(merged.select("ordinal", "pos", "value", "rows").unionByName(counted, allowMissingColumns=True), "column-values")
+
+
+def content_profile(df: DataFrame, order: str | None = None, values: DataFrame | None = None) -> DataFrame:
+    """Content score and samples per column that has values (``values``: its column_values)."""
+    values = column_values(df, order) if values is None else values
+    names = F.array(*[F.lit(c) for c in df.columns])
     early = F.col("pos") <= JOINED_ROWS
-    stats = values.groupBy("ordinal", "column").agg(
+    stats = values.filter("ordinal >= 0").withColumn("column", F.get(names, "ordinal")).groupBy("ordinal", "column").agg(
         F.avg(F.length("value")).alias("avg_len"),
         (F.count_distinct("value") / F.count("value")).alias("distinct_ratio"),
         F.avg(F.when(F.col("value").rlike(r"^[-+]?\p{Nd}+(\.\p{Nd}+)?$"), 1.0).otherwise(0.0))
@@ -123,7 +161,9 @@ def _ordered_text(value: Column) -> Column:
     return F.transform(rows, lambda r: r["v"])
 
 
-def column_candidates(df: DataFrame, order: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+def column_candidates(
+    df: DataFrame, order: str | None = None, columns: Sequence[str] | None = None, values: DataFrame | None = None
+) -> DataFrame:
     """``(column, dtype, score, name_score, content_score, samples, rank)`` of every
     column, best first; ties keep the column order."""
     names = list(columns or df.columns)
@@ -133,7 +173,7 @@ def column_candidates(df: DataFrame, order: str | None = None, columns: Sequence
         [(i, c, types[c], name_score(c)) for i, c in enumerate(df.columns) if c in names],
         "ordinal int, column string, dtype string, name_score double",
     )
-    profile = content_profile(df, order).drop("column")
+    profile = content_profile(df, order, values).drop("column")
     scored = F.broadcast(meta).join(profile, "ordinal", "left").withColumns({
         "content_score": F.coalesce("content_score", F.lit(-6.0)),
         "samples": F.coalesce("samples", F.array().cast("array<string>")),
@@ -196,10 +236,11 @@ def standardize(df: DataFrame, mapping: SchemaMapping, *, source_file: str, proc
 def profile_table(df: DataFrame, order: str | None = None, max_columns: int = 20) -> DataFrame:
     """Row count, column count and, for the first columns, type, score and samples."""
     shown = df.columns[:max_columns]
-    candidates = column_candidates(df, order).filter(F.col("column").isin(shown))
-    return candidates.select(
-        F.lit(df.count()).alias("row_count"), F.lit(len(df.columns)).alias("column_count"),
-        "column", "dtype", "score", "samples",
+    values = column_values(df, order)
+    total = values.filter("ordinal < 0").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"))
+    candidates = column_candidates(df, order, values=values).filter(F.col("column").isin(shown))
+    return candidates.join(F.broadcast(total), F.lit(True)).select(
+        "row_count", F.lit(len(df.columns)).alias("column_count"), "column", "dtype", "score", "samples",
     )
 
 
