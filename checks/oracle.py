@@ -191,6 +191,7 @@ SQL["D5_model_sentiment"] = _with(_SCORED, """
 SELECT ord, label AS sentiment, 'counting-scorer' AS sentiment_model, round(greatest(pp, np, zp), 9) AS sentiment_confidence,
   round(pp, 9) AS positive_prob, round(zp, 9) AS neutral_prob, round(np, 9) AS negative_prob, round(pp - np, 9) AS sentiment_score
 FROM scored""")
+SQL["D5_stored_answers"] = SQL["D5_model_sentiment"]
 SQL["D6_dispatch"] = _with(_SCORED + "," + lexicon("c", "ord", "clean_text"), """
 SELECT 'counting-scorer' AS sentiment_model, label AS sentiment, count(*) AS rows, count(*) AS with_probability FROM scored GROUP BY label
 UNION ALL SELECT 'lexicon', sentiment, count(*), 0 FROM lex GROUP BY sentiment""")

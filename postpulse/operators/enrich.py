@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from postpulse.functions.models import Scorer, Translator
@@ -15,6 +16,7 @@ from postpulse.functions.sentiment import LABELS, lexicon_sentiment
 from postpulse.functions.text import string_array, text_or_empty
 from postpulse.functions.tickers import extract_tickers, primary_ticker
 from postpulse.functions.topics import classify_topic
+from postpulse.operators.answers import with_answers
 from postpulse.operators.cleaning import add_clean_text, with_defaults
 from postpulse.operators.joins import keep_first
 
@@ -59,9 +61,10 @@ def model_probabilities(column: Column, scorer: Scorer, batch_size: int = MODEL_
 
 
 def with_model_sentiment(
-    df: DataFrame, scorer: Scorer, column: str = "clean_text", batch_size: int = MODEL_BATCH
+    df: DataFrame, scorer: Scorer, column: str = "clean_text", batch_size: int = MODEL_BATCH, store: str | None = None
 ) -> DataFrame:
-    """Label, confidence and class probabilities of a pluggable model.
+    """Label, confidence and class probabilities of a pluggable model.  With a ``store`` of
+    answers (see ``answers``) each text is scored once, over all rows and runs.
 
     Only the probabilities come from Python; arg-max (first wins), missing classes
     (0.0) and the score stay in the engine.
@@ -69,7 +72,11 @@ def with_model_sentiment(
     if column not in df.columns:
         raise ValueError(f"input needs a '{column}' column")
     labels = [label.lower() for label in scorer.labels]
-    scored = df.withColumn("_probs", model_probabilities(F.col(column), scorer, batch_size))
+    if store:
+        scored = with_answers(df, column, "_probs", store=store, model=scorer.name, kind=T.ArrayType(T.DoubleType()),
+                              ask=lambda text: model_probabilities(text, scorer, batch_size).cast("array<double>"))
+    else:
+        scored = df.withColumn("_probs", model_probabilities(F.col(column), scorer, batch_size))
     best = F.array_max("_probs")
 
     def prob(label: str) -> Column:
@@ -139,8 +146,10 @@ def with_rewrites(
     cap: int | None = None,
     by: Sequence[str] = (),
     disabled: bool = False,
+    store: str | None = None,
 ) -> DataFrame:
-    """Rewrite candidate texts in place, with an audit trail per row.
+    """Rewrite candidate texts in place, with an audit trail per row.  With a ``store`` of answers
+    (see ``answers``) each text is sent once; a failure is sent again by the next run.
 
     Adds original_text, model_input_text, translation_model and translation_reason.  All
     candidates are rewritten; a caller who pays per text can set ``cap``, the number of
@@ -173,7 +182,12 @@ def with_rewrites(
                     rows.append((None, type(error).__name__))
             yield pd.DataFrame(rows, columns=["text", "error"])
 
-    done = chosen.withColumn("_rw", rewrite.asNondeterministic()("original_text")).select(
+    ask = rewrite.asNondeterministic()
+    asked = chosen.withColumn("_rw", ask("original_text")) if not store else with_answers(
+        chosen, "original_text", "_rw", store=store, model=translator.name, ask=ask, failed=lambda a: a["error"].isNotNull(),
+        kind=T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]),
+    )
+    done = asked.select(
         *base.columns, F.col("_rw.text").alias("_rw_text"), F.col("_rw.error").alias("_rw_error")
     )
     passed = rest.withColumns({

@@ -448,6 +448,19 @@ def _(spark, sf):
     )
 
 
+@query("D5_stored_answers")
+def _(spark, sf):
+    """Scored in two runs over one store of answers: the second asks only what the first has not."""
+    store, clean = new_folder(spark, "answers"), _clean(spark, sf)
+    E.with_model_sentiment(clean.filter("ord % 3 <> 0"), CountingScorer(), store=store)
+    scored = E.with_model_sentiment(clean, CountingScorer(), store=store)
+    return scored.select(
+        "ord", "sentiment", "sentiment_model",
+        *[F.round(c, 9).alias(c) for c in (
+            "sentiment_confidence", "positive_prob", "neutral_prob", "negative_prob", "sentiment_score")],
+    )
+
+
 @query("D6_dispatch")
 def _(spark, sf):
     by_model = E.with_sentiment(_clean(spark, sf), "finbert", CountingScorer())
