@@ -12,13 +12,14 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-
+from tokenizers import pre_tokenizers
 
 from postpulse.llm.common import map_rows
 
@@ -44,8 +45,53 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
+def _ranges(points: Iterable[int]) -> str:
+    """Code points as the inside of a set in a pattern."""
+    found: list[list[int]] = []
+    for p in sorted(points):
+        if found and p == found[-1][1] + 1:
+            found[-1][1] = p
+        else:
+            found.append([p, p])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found)
+
+
+def disputed() -> dict[str, str]:
+    """Characters that this pattern engine may class otherwise than the tokenizers library, and
+    how the library classes them: its Unicode version is another than Python's and the engine's.
+
+    Where Python's tables and the engine's disagree, the library is asked with its own
+    pre-tokenizer: behind a letter a letter makes no new pre-token, and behind a number a mark does.
+    """
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    whole = "".join(every)
+    odd = []
+    for kind in "LN":
+        ours = set(regex.findall(rf"\p{{{kind}}}", whole))
+        odd += [c for c in every if (unicodedata.category(c)[0] == kind) != (c in ours)]
+    odd = sorted(set(odd))
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    starts = {begin for _, (begin, _) in split("".join(f"a{c}!" for c in odd))}
+    letters = {ord(c) for i, c in enumerate(odd) if 3 * i + 1 not in starts}
+    numbers = {ord(c) for i, c in enumerate(odd) if {3 * i + 1, 3 * i + 2} <= starts}
+    others = {ord(c) for c in odd} - letters - numbers
+    return {"all": _ranges(map(ord, odd)), "L": _ranges(letters), "N": _ranges(numbers), "other": _ranges(others)}
+
+
+def exact_pattern(odd: dict[str, str]) -> str:
+    """The pre-tokenizer's pattern with the library's classes for disputed characters."""
+    def kind(own: str, name: str) -> str:
+        return f"(?:(?![{odd['all']}]){own}" + (f"|[{odd[name]}])" if odd[name] else ")")
+
+    letters, numbers = kind(r"\p{L}", "L"), kind(r"\p{N}", "N")
+    others = kind(f"[^{_WHITE}" + r"\p{L}\p{N}]", "other")
+    return (
+        f"'s|'t|'re|'ve|'m|'ll|'d| ?{letters}+| ?{numbers}+| ?{others}+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
+    )
+
+
 def load(path: str) -> dict:
-    """Merges, token bytes and special tokens of a byte-level BPE file."""
+    """Merges, token bytes, special tokens and disputed characters of a byte-level BPE file."""
     with open(path, encoding="utf-8") as file:
         whole = json.load(file)
     letters = byte_letters()
@@ -57,7 +103,7 @@ def load(path: str) -> dict:
     return {
         "merges": [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges],
         "tokens": [tokens.get(i, b"") for i in range(max(tokens) + 1)],
-        "special": special,
+        "special": special, "disputed": disputed(),
     }
 
 
@@ -95,7 +141,10 @@ class Encoder:
         self.window = window or 4 * self.lookahead
         self.special = model["special"]
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.find = regex.compile(_PATTERN).findall
+        odd = model["disputed"]
+        self.usual, self.odd, self.exact = regex.compile(_PATTERN), None, None
+        if odd["all"]:
+            self.odd, self.exact = regex.compile(f"[{odd['all']}]"), regex.compile(exact_pattern(odd))
         self.words = regex.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -173,6 +222,9 @@ class Encoder:
                 self.pieces[text] = found
         return found
 
+    def _pattern(self, text: str) -> regex.Pattern:
+        return self.usual if self.odd is None or text.isascii() or not self.odd.search(text) else self.exact
+
     def _piece(self, text: str) -> bytes:
         """A piece that ends where white space can't reach across."""
         core = text[1:] if text[0] == " " else text
@@ -181,10 +233,9 @@ class Encoder:
         elif core and core[-1] in _MARKS and core[:-1].isalpha():
             found = (self.known.get(text[:-1]) or self._piece(text[:-1])) + self.single[ord(core[-1])].to_bytes(4, "little")
         elif len(text) > _SLICE:
-            matches = regex.finditer(_PATTERN, text)
-            return b"".join(self._pretoken(m.group()) for m in matches)
+            return b"".join(self._pretoken(m.group()) for m in self._pattern(text).finditer(text))
         else:
-            found = b"".join(map(self._pretoken, self.find(text)))
+            found = b"".join(map(self._pretoken, self._pattern(text).findall(text)))
         if len(text) <= 256:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
