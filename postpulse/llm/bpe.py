@@ -145,6 +145,8 @@ class Encoder:
         self.usual, self.odd, self.exact = regex.compile(_PATTERN), None, None
         if odd["all"]:
             self.odd, self.exact = regex.compile(f"[{odd['all']}]"), regex.compile(exact_pattern(odd))
+            self.least_lead = chr(int(odd["all"][2:10], 16)).encode()[0]  # first byte of the smallest of them
+        self.pattern = self.usual
         self.words = regex.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -222,8 +224,13 @@ class Encoder:
                 self.pieces[text] = found
         return found
 
-    def _pattern(self, text: str) -> regex.Pattern:
-        return self.usual if self.odd is None or text.isascii() or not self.odd.search(text) else self.exact
+    def _choose(self, text: str) -> None:
+        """The pattern for a text: both split a piece without disputed characters alike."""
+        self.pattern = self.usual
+        if self.odd is not None and not text.isascii():
+            leads = np.frombuffer(text.encode(), np.uint8).max()
+            if leads >= self.least_lead and self.odd.search(text):
+                self.pattern = self.exact
 
     def _piece(self, text: str) -> bytes:
         """A piece that ends where white space can't reach across."""
@@ -233,9 +240,9 @@ class Encoder:
         elif core and core[-1] in _MARKS and core[:-1].isalpha():
             found = (self.known.get(text[:-1]) or self._piece(text[:-1])) + self.single[ord(core[-1])].to_bytes(4, "little")
         elif len(text) > _SLICE:
-            return b"".join(self._pretoken(m.group()) for m in self._pattern(text).finditer(text))
+            return b"".join(self._pretoken(m.group()) for m in self.pattern.finditer(text))
         else:
-            found = b"".join(map(self._pretoken, self._pattern(text).findall(text)))
+            found = b"".join(map(self._pretoken, self.pattern.findall(text)))
         if len(text) <= 256:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -259,6 +266,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        self._choose(text)
         if self.cut is None or not any(t in text for t in self.special):
             return b"".join(self._plain(text))
         out = []
