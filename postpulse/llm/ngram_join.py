@@ -9,8 +9,8 @@ most ``k2`` differing pieces, so one of its subsets of ``n2 - k2`` pieces is equ
 sets.  Each subset's digest is a signature; linked sets share at least one.
 
 Signatures only find candidate clusters: equal signatures in a task are combined to their
-smallest id before the shuffle, and clusters are components of the stars around the smallest
-id.  Inside a cluster every set is read once and compared with the sets that are not linked
+smallest id before the shuffle, which takes blocks of them by bucket, and clusters are
+components of the stars around the smallest id.  Inside a cluster every set is read once and compared with the sets that are not linked
 yet, first by a sketch that can't miss a link, then exactly.  No pairs are emitted.
 """
 
@@ -39,6 +39,8 @@ CLUSTER_SHINGLES = 4_000_000
 DIFFER, COVERED = 1, 6.5
 #: Signatures that a task combines before it sends them.
 COMBINE = 400_000
+#: Signatures of a bucket (about three for each shingle), and the fewest buckets.
+BUCKET, BUCKETS = 1_000_000, 64
 
 _EMPTY = np.uint64(0)
 
@@ -146,18 +148,61 @@ def _star(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig[at], least, *_distinct_pairs(smallest[other], ids[other])
 
 
-def _sign(k: int, percent: int):
-    """(sig, id) rows.  A pair that a task finds itself is sent as two rows of a signature
-    made from the smaller id, so that it needs no column of its own."""
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers as their bytes, all lowest ones first, without the highest that are all zero."""
+    width = -(-int(values.max(initial=0)).bit_length() // 8)
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    whole = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+        whole[:, : len(planes)] = planes.T
+    return whole.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=values[:1])
+
+
+def _pack(sig: np.ndarray, ids: np.ndarray) -> bytes:
+    """(sig, id) rows as one block: rising signatures and the ids among them as steps, and each row's
+    place among those ids.  A block takes about half the bytes that its rows would take."""
+    order = np.argsort(sig, kind="stable")
+    known, place = np.unique(ids[order], return_inverse=True)
+    rising = sig[order], known.view(np.uint64)
+    parts = [*(_planes(_steps(values)) for values in rising), _planes(place.astype(np.uint64))]
+    sizes = np.array([len(sig), len(known), *map(len, parts[:2])], "<u4")
+    return b"".join([sizes.tobytes(), *(values[:1].astype("<u8").tobytes() for values in rising), *parts])
+
+
+def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, m, first, second = np.frombuffer(block, "<u4", 4).tolist()
+    starts = np.frombuffer(block, "<u8", 2, 16).astype(np.uint64)
+    at = np.cumsum([32, first, second])
+    sig = np.cumsum(_from_planes(block[at[0] : at[1]], n), dtype=np.uint64) + starts[0]
+    known = (np.cumsum(_from_planes(block[at[1] : at[2]], m), dtype=np.uint64) + starts[1]).view(np.int64)
+    return sig, known[_from_planes(block[at[2] :], n).astype(np.int64)]
+
+
+def _sign(k: int, percent: int, buckets: int):
+    """Blocks of (sig, id) rows, one for each bucket of signatures that a task's batch has.  A pair
+    that a task finds itself is sent as two rows of a signature made from the smaller id, so that it
+    needs no column of its own."""
 
     def send(sig: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
         s, smallest, a, b = _star(np.concatenate(sig), np.concatenate(ids))
         named = mix(a.astype(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D))
         heads, first = np.unique(named, return_index=True)
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([s, named, heads]).view(np.int64)),
-            pa.array(np.concatenate([smallest, b, a[first]])),
-        ], names=["sig", "id"])
+        # the last byte is not needed to tell signatures apart: equal ones are candidates only
+        s, smallest = np.concatenate([s, named, heads]) >> np.uint64(8), np.concatenate([smallest, b, a[first]])
+        order = np.argsort(s)
+        s, smallest = s[order], smallest[order]
+        bucket = ((s >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        blocks = [_pack(s[low:high], smallest[low:high]) for low, high in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, ids, held = [], [], 0
@@ -177,23 +222,11 @@ def _sign(k: int, percent: int):
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, id): each id with the smallest of its signature."""
-    sig_before, smallest_before = None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        head = np.concatenate([[True], sig[1:] != sig[:-1]])
-        at = np.flatnonzero(head)
-        smallest = ids[at].copy()
-        if sig_before is not None and sig[0] == sig_before:
-            smallest[0] = smallest_before
-        sig_before, smallest_before = sig[-1], smallest[-1]
-        own = np.repeat(smallest, np.diff(np.concatenate([at, [len(sig)]])))
-        other = own != ids
-        a, b = _distinct_pairs(own[other], ids[other])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _meet(group: pa.Table) -> pa.Table:
+    """Of the blocks of a bucket: each id with the smallest of its signature."""
+    rows = [_unpack(block) for block in group.column("block").to_pylist()]
+    _, _, a, b = _star(*(np.concatenate(x) for x in zip(*rows, strict=True)))
+    return pa.table({"a": a, "b": b})
 
 
 #: Fields of the two sketches; a set that differs in d elements differs in at most d fields.
@@ -318,10 +351,10 @@ def jaccard_classes(
         "jaccard-classes",
     )
     named = rows.where("id is not null")
+    shingles = told.where("id is not null").agg(F.sum("size")).first()[0] or 0
     found = (
-        named.mapInArrow(_sign(words, percent), "sig bigint, id bigint")
-        .repartition("sig").sortWithinPartitions("sig", "id")
-        .mapInArrow(_pairs, "a bigint, b bigint")
+        named.mapInArrow(_sign(words, percent, max(BUCKETS, -(-3 * shingles // BUCKET))), "bucket int, block binary")
+        .groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint")
     )
     clusters = components(found, "jaccard-candidates")
     reps = classes.select(F.col("rep").alias("node"), "size")

@@ -202,3 +202,15 @@ def test_remove_repeats_in_one_long_text_and_an_empty_table(spark):
     row = remove_repeats(spark.createDataFrame([(1, text)], DOCS)).collect()[0]
     assert [(s["begin"], s["end"]) for s in row["spans"]] == [(500_000, 500_600), (1_300_000, 1_300_600)]
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[3], [-5, 7, 7, 2**62], list(range(10**6, 10**6 + 400))])
+def test_signatures_travel_in_small_blocks(ids):
+    from postpulse.llm.ngram_join import _pack, _unpack
+
+    rng = np.random.default_rng(len(ids))
+    sig = rng.integers(0, 2**46, 2000, dtype=np.uint64) + np.uint64(5 << 46)
+    own = np.array(ids, np.int64)[rng.integers(0, len(ids), len(sig))]
+    block = _pack(sig, own)
+    assert sorted(zip(*(x.tolist() for x in _unpack(block)), strict=True)) == sorted(zip(sig.tolist(), own.tolist(), strict=True))
+    assert len(block) < 9 * len(sig)  # a row of two numbers has 16
