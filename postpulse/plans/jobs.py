@@ -14,12 +14,13 @@ from postpulse.functions.overrides import apply_overrides
 from postpulse.operators.aggregates import gold_daily
 from postpulse.operators.cleaning import append_to_base, repair_ids, without_noise
 from postpulse.operators.enrich import process_posts, process_with_rewrites, reprocess
-from postpulse.operators.joins import spread_join
+from postpulse.operators.joins import keep_first, spread_join, top_k
 from postpulse.operators.latest import (
     BACKFILL_ROWS, LATEST_ROWS, backfill_labels, latest, latest_tail, missing_runs,
 )
 from postpulse.operators.relevance import (
-    clamp_results, label_posts, merge_candidates, pool_size, ranked,
+    LABEL_COLUMNS, clamp_results, label_posts, merge_candidates, pool_size, ranking_order, with_author_reliability,
+    with_engagement_ranking,
 )
 from postpulse.operators.saved_search import staged_search
 from postpulse.session import materialize
@@ -235,31 +236,56 @@ def preview(
 ) -> Preview:
     """Answer a table of questions from the posts: search, merge, rank, label, drop noise,
     enrich; labels stay on their row.  After the search every question holds at most a
-    candidate pool of posts, and that small set is written once because several steps
-    read it.
+    candidate pool of posts.  These pairs are written without texts, and the posts found once
+    each, because several steps read them.
 
     ``labels`` are keyed by ``question_id`` (one labeller call each) and ``tweet_id``; of equal
     keys the largest ``label_order`` wins, and a question without labels gets the heuristic.
     """
     pool = pool_size(clamp_results(requested))
-    passes = staged_search(posts, questions, max_results=pool, scope=scope, language=language)
-    # The passes (at most a pool per question and pass) are the side that is repeated.
-    found = spread_join(posts, passes, ["tweet_id"], spread_by=["text"])
-    candidates = merge_candidates(found, pool, order=["pass_no", order], by=["question_id"])
-    top = ranked(candidates, pool, ["question_id"]).join(
-        questions.select("question_id", F.col("question").alias("live_search_query")), "question_id"
+    passes = materialize(
+        staged_search(posts, questions, max_results=pool, scope=scope, language=language), "preview-passes"
     )
-    labelled = label_posts(top, F.col("live_search_query"), labels, label_order, "question_id")
-    raw = materialize(labelled, "preview")
-
-    # Posts of different questions stay apart while they are deduplicated by id.
-    relevant = without_noise(raw).withColumns({
-        "_id": F.col("tweet_id"), "_row": F.concat_ws("\u0001", F.col("question_id").cast("string"), "tweet_id"),
-    }).withColumn("tweet_id", F.col("_row"))
-    processed = process_with_rewrites(relevant, translator, order="_row", run_ts=run_ts)
-    out = processed.withColumn("tweet_id", F.col("_id")).drop("_id", "_row").withColumn(
-        "search_mode", F.lit(f"questions_{scope}_preview_then_confirm")
+    # Texts stay with their posts, written once each; what is merged, ranked and stored for each
+    # question and post is ids, scores and labels.
+    ids = passes.select("tweet_id").distinct()
+    found = materialize(
+        with_engagement_ranking(with_author_reliability(
+            keep_first(posts, ["tweet_id"], [order]).join(ids, "tweet_id", "left_semi")
+        )),
+        "preview-posts",
     )
+    narrow = found.select(*[c for c in dict.fromkeys((
+        "tweet_id", order, "author_username", "ranking_score", "like_count", "retweet_count", "reply_count", "quote_count",
+    )) if c in found.columns])
+    candidates = merge_candidates(
+        spread_join(passes, narrow, ["tweet_id"], spread_by=["question_id"]), pool,
+        order=["pass_no", order], by=["question_id"],
+    )
+    top = top_k(candidates, pool, ranking_order(), ["question_id"]).select("question_id", "tweet_id", "pass_no")
+    asked = questions.select("question_id", F.col("question").alias("live_search_query"))
+    told = label_posts(
+        top.join(asked, "question_id").join(
+            found.select("tweet_id", "text", "author_reliability_tier", "is_curated_market_author"), "tweet_id"
+        ), F.col("live_search_query"), labels, label_order, "question_id",
+    )
+    pairs = materialize(
+        told.select("question_id", "tweet_id", "pass_no", "live_search_query", *LABEL_COLUMNS), "preview"
+    )
+    scores = [c for c in found.columns if c not in posts.columns]
+    raw = pairs.join(found, "tweet_id").select(
+        "question_id", "tweet_id", *[c for c in posts.columns if c != "tweet_id"], "pass_no", *scores,
+        "live_search_query", *LABEL_COLUMNS,
+    )
+
+    # A post is processed once, however many questions it is relevant for.
+    row = F.concat_ws("\u0001", F.col("question_id").cast("string"), "tweet_id")
+    relevant = keep_first(without_noise(pairs).withColumn("_row", row), ["_row"], ["live_search_query"])
+    wanted = found.join(relevant.select("tweet_id").distinct(), "tweet_id", "left_semi")
+    processed = process_with_rewrites(wanted, translator, order="tweet_id", run_ts=run_ts)
+    out = relevant.join(processed, "tweet_id").withColumn("doc_id", F.col("_row")).select(
+        *raw.columns, *[c for c in processed.columns if c not in raw.columns]
+    ).withColumn("search_mode", F.lit(f"questions_{scope}_preview_then_confirm"))
     return Preview(raw, out)
 
 
