@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postpulse.functions import dictionaries as D
 from postpulse.functions.text import (
-    contains_any, fold, let, remembered, squeeze, string_array, text_or_empty, tokens, _FOLD_FROM, _FOLD_TO,
+    any_substring, any_token, fold, hits, let, remembered, text_or_empty, _FOLD_FROM, _FOLD_TO,
 )
 
 AnchorRows = Sequence[tuple[str, str, Sequence[str]]]
@@ -23,8 +23,8 @@ def _normal_term(term: str) -> str:
 
 
 def _normalize(column: Column) -> Column:
-    base = F.translate(fold(text_or_empty(column)), "+’", " '")
-    return squeeze(base)
+    # white space stays as it is: the patterns take any of it for a blank
+    return F.translate(fold(text_or_empty(column)), "+’", " '")
 
 
 @remembered
@@ -38,32 +38,19 @@ def anchor_groups(
     rating-context group, which a question never names by itself.
     """
     rows = [g for g in (groups or D.ANCHOR_GROUPS) if with_implied or g[0] != D.IMPLIED_GROUP]
-    short, long = {}, {}
-    for name, _kind, terms in rows:
+    patterns = []
+    for _name, _kind, terms in rows:
         plain = [t for t in dict.fromkeys(_normal_term(t) for t in terms) if t]
-        short[name] = [
+        short = [
             t for t in plain
             if t.startswith("$") or (len(t) <= 3 and " " not in t and "/" not in t)
         ]
-        long[name] = [t for t in plain if t not in short[name]]
-    vocabulary = sorted({t for ts in short.values() for t in ts})
-
-    def match(normal: Column) -> Column:
-        def pick(hits: Column) -> Column:
-            return F.array_compact(F.array(*[
-                F.when(
-                    contains_any(normal, long[name])
-                    | F.arrays_overlap(hits, string_array(short[name])),
-                    F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind")),
-                )
-                for name, kind, _terms in rows
-            ]))
-
-        return let(
-            F.filter(tokens(normal, "[a-z0-9$]+"), lambda t: t.isin(vocabulary)), pick
-        )
-
-    return let(_normalize(column), match)
+        long = [t for t in plain if t not in short]
+        patterns.append("|".join(p for p in (any_substring(long, loose=True), any_token(short, "a-z0-9$")) if p))
+    named = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind")) for name, kind, _terms in rows
+    ])
+    return F.transform(hits(_normalize(column), patterns), lambda i: F.get(named, i))
 
 
 def names(groups: Column) -> Column:

@@ -8,6 +8,9 @@ import unicodedata
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce, wraps
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -175,6 +178,45 @@ def contains_any(column: Column, terms: Iterable[str]) -> Column:
     )
 
 
+#: White space (as SPACE) and what bounds a token, for the patterns of ``hits``.
+_BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def any_substring(terms: Iterable[str], *, loose: bool = False) -> str:
+    """Pattern: any term is a substring (``loose``: a blank in a term is any white space)."""
+    found = "|".join(re.escape(t) for t in needles(terms))
+    return found.replace(r"\ ", _BLANKS) if loose else found
+
+
+def any_token(terms: Iterable[str], characters: str) -> str:
+    """Pattern: any term is a whole token, a run of ``characters``; other terms are none."""
+    whole = [re.escape(t) for t in terms if re.fullmatch(f"[{characters}]+", t)]
+    return rf"(?:\A|[^{characters}])(?:{'|'.join(whole)})(?:[^{characters}]|\z)" if whole else ""
+
+
+def hits(column: Column, patterns: Sequence[str]) -> Column:
+    """``array<int>``: which of the patterns (from 0, rising; '' matches nothing) a text matches.
+
+    A batch is searched for one alternation after the other by an automaton that reads each
+    character once, however many terms the pattern has; a null text gives null.
+    """
+    wanted = list(patterns)
+
+    @F.arrow_udf("array<int>")
+    def search(texts: pa.Array) -> pa.Array:
+        matched = np.zeros((len(texts), len(wanted)), bool)
+        for i, pattern in enumerate(wanted):
+            if pattern:
+                own = pc.fill_null(pc.match_substring_regex(texts, pattern), False)
+                matched[:, i] = own.to_numpy(zero_copy_only=False)
+        row, number = np.nonzero(matched)
+        starts = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+        mask = texts.is_null() if texts.null_count else None
+        return pa.ListArray.from_arrays(pa.array(starts), pa.array(number.astype(np.int32)), mask=mask)
+
+    return search(column)
+
+
 def constant_map(table: Mapping[str, str | Sequence[str]]) -> Column:
     """A constant map from string to string, or to array of strings."""
     kind = "string" if all(isinstance(v, str) for v in table.values()) else "array<string>"
