@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postpulse.functions import dictionaries as D
-from postpulse.functions.text import contains_any, remembered, text_or_empty
+from postpulse.functions.text import any_substring, contains_any, hits, remembered, text_or_empty
 
 _TEXT_COLUMNS = ("text", "clean_text", "title", "summary")
 
@@ -20,15 +20,17 @@ def apply_overrides(df: DataFrame) -> DataFrame:
     present = [c for c in _TEXT_COLUMNS if c in df.columns]
     if not present:
         return df
-    blob, rating, macro, tone = "_ovr_text", "_ovr_rating", "_ovr_macro", "_ovr_tone"
+    found, rating, macro, tone = "_ovr_hits", "_ovr_rating", "_ovr_macro", "_ovr_tone"
     columns = df.columns
 
-    staged = df.withColumn(blob, F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in present])))
+    lists = (D.OVERRIDE_RATING, D.OVERRIDE_MACRO, D.OVERRIDE_NEGATIVE, D.OVERRIDE_POSITIVE)
+    lowered = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in present]))
+    staged = df.withColumn(found, hits(lowered, [any_substring(terms) for terms in lists]))
     staged = staged.withColumns({
-        rating: contains_any(F.col(blob), D.OVERRIDE_RATING),
-        macro: contains_any(F.col(blob), D.OVERRIDE_MACRO),
-        tone: F.when(contains_any(F.col(blob), D.OVERRIDE_NEGATIVE), "negative")
-        .when(contains_any(F.col(blob), D.OVERRIDE_POSITIVE), "positive")
+        rating: F.array_contains(found, 0),
+        macro: F.array_contains(found, 1),
+        tone: F.when(F.array_contains(found, 2), "negative")
+        .when(F.array_contains(found, 3), "positive")
         .otherwise("neutral"),
     })
 
@@ -52,7 +54,7 @@ def apply_overrides(df: DataFrame) -> DataFrame:
         "sentiment": F.when(F.col(rating), F.col(tone)).otherwise(old_label),
         "sentiment_confidence": F.when(F.col(rating), F.greatest(usable, floor)).otherwise(old_conf),
     })
-    return out.drop(blob, rating, macro, tone)
+    return out.drop(found, rating, macro, tone)
 
 
 @remembered

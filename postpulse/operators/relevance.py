@@ -12,7 +12,7 @@ from postpulse.functions import anchors
 from postpulse.functions import dictionaries as D
 from postpulse.functions.authors import author_tier, in_curated_universe, is_curated
 from postpulse.functions.text import (
-    NOT_SPACE, SPACE, contains_any, let, text_or_empty, tokens,
+    NOT_SPACE, SPACE, any_substring, hits, let, text_or_empty, tokens,
 )
 from postpulse.operators.joins import keep_first, keep_last, spread_join, top_k
 
@@ -27,14 +27,16 @@ def heuristic_label(text: Column, question: Column, curated: Column, tier: Colum
         lambda t: F.replace(t, F.lit("$"), F.lit("")),
     )
 
-    def flags(lowered: Column) -> Column:
+    lists = {
+        "finance": D.RELEVANCE_FINANCE, "strong": D.RELEVANCE_STRONG, "noise": D.RELEVANCE_NOISE,
+        "social": D.RELEVANCE_SOCIAL_NOISE,
+    }
+
+    def flags(seen: Column) -> Column:
         return F.struct(
-            contains_any(lowered, D.RELEVANCE_FINANCE).alias("finance"),
-            contains_any(lowered, D.RELEVANCE_STRONG).alias("strong"),
-            F.exists(asked, lambda t: F.contains(lowered, t)).alias("asked"),
-            contains_any(lowered, D.RELEVANCE_NOISE).alias("noise"),
-            contains_any(lowered, D.RELEVANCE_SOCIAL_NOISE).alias("social"),
-            (~lowered.rlike(_FIVE_WORDS)).alias("short"),
+            *[F.array_contains(seen["hits"], i).alias(name) for i, name in enumerate(lists)],
+            F.exists(asked, lambda t: F.contains(seen["lowered"], t)).alias("asked"),
+            (~seen["lowered"].rlike(_FIVE_WORDS)).alias("short"),
         )
 
     def label(f: Column) -> Column:
@@ -59,7 +61,9 @@ def heuristic_label(text: Column, question: Column, curated: Column, tier: Colum
             .alias("noise_reason"),
         )
 
-    return let(let(F.lower(text_or_empty(text)), flags), label)
+    lowered = F.lower(text_or_empty(text))
+    found = hits(lowered, [any_substring(terms) for terms in lists.values()])
+    return let(let(F.struct(found.alias("hits"), lowered.alias("lowered")), flags), label)
 
 
 def with_author_reliability(df: DataFrame) -> DataFrame:
@@ -239,13 +243,15 @@ def with_engagement_ranking(df: DataFrame) -> DataFrame:
     )
     author = F.col("author_username") if "author_username" in df.columns else F.lit("")
     text = text_or_empty(F.col("text")) if "text" in df.columns else F.lit("")
-    scored = df.withColumn("engagement_score", engagement).withColumn("_low", F.lower(text))
+    scored = df.withColumn("engagement_score", engagement).withColumn(
+        "_hits", hits(F.lower(text), [any_substring(D.RANKING_FINANCE), any_substring(D.RANKING_NOISE)])
+    )
     scored = scored.withColumns({
         "engagement_rank_score": F.lit(6.0) * F.log1p("engagement_score"),
         "source_score": F.when(in_curated_universe(author), 25.0).otherwise(0.0),
-        "finance_relevance_score": F.when(contains_any(F.col("_low"), D.RANKING_FINANCE), 45.0)
+        "finance_relevance_score": F.when(F.array_contains("_hits", 0), 45.0)
         .otherwise(0.0),
-        "noise_penalty": F.when(contains_any(F.col("_low"), D.RANKING_NOISE), -120.0).otherwise(0.0),
+        "noise_penalty": F.when(F.array_contains("_hits", 1), -120.0).otherwise(0.0),
     })
     on_topic = (F.col("finance_relevance_score") > 0) | (F.col("source_score") > 0)
     scored = scored.withColumn("off_topic_penalty", F.when(on_topic, 0.0).otherwise(-80.0))
@@ -253,7 +259,7 @@ def with_engagement_ranking(df: DataFrame) -> DataFrame:
         "ranking_score",
         F.col("finance_relevance_score") + F.col("source_score") + F.col("engagement_rank_score")
         + F.col("noise_penalty") + F.col("off_topic_penalty"),
-    ).drop("_low")
+    ).drop("_hits")
 
 
 def ranking_order() -> list[Column]:

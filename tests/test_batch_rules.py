@@ -38,3 +38,15 @@ def test_anchors_read_a_text_once(spark):
     got = df.select("i", anchors.names(anchors.anchor_groups(F.col("text"), with_implied=True)).alias("n"))
     assert {r.i: r.n for r in got.collect()} == {0: ["moody", "rating_codes", "mexico"], 1: ["fx"], 2: []}
     assert _substring_tests(got) == 0
+
+
+def test_overrides_labels_and_ranking_read_a_text_once(spark):
+    df = _texts(spark, ["Fitch upgrade", "banxico tasas", "viral meme stock", None]).withColumns(
+        {"tweet_id": F.col("i").cast("string"), "topic": F.lit(""), "sentiment": F.lit("neutral")})
+    got = overrides.apply_overrides(df)
+    assert [(r.topic, r.sentiment) for r in got.orderBy("i").collect()] == [
+        ("sovereign_credit_rating", "positive"), ("monetary_policy", "neutral"), ("", "neutral"), ("", "neutral")]
+    ranking = R.with_engagement_ranking(df)
+    assert [r.noise_penalty for r in ranking.orderBy("i").collect()] == [0.0, 0.0, -120.0, 0.0]
+    for frame in (got, ranking):
+        assert _substring_tests(frame) == 0
