@@ -50,3 +50,12 @@ def test_overrides_labels_and_ranking_read_a_text_once(spark):
     assert [r.noise_penalty for r in ranking.orderBy("i").collect()] == [0.0, 0.0, -120.0, 0.0]
     for frame in (got, ranking):
         assert _substring_tests(frame) == 0
+
+
+@pytest.mark.parametrize("value, clean", [
+    ("\U0001f600 up http://x.y #tag @me now", "up now"), ("#a", ""), ("httpx", ""), ("plain  text", "plain text"),
+    ("é ☀ ok", "é ok"), (None, "")])
+def test_legacy_cleaning_skips_what_cannot_match(spark, value, clean):
+    df = _texts(spark, [value]).select(X.clean_text_legacy(F.col("text")).alias("c"))
+    assert df.first()["c"] == clean
+    assert "octet_length" in _plan(df)
