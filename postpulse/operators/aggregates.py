@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from postpulse.functions.sentiment import LABELS, count_label
 from postpulse.functions.tickers import UNMAPPED
 from postpulse.operators.joins import top_k
+from postpulse.session import materialize
 
 NO_DATE = "NaT"
 
@@ -239,7 +240,11 @@ def retrieved_ratios(df: DataFrame, retrieved: DataFrame, on: str) -> DataFrame:
 
 def summary_facts(df: DataFrame, order: Sequence[Column], by: str, cut: int = 220, examples: int = 3) -> DataFrame:
     """Facts of an extractive summary per question: dominant sentiment (ties by name),
-    counts, first ticker and first texts in the given order."""
+    counts, first ticker and first texts in the given order.
+
+    The rows are read three times, so they are written once, with texts as far as they are shown:
+    give a frame of the columns that this and ``order`` need."""
+    df = materialize(df.withColumn("text", F.substring("text", 1, cut)), "summary-rows")
     counts = df.groupBy(by, "sentiment").agg(F.count(F.lit(1)).alias("n"))
     tone = counts.groupBy(by).agg(
         F.sum("n").alias("posts"),
@@ -257,7 +262,7 @@ def summary_facts(df: DataFrame, order: Sequence[Column], by: str, cut: int = 22
     texts = numbered.groupBy(by).agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("_n", F.substring("text", 1, cut).alias("t")))),
+                F.array_sort(F.collect_list(F.struct("_n", F.col("text").alias("t")))),
                 lambda x: F.concat(F.lit("- "), x["t"]),
             ),
             "\n",

@@ -59,3 +59,19 @@ def test_legacy_cleaning_skips_what_cannot_match(spark, value, clean):
     df = _texts(spark, [value]).select(X.clean_text_legacy(F.col("text")).alias("c"))
     assert df.first()["c"] == clean
     assert "octet_length" in _plan(df)
+
+
+def test_summary_facts_evaluate_their_rows_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def seen(values: pd.Series) -> pd.Series:
+        asked.add(len(values))
+        return pd.Series(np.where(values == 0, "positive", "negative"))
+
+    rows = spark.range(3).select(
+        F.lit("d").alias("day"), F.lit("NVDA").alias("primary_ticker"), F.repeat(F.lit("x"), 300).alias("text"),
+        seen.asNondeterministic()("id").alias("sentiment"), F.col("id").alias("rank"))
+    got = A.summary_facts(rows, [F.col("rank")], "day").collect()
+    assert [(r.posts, r.dominant, len(r.evidence)) for r in got] == [(3, "negative", 3 * 222 + 2)]
+    assert asked.value == 3
