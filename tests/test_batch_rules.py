@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postpulse.functions import anchors, overrides, text as X
-from postpulse.operators import aggregates as A, relevance as R
+from postpulse.operators import aggregates as A, enrich as E, relevance as R
 
 
 def _texts(spark, values):
@@ -75,3 +75,19 @@ def test_summary_facts_evaluate_their_rows_once(spark):
     got = A.summary_facts(rows, [F.col("rank")], "day").collect()
     assert [(r.posts, r.dominant, len(r.evidence)) for r in got] == [(3, "negative", 3 * 222 + 2)]
     assert asked.value == 3
+
+
+def test_topic_shift_processes_posts_once(spark, tmp_path):
+    from postpulse.plans.registry import QUERIES, RUN_TS, processed
+
+    spark.range(40).selectExpr(
+        "id as event_id", "id % 7 as user_id", "timestamp_seconds(1704067200 + id * 3600) as ts", "'view' as event_type",
+        "cast(id % 5 as double) as value", "'{}' as props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(10).selectExpr(
+        "id as doc_id", "concat('the oil price ', id) as text", "'en' as lang", "'web' as source", "id as n_chars",
+    ).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["F20_topic_shift"](spark, str(tmp_path))
+    assert not [f for f in got.inputFiles() if str(tmp_path) in f]
+    before = processed(spark, str(tmp_path)).withColumn("topic", F.when(F.col("ord") % 4 != 0, F.col("topic")))
+    wanted = A.topic_shift(before, E.reprocess(before, RUN_TS))
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
