@@ -204,6 +204,57 @@ def test_remove_repeats_in_one_long_text_and_an_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def near_copies(n, size=1100, seed=3):
+    rng = random.Random(seed)
+    base = [rng.choice("abcdefgh ") for _ in range(size)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.randrange(3)):
+            copy[rng.randrange(size)] = rng.choice("XYZÄ0123456789")
+        out.append((i, "".join(rng.choice("klmn") for _ in range(rng.randrange(90))) + "".join(copy)))
+    return out
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 19, 20_000])
+def test_near_copies_repeat_across_shards_of_an_anchor(spark, shard_bytes):
+    rows = near_copies(120)
+    found = remove_repeats(spark.createDataFrame(rows, DOCS), shard_bytes=shard_bytes).collect()
+    got = sorted(((r[0], r[1], [(s["begin"], s["end"]) for s in r[2]], bytes(r[3])) for r in found), key=str)
+    assert got == brute_repeats(rows, 400)
+
+
+def test_a_cut_anchor_sends_blocks_and_not_each_window():
+    import pyarrow as pa
+
+    from postpulse.llm.suffix_dedup import _judge, segments
+
+    of_anchor: dict = {}
+    for _, text in near_copies(200):
+        data = np.frombuffer(text.encode(), np.uint8)
+        for _, first, count, anchor, digest in zip(*segments(data, np.array([0, len(data)])), strict=True):
+            piece = data[first : first + count + 399].tobytes()
+            of_anchor.setdefault(int(anchor.view(np.int64)), {})[int(digest.view(np.int64))] = piece
+    anchor, pieces = max(of_anchor.items(), key=lambda a: len(a[1]))
+    n = len(pieces)
+    windows = sum(len(p) - 399 for p in pieces.values())
+    group = pa.table({
+        "shard": [-5] * n, "cut": [True] * n, "anchor": [anchor] * n, "digest": list(pieces), "n": [1] * n,
+        "bytes": pa.array(list(pieces.values()), pa.binary()),
+    })
+    assert n > 40
+    assert _judge(400)(group).num_rows <= 9 * n < windows / 4
+
+
+def test_a_segment_alone_with_its_anchor_needs_no_shard(spark):
+    from postpulse.llm.suffix_dedup import dealt_segments
+
+    rows = [(1, 10, 3, 5, 404), (2, 11, 1, 5, 404), (2, 12, 1, 9, 408)]
+    distinct = spark.createDataFrame(rows, "anchor bigint, digest bigint, n bigint, windows int, size int")
+    shards = {r["digest"]: r["shard"] for r in dealt_segments(distinct, 1 << 19).collect()}
+    assert shards == {10: None, 11: 0, 12: 0}
+
+
 @pytest.mark.parametrize("ids", [[3], [-5, 7, 7, 2**62], list(range(10**6, 10**6 + 400))])
 def test_signatures_travel_in_small_blocks(ids):
     from postpulse.llm.ngram_join import _pack, _unpack
