@@ -1,5 +1,14 @@
-"""N-gram Jaccard join by PartEnum signatures; classes of linked documents.
+"""N-gram Jaccard join by rare shingles and PartEnum signatures; classes of linked documents.
 
+A link needs ``percent`` of the larger set's elements in common, so linked sets have one of their
+rarest elements in common: of a set of n, one of the ``n - ceil(n * percent / 100) + 1`` that the
+fewest sets have (ties by value).  Elements that no other set has count first and need not be
+sent, so a document with enough words of its own has no candidates, however many share a
+passage with it.  Numbers of sets are counted by bucket of elements, each set's rarest are chosen by
+part of ids, and both travel in packed blocks.
+
+Sets with a rare element in common make candidate clusters, components of the stars around the
+smallest id.  A cluster that is too large for a task is cut by signatures.
 Jaccard similarity g of sets with at most u elements means that at most
 ``k = 2 u (1 - g) / (1 + g)`` elements differ.  Sizes are cut into bands whose bounds grow by
 1 / g, so linked sets are in the same band or in neighbouring ones; a set gives signatures for
@@ -8,9 +17,7 @@ domain is split into ``n1 = k // (k2 + 1) + 1`` parts of ``n2`` pieces each: som
 most ``k2`` differing pieces, so one of its subsets of ``n2 - k2`` pieces is equal in both
 sets.  Each subset's digest is a signature; linked sets share at least one.
 
-Signatures only find candidate clusters: equal signatures in a task are combined to their
-smallest id before the shuffle, which takes blocks of them by bucket, and clusters are
-components of the stars around the smallest id.  Inside a cluster every set is read once and compared with the sets that are not linked
+Inside a cluster every set is read once and compared with the sets that are not linked
 yet, first by a sketch that can't miss a link, then exactly.  No pairs are emitted.
 """
 
@@ -37,9 +44,9 @@ CLUSTER_SHINGLES = 4_000_000
 #: Pieces of a part that may differ, and elements that a signature should cover on average:
 #: signatures of fewer elements bring together sets that only share a passage.
 DIFFER, COVERED = 1, 6.5
-#: Signatures that a task combines before it sends them.
+#: Shingles or signatures that a task combines before it sends them.
 COMBINE = 400_000
-#: Signatures of a bucket (about three for each shingle), and the fewest buckets.
+#: Shingles or signatures (about three for each shingle) of a bucket, and the fewest buckets.
 BUCKET, BUCKETS = 1_000_000, 64
 
 _EMPTY = np.uint64(0)
@@ -186,6 +193,16 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sig, known[_from_planes(block[at[2] :], n).astype(np.int64)]
 
 
+def _blocks(rows: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(number, id) rows as a block for each bucket of numbers below 2**48 that has any."""
+    order = np.argsort(rows)
+    rows, ids = rows[order], ids[order]
+    bucket = ((rows >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))[: len(rows) + 1]
+    blocks = [_pack(rows[low:high], ids[low:high]) for low, high in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+
 def _sign(k: int, percent: int, buckets: int):
     """Blocks of (sig, id) rows, one for each bucket of signatures that a task's batch has.  A pair
     that a task finds itself is sent as two rows of a signature made from the smaller id, so that it
@@ -195,14 +212,8 @@ def _sign(k: int, percent: int, buckets: int):
         s, smallest, a, b = _star(np.concatenate(sig), np.concatenate(ids))
         named = mix(a.astype(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D))
         heads, first = np.unique(named, return_index=True)
-        # the last byte is not needed to tell signatures apart: equal ones are candidates only
-        s, smallest = np.concatenate([s, named, heads]) >> np.uint64(8), np.concatenate([smallest, b, a[first]])
-        order = np.argsort(s)
-        s, smallest = s[order], smallest[order]
-        bucket = ((s >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-        blocks = [_pack(s[low:high], smallest[low:high]) for low, high in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+        # the last bytes are not needed to tell signatures apart: equal ones are candidates only
+        return _blocks(np.concatenate([s, named, heads]) >> np.uint64(16), np.concatenate([smallest, b, a[first]]), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, ids, held = [], [], 0
@@ -222,6 +233,102 @@ def _sign(k: int, percent: int, buckets: int):
     return run
 
 
+def _deal(k: int, buckets: int):
+    """Blocks of (shingle, id) rows.  Of the equal sets that a task's batch has the one with the smallest id
+    is sent.  The last bytes are not needed to tell shingles apart: equal ones are candidates only."""
+
+    def send(sets: dict[tuple, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        ids = np.array([i for i, _ in sets.values()], np.int64)
+        own = [s for _, s in sets.values()]
+        return _blocks(np.concatenate(own) >> np.uint64(16), np.repeat(ids, [len(s) for s in own]), buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = {}, 0
+        for batch in batches:
+            for i, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
+                if len(own):
+                    known = (len(own), int(own[0]), int(own.sum(dtype=np.uint64)))
+                    held += len(own) if known not in sets else 0
+                    if known not in sets or i < sets[known][0]:
+                        sets[known] = (i, own)
+                if held >= COMBINE:
+                    yield send(sets)
+                    sets, held = {}, 0
+        if held:
+            yield send(sets)
+
+    return run
+
+
+def _shared(buckets: int):
+    """Of the blocks of a bucket: the shingles of more than one row, as blocks by id of (id, shingle, rows)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = [_unpack(block) for block in group.column("block").to_pylist()]
+        shingle, ids = (np.concatenate(x) for x in zip(*rows, strict=True))
+        _, place, n = np.unique(shingle, return_inverse=True, return_counts=True)
+        n = n[place]
+        shingle, ids, n = shingle[n > 1], ids[n > 1], n[n > 1].astype(np.uint64)
+        part = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((ids, part))
+        shingle, ids, n, part = shingle[order], ids[order], n[order], part[order]
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))[: len(part) + 1]
+        blocks = []
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            own = ids[low:high]
+            known = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            parts = [_planes(_steps(known.view(np.uint64))), _planes(np.searchsorted(known, own).astype(np.uint64)), _planes(n[low:high]),
+                     _planes(shingle[low:high])]
+            sizes = np.array([high - low, len(known), *map(len, parts[:3])], "<u4")
+            blocks.append(b"".join([sizes.tobytes(), known[:1].astype("<i8").tobytes(), *parts]))
+        return pa.table({"part": pa.array(part[edges[:-1]], pa.int32()), "shared": pa.array(blocks, pa.binary())})
+
+    return run
+
+
+def _read_shared(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m, *sizes = np.frombuffer(block, "<u4", 5).tolist()
+    at = np.cumsum([28, *sizes])
+    known = (np.cumsum(_from_planes(block[at[0] : at[1]], m), dtype=np.uint64) + np.frombuffer(block, "<i8", 1, 20).view(np.uint64)).view(np.int64)
+    place, rows = (_from_planes(block[low:high], n) for low, high in zip(at[1:3], at[2:4], strict=True))
+    return known[place.astype(np.int64)], _from_planes(block[at[3] :], n), rows
+
+
+def _parted(sets: DataFrame, buckets: int) -> DataFrame:
+    """``sets`` with the part that blocks by id have for their id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = (mix(batch.column("id").to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], names=["part", *batch.schema.names])
+
+    return sets.mapInArrow(run, "part int, id bigint, size bigint, times bigint")
+
+
+def _rarest(percent: int, buckets: int):
+    """Of the sets of a part: blocks of (shingle, id) rows of as many of each set's rarest shingles as
+    linked sets can't both miss.  Those that no other set has are the rarest, and need not be sent."""
+
+    def run(blocks: pa.Table, sets: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not sets.num_rows:
+            return pa.Table.from_batches([_blocks(np.zeros(0, np.uint64), np.zeros(0, np.int64), buckets)])
+        read = [_read_shared(block) for block in blocks.column("shared").to_pylist()]
+        ids, shingle, rows = (np.concatenate(x) for x in zip(*read, strict=True))
+        sets = sets.sort_by("id")
+        known, size, times = (sets.column(c).to_numpy() for c in ("id", "size", "times"))
+        order = np.lexsort((shingle, rows, ids))
+        ids, shingle = ids[order], shingle[order]
+        first = np.searchsorted(ids, known, "left")
+        shared = np.searchsorted(ids, known, "right") - first
+        wanted = size - -(-size * percent // 100) + 1 - (size - shared)
+        # texts that share an id send all that others have
+        wanted = np.where(times > 1, shared, np.clip(wanted, 0, shared))
+        at = np.repeat(first - np.cumsum(wanted) + wanted, wanted) + np.arange(wanted.sum())
+        return pa.Table.from_batches([_blocks(shingle[at], ids[at], buckets)])
+
+    return run
+
+
 def _meet(group: pa.Table) -> pa.Table:
     """Of the blocks of a bucket: each id with the smallest of its signature."""
     rows = [_unpack(block) for block in group.column("block").to_pylist()]
@@ -319,6 +426,28 @@ def _tasks(members: DataFrame, percent: int, limit: int) -> DataFrame:
     )
 
 
+def _narrowed(members: DataFrame, named: DataFrame, words: int, percent: int, limit: int) -> DataFrame:
+    """``members`` with clusters of more than ``limit`` shingles cut into the sets that signatures bring together."""
+    totals = members.groupBy("cluster").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n"))
+    large = materialize(
+        members.join(totals.where((F.col("total") > limit) & (F.col("n") > 2)).select("cluster"), "cluster"), "jaccard-large"
+    )
+    shingles = large.agg(F.sum("size")).first()[0]
+    if not shingles:
+        return members
+    signed = maybe_in(named, large, "id").join(large.select("id").distinct(), "id", "left_semi")
+    buckets = max(BUCKETS, -(-3 * shingles // BUCKET))
+    found = (
+        signed.mapInArrow(_sign(words, percent, buckets), "bucket int, block binary")
+        .groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint")
+    )
+    roots = components(found, "jaccard-signed").withColumnRenamed("node", "id")
+    narrow = large.join(roots, "id", "left").select(
+        "id", F.xxhash64("cluster", F.coalesce("root", "id")).alias("cluster"), "size"
+    )
+    return members.join(large.select("cluster").distinct(), "cluster", "left_anti").select("id", "cluster", "size").unionByName(narrow)
+
+
 def _repeated_ids(told: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges between the classes of the texts that share an id (there are none as a rule)."""
     known = told.where("id is not null and size > 0")
@@ -351,15 +480,25 @@ def jaccard_classes(
         "jaccard-classes",
     )
     named = rows.where("id is not null")
-    shingles = told.where("id is not null").agg(F.sum("size")).first()[0] or 0
+    sets = told.where("id is not null and size > 0")
+    shingles = sets.agg(F.sum("size")).first()[0] or 0
+    buckets = max(BUCKETS, -(-shingles // BUCKET))
+    shared = (
+        named.mapInArrow(_deal(words, buckets), "bucket int, block binary")
+        .groupBy("bucket").applyInArrow(_shared(buckets), "part int, shared binary")
+    )
+    sizes = sets.groupBy("id").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("times"))
     found = (
-        named.mapInArrow(_sign(words, percent, max(BUCKETS, -(-3 * shingles // BUCKET))), "bucket int, block binary")
+        shared.groupBy("part").cogroup(_parted(sizes, buckets).groupBy("part"))
+        .applyInArrow(_rarest(percent, buckets), "bucket int, block binary")
         .groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint")
     )
     clusters = components(found, "jaccard-candidates")
     reps = classes.select(F.col("rep").alias("node"), "size")
     members = clusters.join(reps, "node").select(F.col("node").alias("id"), F.col("root").alias("cluster"), "size")
-    tasks = materialize(_tasks(members, percent, cluster_shingles), "jaccard-tasks")
+    members = materialize(members, "jaccard-members")
+    narrowed = _narrowed(members, named, words, percent, cluster_shingles)
+    tasks = materialize(_tasks(narrowed, percent, cluster_shingles), "jaccard-tasks")
     links = (
         maybe_in(named, tasks, "id").join(tasks, "id")
         .groupBy("cluster", "in_band", "low", "high").applyInArrow(_link(words, percent), "a bigint, b bigint")

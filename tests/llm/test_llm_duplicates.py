@@ -265,3 +265,34 @@ def test_signatures_travel_in_small_blocks(ids):
     block = _pack(sig, own)
     assert sorted(zip(*(x.tolist() for x in _unpack(block)), strict=True)) == sorted(zip(sig.tolist(), own.tolist(), strict=True))
     assert len(block) < 9 * len(sig)  # a row of two numbers has 16
+
+
+def test_a_common_passage_makes_no_candidates(spark, monkeypatch):
+    """Chains of passages would put most documents into one cluster, whose comparison is quadratic."""
+    from postpulse.llm import ngram_join
+
+    def words(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [(i, f"{words(f'own{i}x', 120)} {words(f'passage{i // 30}x', 80)}") for i in range(60)]
+    rows += [(60, f"{words('own7x', 120)} {words('passage0x', 78)} end")]
+    seen = []
+
+    def spy(edges, name, run=ngram_join.components):
+        seen.append((name, edges.distinct().count()))
+        return run(edges, name)
+
+    monkeypatch.setattr(ngram_join, "components", spy)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: 7 if i == 60 else i for i in range(61)}
+    assert dict(seen)["jaccard-candidates"] == 1
+
+
+@pytest.mark.parametrize("limit", [1, 200])
+def test_large_clusters_are_cut_by_signatures(spark, limit):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]])) for i in range(12)] + [(50, " ".join(base)), (50, "other words here")]
+    docs = spark.createDataFrame([*rows, (None, " ".join(base))], "doc_id long, text string")
+    whole = {tuple(r) for r in jaccard_classes(docs).collect()}
+    assert {tuple(r) for r in jaccard_classes(docs, cluster_shingles=limit).collect()} == whole
+    assert len({c for _, n, c in whole if n == 36}) < 12
