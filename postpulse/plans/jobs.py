@@ -23,7 +23,7 @@ from postpulse.operators.relevance import (
     with_engagement_ranking,
 )
 from postpulse.operators.saved_search import staged_search
-from postpulse.session import materialize
+from postpulse.session import materialize, store
 from postpulse.sources import lake, payloads
 from postpulse.sources.schema import infer_mapping, standardize
 from postpulse.sources.staged import exists, rewrite, table_path
@@ -187,17 +187,14 @@ def reprocess_lake(
     and live silver.  All new tables are staged and committed together; other sources' silver goes
     along unchanged.  Returns each table's rows under its path; a dry run writes nothing."""
     stamped = T.StructType([T.StructField("reprocessed_at", T.StringType())])
-    tables: dict[str, tuple[DataFrame, Callable[[DataFrame, str], None]]] = {}
-
-    def plain(rows: DataFrame, folder: str) -> None:
-        rows.write.parquet(folder)
+    tables: dict[str, tuple[DataFrame, Callable[[DataFrame, str], object]]] = {}
 
     processed = table_path(spark, root, PROCESSED_PATH)
     if exists(spark, processed):
-        tables[PROCESSED_PATH] = reprocess(spark.read.parquet(processed), stamp), plain
+        tables[PROCESSED_PATH] = reprocess(spark.read.parquet(processed), stamp), store
     newest = latest_folder(spark, root)
     if newest:
-        tables[LATEST_PATH] = reprocess(spark.read.parquet(newest), stamp), plain
+        tables[LATEST_PATH] = reprocess(spark.read.parquet(newest), stamp), store
     if exists(spark, table_path(spark, root, lake.SILVER_PATH)):
         silver = lake.read_silver(spark, root, stamped)
         live = F.col("source") == payloads.LIVE_SOURCE

@@ -20,7 +20,7 @@ from postpulse.operators import (
 )
 from postpulse.operators.joins import spread_join
 from postpulse.plans import jobs
-from postpulse.session import materialize, new_folder, prepare
+from postpulse.session import materialize, new_folder, prepare, store
 from postpulse.sources import lake, payloads, schema, tables
 from postpulse.sources.posts import (
     ROTATION, document_posts, event_posts, posts, questions, table,
@@ -561,8 +561,7 @@ def _(spark, sf):
 def _reprocessed_lake(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """A lake whose topics are out of date: processed file, silver of two sources, newest posts."""
     root = new_folder(spark, "reprocess")
-    stale = materialize(processed(spark, sf_dir).drop("topic").withColumn("topic", F.lit("old")), "stale")
-    stale.write.parquet(f"{root}/{jobs.PROCESSED_PATH}")
+    stale = store(processed(spark, sf_dir).drop("topic").withColumn("topic", F.lit("old")), f"{root}/{jobs.PROCESSED_PATH}")
     kept = lake.conform_silver(stale, source=F.col("source"), run_id=F.col("run_id"), ingestion_date=F.col("ingestion_date"))
     lake.write_silver(kept, root)
     live.write_latest(L.latest(None, kept.filter(F.col("source") == "twitter_live"), order="tweet_id"), root)

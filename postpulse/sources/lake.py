@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from postpulse.operators.aggregates import gold_daily
 from postpulse.operators.cleaning import timestamp_column
+from postpulse.session import shuffles_freed
 from postpulse.sources.staged import table_path
 
 _TYPES = {
@@ -85,11 +86,12 @@ def write_runs(df: DataFrame, path: str) -> None:
     """One folder per (source, ingestion date, run).  Writing a run again replaces that
     run and nothing else; the rebalance gives files of a sensible size and splits a
     run that holds most of the rows."""
-    (
-        df.hint("rebalance", *RUN_PARTITIONS)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*RUN_PARTITIONS).parquet(path)
-    )
+    with shuffles_freed(df.sparkSession):
+        (
+            df.hint("rebalance", *RUN_PARTITIONS)
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+            .partitionBy(*RUN_PARTITIONS).parquet(path)
+        )
 
 
 def write_silver(silver: DataFrame, root: str) -> str:

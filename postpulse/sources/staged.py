@@ -85,7 +85,7 @@ def commit(spark: SparkSession, root: str, moved: dict[str, str]) -> int:
 def rewrite(
     spark: SparkSession,
     root: str,
-    tables: dict[str, tuple[DataFrame, Callable[[DataFrame, str], None]]],
+    tables: dict[str, tuple[DataFrame, Callable[[DataFrame, str], object]]],
     *,
     run: str | None = None,
     notes: dict[str, str] | None = None,

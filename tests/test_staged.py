@@ -176,3 +176,17 @@ def test_labels_in_any_fenced_block(spark):
     df = spark.createDataFrame(list(enumerate(answers)), "n int, response string")
     rows = sorted((r["n"], r["label_pos"], r["tweet_id"]) for r in parse_labels(df).collect())
     assert rows == [(0, 0, "a"), (0, 1, "a"), (1, 0, "a"), (2, 0, "a")]
+
+
+def test_writes_leave_no_shuffle_files_and_the_setting_as_it_was(spark, tmp_path):
+    from postpulse.session import FREED, store
+
+    def shuffles():
+        found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+        return {found.apply(i).name() for i in range(found.size()) if found.apply(i).name().startswith("shuffle_")}
+
+    before, held = spark.conf.get(FREED, None), shuffles()
+    rows = spark.range(5000).selectExpr("id % 100 AS k", "cast(id AS string) AS v").repartition(4, "v")
+    stored = store(rows, f"{tmp_path}/t")
+    assert not shuffles() - held and spark.conf.get(FREED, None) == before
+    assert stored.count() == 5000
